@@ -1,8 +1,9 @@
-"""Exact encoding with public tokenizer files, one white-space chunk at a time.
+"""Exact encoding with public tokenizer files, one piece of a word at a time.
 
 Both tokenizer kinds used here end every token where white space begins after
-other text, so a text's ids are those of its chunks in order, and a bounded
-cache of chunks saves most of the work.
+other text, and where letters end before ASCII punctuation, so a text's ids are
+those of its pieces in order, and a bounded cache of pieces saves most of the
+work.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ import re
 from collections.abc import Iterable
 from itertools import chain
 
-#: White space that stays outside words; other white space is left to the library.
-SPACE = " \t\n\r"
-WORDS = re.compile(r"[^ \t\n\r]+")
-LED_WORDS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+#: A piece is letters with what stands before them, cut where an ASCII character that is no letter (or white space, or the end) follows: every token ends there.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+WORDS = re.compile(rf"[^ \t\n\r{LETTERS}]*+[{LETTERS}]++(?![^\x00-\x7f])|[^ \t\n\r]+")
+LED_WORDS = re.compile(rf"[ \t\n\r]*+[^ \t\n\r{LETTERS}]*+[{LETTERS}]++(?![^\x00-\x7f])|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+ODD_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Chunks that each of a worker's two cache generations holds.
-CACHE = 250_000
+CACHE = 300_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,9 +30,7 @@ def tokenizer_path(name: str) -> str:
 
 def led_chunks(text: str) -> list[str]:
     """Words with the white space before them; the whole text if it holds white space that only the library tells apart."""
-    if not text.isascii() and ODD_SPACE.search(text) or text.isascii() and ODD_SPACE.search(text):
-        return [text]
-    return LED_WORDS.findall(text)
+    return [text] if ODD_SPACE.search(text) else LED_WORDS.findall(text)
 
 
 class Chunks:
@@ -58,20 +57,24 @@ class Chunks:
     def merge(self, chunks: list[str]) -> Iterable[tuple[int, ...]]:
         return (tuple(map(self.numbers.__getitem__, e.ids)) for e in self.library.encode_batch_fast(chunks, add_special_tokens=False))
 
-    def ids(self, chunks: list[str]) -> Iterable[int]:
+    def each(self, chunks: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of every distinct chunk; those of long chunks aren't kept."""
         if len(self.new) > CACHE:
             self.old, self.new = self.new, {}
-        new, old, missing = self.new, self.old, []
-        for c in set(chunks):
-            if c not in new:
-                if c in old:
-                    new[c] = old[c]
-                else:
-                    missing.append(c)
-        if missing:
-            long = [c for c in missing if len(c) > 200]
-            rest = [c for c in missing if len(c) <= 200] if long else missing
-            new.update(zip(rest, self.merge(rest)))
-            if long:  # not kept
-                return chain.from_iterable(map((new | dict(zip(long, self.merge(long)))).__getitem__, chunks))
-        return chain.from_iterable(map(new.__getitem__, chunks))
+        new, old, out, missing = self.new, self.old, {}, []
+        for c in chunks:
+            if c in new:
+                out[c] = new[c]
+            elif c in old:
+                out[c] = new[c] = old[c]
+            else:
+                missing.append(c)
+        for c, ids in zip(missing, self.merge(missing)):
+            out[c] = ids
+            if len(c) <= 200:
+                new[c] = ids
+        return out
+
+    def ids(self, chunks: list[str]) -> Iterable[int]:
+        """Ids of a text's chunks, in order."""
+        return chain.from_iterable(map(self.each(set(chunks)).__getitem__, chunks))
