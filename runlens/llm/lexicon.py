@@ -152,8 +152,10 @@ class Lexicon:
                 break
         return out
 
-    def ids_at(self, place: int) -> tuple[int, ...]:
-        return tuple(self.ids[self.starts[place] : self.starts[place + 1]].tolist())
+    def ids_at(self, places: np.ndarray) -> list[bytes]:
+        """Ids of the words at these places, as little-endian 32-bit numbers."""
+        raw = self.ids.data.cast("B")
+        return [bytes(raw[a:b]) for a, b in zip((4 * self.starts[places]).tolist(), (4 * self.starts[places + 1]).tolist())]
 
 
 def frequent_words(docs: DataFrame) -> dict[str, int]:
@@ -177,7 +179,7 @@ def ship_lexicon(spark: SparkSession, words: list[str], path: str) -> str:
     """Compile ``words``, put the file into the shared folder and have Spark hand it to every executor; its name there."""
     chunks = Chunks.of(path)
     kept = [w for w in words if 0 < len(w.encode()) <= LONGEST]
-    blob = compile_words({w.encode(): ids for w, ids in zip(kept, chunks.merge(kept))}) if kept else compile_words({})
+    blob = compile_words({w.encode(): tuple(np.frombuffer(ids, "<u4").tolist()) for w, ids in chunks.merge(kept).items()})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     jvm = spark.sparkContext._jvm
     to = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{name}")
@@ -216,11 +218,11 @@ def encode_texts(texts: list[str], lexicon: Lexicon, chunks: Chunks) -> Iterator
         split = [led_chunks(t) for t in texts[at : at + TOGETHER]]
         words = [*{w for s in split for w in s}]
         places = lexicon.places([w.encode() for w in words])
-        ids = {w: lexicon.ids_at(p) for w, p in zip(words, places.tolist()) if p >= 0}
-        rest = [w for w in words if w not in ids]
-        ids.update(chunks.each(rest))
+        known = places >= 0
+        ids = dict(zip((w for w, k in zip(words, known.tolist()) if k), lexicon.ids_at(places[known])))
+        ids.update(chunks.each({w for w, k in zip(words, known.tolist()) if not k}))
         for s in split:
-            yield [i for w in s for i in ids[w]]
+            yield np.frombuffer(b"".join(map(ids.__getitem__, s)), "<u4").tolist()
 
 
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:

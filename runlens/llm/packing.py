@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table, text_rows
-from .tokens import WORDS, Chunks, tokenizer_path
+from .tokens import Chunks, tokenizer_path, word_pieces
 
 #: Pieces in a partition on average, and partitions that exchange with each other.
 GROUP, FAN_IN = 16_000, 16
@@ -24,11 +24,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame
     """Pieces of at most ``size`` ids of every text with its end id; only longer texts are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks.of(tokenizer)
+        chunks, end = Chunks.of(tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
             out: list[tuple] = []
             for doc, text, row in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = np.append(np.fromiter(chunks.ids(WORDS.findall(text)), "<u4"), np.uint32(end_id)).astype("<u4").tobytes()
+                raw = chunks.raw(word_pieces(text)) + end
                 for k in range(0, len(raw), 4 * size):
                     out.append((doc, row, k // (4 * size), k // 4, len(raw[k : k + 4 * size]) // 4, zlib.crc32(raw[k : k + 4 * size])))
             yield arrow(out, PIECES)
@@ -95,7 +95,7 @@ def pack(parts: DataFrame, size: int, last: bool, step: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         rows = [*zip(*(group.column(c).to_pylist() for c in ("doc_id", "row", "piece", "start", "length", "ids_crc32", "part")))]
-        rows.sort(key=lambda r: (-r[4], r[0] is None, r[0], r[1], r[2]) if r[0] is not None else (-r[4], True, 0, r[1], r[2]))
+        rows.sort(key=lambda r: (-r[4], r[0] is None, r[0] or 0, r[1], r[2]))
         lengths = [r[4] for r in rows]
         bins = best_fit(lengths, size)
         filled = np.bincount(bins, lengths).astype(np.int64)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_dir, stored, table, text_rows
-from .tokens import WORDS, Chunks, tokenizer_path
+from .tokens import Chunks, tokenizer_path, word_pieces
 
 LANES, CHECK_STEPS, SCALE = 1024, 256, 20
 #: Ids after which a block is closed; a document stays in one block.
@@ -123,12 +123,11 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, n, ids (16-bit if they fit, else 32-bit, as two compressed byte planes or four) of every text, with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks.of(tokenizer)
+        chunks, end = Chunks.of(tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
             sizes, blobs = [], []
             for text in batch.column(1).to_pylist():
-                ids = np.fromiter(chunks.ids(WORDS.findall(text)), "<u4")
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                ids = np.frombuffer(chunks.raw(word_pieces(text)) + end, "<u4")
                 sizes.append(len(ids))
                 blobs.append(packed(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n", "ids"])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import dedup, lexicon, packing, rans
+from . import dedup, jaccard, langid, lexicon, packing, rans, topk
 
 QUERIES = {
     "op1_exact_dedup": dedup.op1_exact_dedup,
     "op3_bpe_lexicon": lexicon.op3_bpe_lexicon,
     "op4_rans_ids": rans.op4_rans_ids,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_impact_top_k": topk.op6_impact_top_k,
+    "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
+    "op8_bitmask_langid": langid.op8_bitmask_langid,
 }
-SQL = {"op1_exact_dedup": dedup.OP1_SQL}
+SQL = {"op1_exact_dedup": dedup.OP1_SQL, "op6_impact_top_k": topk.OP6_SQL, "op7_ngram_jaccard": jaccard.OP7_SQL}

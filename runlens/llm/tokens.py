@@ -8,17 +8,21 @@ work.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable
-from itertools import chain
+
+import numpy as np
 
 #: A piece is letters with what stands before them, cut where an ASCII character that is no letter (or white space, or the end) follows: every token ends there.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 WORDS = re.compile(rf"[^ \t\n\r{LETTERS}]*+[{LETTERS}]++(?![^\x00-\x7f])|[^ \t\n\r]+")
 LED_WORDS = re.compile(rf"[ \t\n\r]*+[^ \t\n\r{LETTERS}]*+[{LETTERS}]++(?![^\x00-\x7f])|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 ODD_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-#: Chunks that each of a worker's two cache generations holds.
+#: Special tokens begin so; texts that hold it are left to the library whole.
+MARK = "<|"
+#: Pieces that each of a worker's two cache generations holds.
 CACHE = 300_000
 
 
@@ -30,11 +34,16 @@ def tokenizer_path(name: str) -> str:
 
 def led_chunks(text: str) -> list[str]:
     """Words with the white space before them; the whole text if it holds white space that only the library tells apart."""
-    return [text] if ODD_SPACE.search(text) else LED_WORDS.findall(text)
+    return [text] if ODD_SPACE.search(text) or MARK in text else LED_WORDS.findall(text)
 
 
 class Chunks:
-    """Ids of chunks, from two cache generations (the older is dropped when the newer is full) or from the library."""
+    """Ids of pieces, as little-endian 32-bit numbers, from two cache generations (the older is dropped when the newer is full) or from the library.
+
+    Pieces of letters alone are single tokens' worth of text to the library's
+    splitting, so many are merged in one call and told apart by the ids that
+    end a word (or, for byte-level files, begin with a space).
+    """
 
     held: dict[str, Chunks] = {}
 
@@ -45,36 +54,82 @@ class Chunks:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.numbers = [*range(self.library.get_vocab_size())]  # ids shared between entries
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        with open(path) as f:
+            model = json.load(f)["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.by_end = bool(suffix)
+        self.easy = re.compile(rf"{'' if suffix else ' '}[{LETTERS}]+")
+        self.mark = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in model["vocab"].items():
+            self.mark[i] = token.endswith(suffix) if suffix else token.startswith("Ġ")
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Chunks:
         """One for each worker process and file."""
         return cls.held.get(path) or cls.held.setdefault(path, cls(path))
 
-    def merge(self, chunks: list[str]) -> Iterable[tuple[int, ...]]:
-        return (tuple(map(self.numbers.__getitem__, e.ids)) for e in self.library.encode_batch_fast(chunks, add_special_tokens=False))
-
-    def each(self, chunks: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of every distinct chunk; those of long chunks aren't kept."""
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
-        new, old, out, missing = self.new, self.old, {}, []
+    def merge(self, chunks: Iterable[str]) -> dict[str, bytes]:
+        """Exact ids of each piece by the tokenizer's own merges."""
+        easy: list[str] = []
+        rest: list[str] = []
         for c in chunks:
-            if c in new:
-                out[c] = new[c]
-            elif c in old:
-                out[c] = new[c] = old[c]
+            (easy if self.easy.fullmatch(c) else rest).append(c)
+        out: dict[str, bytes] = {}
+        if easy:
+            joined = self.library.encode_batch_fast([(" " if self.by_end else "").join(easy)], add_special_tokens=False)[0].ids
+            ids = np.array(joined, "<u4")
+            at = np.flatnonzero(self.mark[ids])
+            cuts = [0, *(4 * (at + 1)).tolist()] if self.by_end else [*(4 * at).tolist(), 4 * len(ids)]
+            raw = ids.tobytes()
+            if len(cuts) == len(easy) + 1:
+                out = {c: raw[a:b] for c, a, b in zip(easy, cuts, cuts[1:])}
             else:
-                missing.append(c)
-        for c, ids in zip(missing, self.merge(missing)):
-            out[c] = ids
-            if len(c) <= 200:
-                new[c] = ids
+                rest += easy
+        for c, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False) if rest else ()):
+            out[c] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def ids(self, chunks: list[str]) -> Iterable[int]:
-        """Ids of a text's chunks, in order."""
-        return chain.from_iterable(map(self.each(set(chunks)).__getitem__, chunks))
+    def fill(self, chunks: set[str]) -> dict[str, bytes]:
+        """Put the pieces into the newer generation; returns those too long to be kept."""
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = [c for c in chunks if c not in new]
+        if not missing:
+            return {}
+        again = [c for c in missing if c in old]
+        for c in again:
+            new[c] = old[c]
+        if len(again) == len(missing):
+            return {}
+        merged = self.merge(c for c in missing if c not in old)
+        if max(map(len, merged)) <= 200:
+            new.update(merged)
+            return {}
+        new.update((c, x) for c, x in merged.items() if len(c) <= 200)
+        return {c: x for c, x in merged.items() if len(c) > 200}
+
+    def each(self, chunks: set[str]) -> dict[str, bytes]:
+        long = self.fill(chunks)
+        return {c: long.get(c) or self.new[c] for c in chunks} if long else {c: self.new[c] for c in chunks}
+
+    def raw(self, chunks: list[str]) -> bytes:
+        """Ids of a text's pieces, in order."""
+        long = self.fill(set(chunks))
+        if long:
+            return b"".join(long[c] if c in long else self.new[c] for c in chunks)
+        return b"".join(map(self.new.__getitem__, chunks))
+
+
+def word_pieces(text: str) -> list[str]:
+    """Pieces for a lower-casing tokenizer; Latin-1 text is lower-cased at once, so more pieces are equal."""
+    if MARK in text:
+        return [text]
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
+    return WORDS.findall(text)
