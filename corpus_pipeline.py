@@ -1,4 +1,46 @@
-"""placeholder"""
-STAGES, ORACLE_SQL = [], None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""Corpus pipeline: quality, language, exact copies, near copies, packing; each stage is written and read again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from runlens.llm import dedup, jaccard, langid, packing, quality
+from runlens.llm.common import stored, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told."""
+    return langid.keep_identified(docs)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first of equal texts."""
+    return dedup.keep_first(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first of each near-duplicate component: five-word shingles, similarity of 0.8 or more."""
+    return jaccard.keep_first_of_each(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences."""
+    return packing.best_fit_pack(docs)
+
+
+STAGES = [("quality", quality_stage), ("language", language_stage), ("exact", exact_stage), ("near", near_stage), ("packing", packing_stage)]
+
+#: SQL can't express the classifier, the filters or the packing; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

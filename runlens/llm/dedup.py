@@ -69,3 +69,9 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY norm)
 """
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns, that exact dedup keeps; of rows with equal id and text all stay."""
+    kept = stored(exact_dedup(docs).where("kept").select("doc_id").distinct(), "kept")
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import dedup, jaccard, langid, lexicon, packing, rans, topk
+from . import dedup, extract, jaccard, langid, lexicon, packing, quality, rans, topk, warc
 
 QUERIES = {
     "op1_exact_dedup": dedup.op1_exact_dedup,
+    "op2_max_subsequence_text": extract.op2_max_subsequence_text,
     "op3_bpe_lexicon": lexicon.op3_bpe_lexicon,
     "op4_rans_ids": rans.op4_rans_ids,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_impact_top_k": topk.op6_impact_top_k,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_bitmask_langid": langid.op8_bitmask_langid,
+    "op9_warc_salvage": warc.op9_warc_salvage,
+    "op10_quality_bayes": quality.op10_quality_bayes,
 }
 SQL = {"op1_exact_dedup": dedup.OP1_SQL, "op6_impact_top_k": topk.OP6_SQL, "op7_ngram_jaccard": jaccard.OP7_SQL}
