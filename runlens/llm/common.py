@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -14,6 +15,7 @@ BROADCAST_ROWS = 200_000
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name under the cluster's ``spark.checkpoint.dir``; a local one is set only where none is."""
+    importable(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -37,10 +39,20 @@ def join_sized(left: DataFrame, right: DataFrame, on, how: str, rows: int) -> Da
     return left.join(right.hint(hint), on, how)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; on a cluster it is installed there or shipped with --py-files."""
+    root, held = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    paths = held.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        held["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+
+
 def text_rows(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator needs, under fixed names; other columns, clashing names too, stay out."""
+    importable(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import importable, table
 
 #: Labelled pages that fit the weights on average, chosen by a hash of page_id, and kinds of tags at most.
 SAMPLE, KINDS = 4000, 4000
@@ -153,6 +153,7 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null or empty html, and pages without words, give an empty text. Unclosed
     tags end with what holds them; a stray '<' is text. Repeated rows stay.
     """
+    importable(df.sparkSession)
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     weight = fit(pages)  # at most KINDS entries
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import importable, stored, table
 
 #: Vectors in an index block, queries in a query block, impact levels for each dimension, rounds of segments.
 BLOCK, QUERIES, LEVELS, STEPS = 8192, 512, 16, 8
@@ -127,6 +127,7 @@ def exact_top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     compared. Rows with the query's own id are never its results. Query blocks
     meet index blocks pairwise; each pair returns at most k rows a query.
     """
+    importable(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), components(F.col(vector_col)).alias("v"), is_query.alias("asks")).where("vec_id is not null and v is not null")
     index = blocks_of(rows.select("vec_id", "v"), BLOCK)
     asks = rows.where("asks").select("vec_id", "v").withColumn("part", F.lit(0))

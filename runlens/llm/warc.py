@@ -135,7 +135,7 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
         def close() -> pa.RecordBatch:
             nonlocal made
             name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{made:05d}.warc.gz"
-            with files.open_output_stream(f"{base}/{name}") as out:
+            with files.open_output_stream(f"{base}/{name}", compression=None) as out:
                 out.write(b"".join(held))
             made += 1
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([sum(map(len, held))], pa.int64())], ["file", "records", "bytes"])
