@@ -1,4 +1,6 @@
-"""Named queries over the given tables, each with its SQL twin."""
+"""All named queries over the given tables, and their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from . import reports, texts  # noqa: F401  registers its queries
+from .base import QUERIES, SQL  # noqa: F401
