@@ -23,7 +23,7 @@ ODD_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\
 #: Special tokens begin so; texts that hold it are left to the library whole.
 MARK = "<|"
 #: Pieces that each of a worker's two cache generations holds.
-CACHE = 300_000
+CACHE = 450_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -117,10 +117,12 @@ class Chunks:
 
     def raw(self, chunks: list[str]) -> bytes:
         """Ids of a text's pieces, in order."""
-        long = self.fill(set(chunks))
-        if long:
-            return b"".join(long[c] if c in long else self.new[c] for c in chunks)
-        return b"".join(map(self.new.__getitem__, chunks))
+        got = [*map(self.new.get, chunks)]
+        if None in got:
+            missing = {c for c, x in zip(chunks, got) if x is None}
+            found = self.each(missing)
+            got = [found[c] if x is None else x for c, x in zip(chunks, got)]
+        return b"".join(got)
 
 
 def word_pieces(text: str) -> list[str]:
