@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import join_sized, stored, table, text_rows
 from .graph import components
 
-#: Documents in a block on average; n-grams that each task proposes as frequent, and those that are ranked.
-BLOCK, PROPOSED, RANKED = 256, 4096, 1 << 17
+#: Documents in a block on average; n-grams that each task proposes as frequent, and the power of two of buckets for their counts.
+BLOCK, PROPOSED, BUCKETS = 256, 1 << 16, 24
 #: Hashes counted together in a task, columns of the incidence matrix multiplied together.
 TOGETHER, COLUMNS = 1 << 22, 4096
 PRIME = 0x9E3779B97F4A7C15
@@ -62,6 +63,7 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "sig", "hash"]
         held: list[np.ndarray] = []
+        met: set[bytes] = set()
         size, seen, times = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +71,7 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
             both = np.concatenate([got[n > 1], seen])
             keys, at = np.unique(both, return_inverse=True)
             n = np.bincount(at, np.concatenate([n[n > 1], times]), len(keys)).astype(np.int64)
-            top = np.argsort(-n, kind="stable")[: 16 * PROPOSED]
+            top = np.argsort(-n, kind="stable")[: 4 * PROPOSED]
             return keys[top], n[top]
 
         for batch in batches:
@@ -78,11 +80,13 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
                 s = shingles(text, width)
                 n.append(len(s))
                 sigs.append(signature(s))
-                held.append(s)
-                size += len(s)
+                if sigs[-1] not in met:  # a copy adds nothing
+                    met.add(sigs[-1])
+                    held.append(s)
+                    size += len(s)
                 if size > TOGETHER:
                     seen, times = merged()
-                    held, size = [], 0
+                    held, size, met = [], 0, set()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(len(n), pa.int64())], names)
         seen, times = (x[:PROPOSED] for x in merged())
         yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.int64()), pa.array(times), pa.nulls(len(seen), pa.binary()), pa.array(seen.view(np.int64))], names)
@@ -90,35 +94,52 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, hash long")
 
 
-def prefixes(docs: DataFrame, width: int, share: tuple[int, int], hashes: np.ndarray, ranks: np.ndarray) -> DataFrame:
-    """(doc_id, sig, prefix): the rarest shingles of each document, so many that two documents that link share one."""
-    ranked = docs.sparkSession.sparkContext.broadcast((hashes, ranks))
+def count_levels(frequent: DataFrame) -> np.ndarray:
+    """A byte for each of 2**BUCKETS buckets of hashes: the largest count in it on a logarithmic scale. Its size doesn't depend on the input."""
+    low = BUCKETS - 10
+    cells = frequent.select(
+        F.expr(f"cast((hash & {(1 << BUCKETS) - 1}) >> {low} as int)").alias("chunk"), F.expr(f"cast(hash & {(1 << low) - 1} as int)").alias("cell"), F.least(F.lit(255), F.ceil(F.log2("n") * 8)).cast("int").alias("level")
+    )
+
+    def run(group: pa.Table) -> pa.Table:
+        out = np.zeros(1 << low, np.uint8)
+        np.maximum.at(out, group["cell"].to_numpy(), group["level"].to_numpy().astype(np.uint8))
+        return pa.table({"chunk": group["chunk"][:1].combine_chunks(), "levels": pa.array([out.tobytes()], pa.binary())})
+
+    whole = np.zeros((1 << 10, 1 << low), np.uint8)
+    for r in cells.groupBy("chunk").applyInArrow(run, "chunk int, levels binary").collect():  # 1024 rows at most
+        whole[r.chunk] = np.frombuffer(r.levels, np.uint8)
+    return whole.reshape(-1)
+
+
+def prefixes(docs: DataFrame, width: int, share: tuple[int, int], levels: np.ndarray) -> DataFrame:
+    """(doc_id, sig, size, prefix): the rarest shingles of each document, so many that two documents that link share one."""
+    ranked = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rank = ranked.value
+        rank, mask = ranked.value, np.uint64((1 << BUCKETS) - 1)
         for batch in batches:
-            sigs, flat, ends = [], [], [0]
+            sigs, flat, ends, sizes = [], [], [0], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, width)
                 sigs.append(signature(s))
+                sizes.append(len(s))
                 many = len(s) + (-len(s) * share[0] // share[1]) + 1 if len(s) else 0
-                if len(keys) and len(s):
-                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    s = s[np.argsort(np.where(keys[at] == s, rank[at], 0), kind="stable")]
+                s = s[np.argsort(rank[s & mask], kind="stable")]
                 flat.append(s[:many].view(np.int64))
                 ends.append(ends[-1] + many)
             arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*flat, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), arrays], ["doc_id", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), arrays], ["doc_id", "sig", "size", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, sig binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, sig binary, size long, prefix array<long>")
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary()), batch.column(2)], ["doc_id", "shingles", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary, block long")
+    return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
 def linked(ids: list[int], blobs: list[bytes], first: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
@@ -172,10 +193,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     2. Of each representative only its rarest shingles, as many as the similarity
        leaves open, become columns; a link has a column in common. The order is by
        the counts of frequent shingles over the whole corpus; any order is exact.
-    3. Representatives are dealt to blocks by their most common column, large
-       columns to several blocks. Blocks that meet in a column are multiplied as
-       sparse matrices over all shingles, and spanning edges of links come out, so
-       pairs within a group are never emitted.
+    3. Representatives are dealt to blocks by their most common column and their
+       size, large columns to several blocks. Where two blocks whose sizes allow a
+       link meet in a column, their rows that do are multiplied as sparse matrices
+       over all shingles, and spanning edges of links come out, so pairs within a
+       group are never emitted.
     4. Components of these edges, then back from representatives to rows.
 
     Null, empty or blank text has an empty set, and no links. Texts with fewer
@@ -186,26 +208,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = text_rows(df, id_col, text_col)
     base = stored(first_pass(docs, width), "first")
     rows = base.where("sig is not null").select("doc_id", "n", "sig")
-    frequent = base.where("hash is not null").groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(RANKED).toPandas()
-    keys = frequent["hash"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
+    levels = count_levels(base.where("hash is not null").groupBy("hash").agg(F.sum("n").alias("n")))
     classes = stored(rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id")), "classes")
     others = stored(rows.where("n > 0").join(classes.hint("merge"), "sig").where("doc_id <> class_id").select("doc_id", "sig"), "others")
-    prefix = prefixes(docs.where("doc_id is not null"), width, share, keys[order], frequent["n"].to_numpy(np.int64)[order])
-    prefix = stored(join_sized(prefix, others, ["doc_id", "sig"], "left_anti", others.count()).select("doc_id", "prefix"), "prefixes")
-    cells = prefix.select("doc_id", F.explode("prefix").alias("col"))
+    prefix = prefixes(docs.where("doc_id is not null"), width, share, levels)
+    prefix = stored(join_sized(prefix, others, ["doc_id", "sig"], "left_anti", others.count()).select("doc_id", "size", "prefix"), "prefixes")
+    cells = prefix.select("doc_id", "size", F.explode("prefix").alias("col"))
     shared = cells.groupBy("col").agg(F.count("*").alias("m")).where("m > 1")
     cells = stored(cells.join(shared.hint("merge"), "col"), "cells")
-    home = cells.groupBy("doc_id").agg(F.max(F.struct("m", "col")).alias("home"))
+    home = cells.groupBy("doc_id").agg(F.max(F.struct("m", "col")).alias("home"), F.first("size").alias("size"))
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("home.m") / BLOCK))
-    members = stored(home.select("doc_id", F.xxhash64("home.col", part).alias("block")), "members")
-    seen = stored(cells.select("col", "doc_id").join(members.hint("merge"), "doc_id").select("col", "block").distinct(), "seen")
-    meets = seen.join(seen.select("col", F.col("block").alias("other")).hint("merge"), "col").where("block <= other").select("block", "other").distinct()
-    meets = stored(meets, "meets")
-    sides = meets.select("block", F.col("block").alias("b1"), F.col("other").alias("b2")).union(meets.where("block <> other").select("other", "block", "other"))
-    text = join_sized(docs, members, "doc_id", "inner", members.count()).select("doc_id", "text", "block")
-    blobs = stored(sets(text, width), "sets")
-    dealt = blobs.join(sides.hint("merge"), "block").select("b1", "b2", (F.col("block") == F.col("b1")).alias("first"), "doc_id", "shingles")
+    level = F.floor(F.log(F.col("size").cast("double")) / log(share[1] / share[0])).cast("int")  # linked documents are at most one level apart
+    members = stored(home.withColumn("level", level).select("doc_id", "level", F.xxhash64("home.col", part, "level").alias("block")), "members")
+    cells = stored(cells.select("col", "doc_id").join(members.hint("merge"), "doc_id"), "placed")
+    seen = stored(cells.select("col", F.col("block").alias("other"), F.col("level").alias("near")).distinct(), "seen")
+    meets = cells.join(seen.hint("merge"), "col").where((F.col("block") != F.col("other")) & (F.abs(F.col("level") - F.col("near")) <= 1))
+    meets = meets.select("doc_id", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), (F.col("block") < F.col("other")).alias("first")).distinct()
+    full = members.groupBy("block").count().where("count > 1").select("block")
+    own = members.join(full.hint("merge"), "block").select("doc_id", F.col("block").alias("b1"), F.col("block").alias("b2"), F.lit(True).alias("first"))
+    meets = stored(meets.unionByName(own), "meets")
+    who = stored(meets.select("doc_id").distinct(), "who")
+    blobs = sets(join_sized(docs, who, "doc_id", "left_semi", who.count()), width)
+    dealt = join_sized(blobs, meets, "doc_id", "inner", meets.count()).select("b1", "b2", "first", "doc_id", "shingles")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
