@@ -9,14 +9,17 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_sized, stored, table, text_rows
 from .graph import components
 
-#: Documents in a block on average; n-grams that each task proposes as frequent, and the power of two of buckets for their counts.
-BLOCK, PROPOSED, BUCKETS = 256, 1 << 16, 24
+#: Shingles in a block of documents on average, and the fewest and most documents for that.
+BLOCK, FEWEST, MOST = 1 << 20, 64, 1024
+#: N-grams that each task proposes as frequent, and the power of two of buckets for their counts.
+PROPOSED, BUCKETS = 1 << 16, 24
 #: Hashes counted together in a task, columns of the incidence matrix multiplied together.
 TOGETHER, COLUMNS = 1 << 22, 4096
 PRIME = 0x9E3779B97F4A7C15
@@ -113,7 +116,7 @@ def count_levels(frequent: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, width: int, share: tuple[int, int], levels: np.ndarray) -> DataFrame:
-    """(doc_id, sig, size, prefix): the rarest shingles of each document, so many that two documents that link share one."""
+    """(doc_id, sig, size, prefix): the rarest shingles of each document, rarest first, so many that two documents that link share one."""
     ranked = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,21 +137,24 @@ def prefixes(docs: DataFrame, width: int, share: tuple[int, int], levels: np.nda
     return docs.mapInArrow(run, "doc_id long, sig binary, size long, prefix array<long>")
 
 
-def sets(docs: DataFrame, width: int) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, words): whole texts, compressed; a text takes a third of the room that the hashes of its shingles would."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "shingles"])
+            words = [press.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["doc_id", "words"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return docs.mapInArrow(run, "doc_id long, words binary")
 
 
-def linked(ids: list[int], blobs: list[bytes], first: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
+def linked(ids: list[int], docs: list[np.ndarray], first: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
     """Spanning edges of the links between the documents of two blocks (``first`` tells them apart), or within one block.
 
     Overlaps are summed over column chunks of the incidence matrix; a pair is
     dropped where its sizes alone rule it out.
     """
-    docs = [np.frombuffer(b, np.uint64) for b in blobs]
     sizes = np.array([*map(len, docs)], np.int64)
     _, column, many = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(docs)), sizes)
@@ -186,6 +192,35 @@ def linked(ids: list[int], blobs: list[bytes], first: np.ndarray, share: tuple[i
     return out
 
 
+def block_links(docs: DataFrame, dealt: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """(a, b), stored: spanning edges of the links in each block pair (b1, b2) of the stored table ``dealt`` (doc_id, b1, b2, first)."""
+    who = stored(dealt.select("doc_id").distinct(), "who")
+    rows = packed(join_sized(docs, who, "doc_id", "left_semi", who.count()))
+    rows = join_sized(rows, dealt, "doc_id", "inner", dealt.count()).select("b1", "b2", "first", "doc_id", "words")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        now, ids, sets, first = None, [], [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            out = linked(ids, sets, np.array(first), share) if len(ids) > 1 else []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for b1, b2, one, doc, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if (b1, b2) != now:
+                    yield from close()
+                    now, ids, sets, first = (b1, b2), [], [], []
+                ids.append(doc)
+                sets.append(shingles(press.decompress(words).decode("utf-8", "surrogatepass"), width))
+                first.append(one)
+        yield from close()
+
+    return stored(rows.repartition(parts, "b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(run, "a long, b long"), "links")
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: components of links with Jaccard similarity >= share.
 
@@ -194,17 +229,21 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
        leaves open, become columns; a link has a column in common. The order is by
        the counts of frequent shingles over the whole corpus; any order is exact.
     3. Representatives are dealt to blocks by their most common column and their
-       size, large columns to several blocks. Where two blocks whose sizes allow a
-       link meet in a column, their rows that do are multiplied as sparse matrices
-       over all shingles, and spanning edges of links come out, so pairs within a
-       group are never emitted.
-    4. Components of these edges, then back from representatives to rows.
+       size, large columns to several blocks, twice over and in two ways. Each block
+       is multiplied as a sparse matrix over all shingles, and spanning edges of
+       links come out, so pairs within a group are never emitted. This joins most
+       of a large group into one component.
+    4. Where two blocks meet in a column, the rows in it that could link are
+       multiplied as well: those not yet in one component, whose sizes allow a link
+       and for whom enough shingles follow the column in the order of step 2.
+    5. Components of all edges, then back from representatives to rows.
 
     Null, empty or blank text has an empty set, and no links. Texts with fewer
     words than ``width`` have one shingle, the whole sequence. Rows that share an
     id count as one node with the links of all of them; a null id has no links
     and a null component. An empty table gives an empty result.
     """
+    p, q = share
     docs = text_rows(df, id_col, text_col)
     base = stored(first_pass(docs, width), "first")
     rows = base.where("sig is not null").select("doc_id", "n", "sig")
@@ -213,44 +252,31 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     others = stored(rows.where("n > 0").join(classes.hint("merge"), "sig").where("doc_id <> class_id").select("doc_id", "sig"), "others")
     prefix = prefixes(docs.where("doc_id is not null"), width, share, levels)
     prefix = stored(join_sized(prefix, others, ["doc_id", "sig"], "left_anti", others.count()).select("doc_id", "size", "prefix"), "prefixes")
-    cells = prefix.select("doc_id", "size", F.explode("prefix").alias("col"))
+    cells = prefix.select("doc_id", "size", F.posexplode("prefix").alias("at", "col")).select("doc_id", "size", "col", (F.col("size") - F.col("at")).alias("rest"))
     shared = cells.groupBy("col").agg(F.count("*").alias("m")).where("m > 1")
     cells = stored(cells.join(shared.hint("merge"), "col"), "cells")
-    home = cells.groupBy("doc_id").agg(F.max(F.struct("m", "col")).alias("home"), F.first("size").alias("size"))
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("home.m") / BLOCK))
-    level = F.floor(F.log(F.col("size").cast("double")) / log(share[1] / share[0])).cast("int")  # linked documents are at most one level apart
-    members = stored(home.withColumn("level", level).select("doc_id", "level", F.xxhash64("home.col", part, "level").alias("block")), "members")
-    cells = stored(cells.select("col", "doc_id").join(members.hint("merge"), "doc_id"), "placed")
-    seen = stored(cells.select("col", F.col("block").alias("other"), F.col("level").alias("near")).distinct(), "seen")
-    meets = cells.join(seen.hint("merge"), "col").where((F.col("block") != F.col("other")) & (F.abs(F.col("level") - F.col("near")) <= 1))
-    meets = meets.select("doc_id", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), (F.col("block") < F.col("other")).alias("first")).distinct()
-    full = members.groupBy("block").count().where("count > 1").select("block")
-    own = members.join(full.hint("merge"), "block").select("doc_id", F.col("block").alias("b1"), F.col("block").alias("b2"), F.lit(True).alias("first"))
-    meets = stored(meets.unionByName(own), "meets")
-    who = stored(meets.select("doc_id").distinct(), "who")
-    blobs = sets(join_sized(docs, who, "doc_id", "left_semi", who.count()), width)
-    dealt = join_sized(blobs, meets, "doc_id", "inner", meets.count()).select("b1", "b2", "first", "doc_id", "shingles")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, blobs, first = None, [], [], []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            out = linked(ids, blobs, np.array(first), share) if len(ids) > 1 else []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for b1, b2, one, doc, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if (b1, b2) != now:
-                    yield from close()
-                    now, ids, blobs, first = (b1, b2), [], [], []
-                ids.append(doc)
-                blobs.append(blob)
-                first.append(one)
-        yield from close()
-
-    edges = stored(dealt.repartition(parts, "b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(run, "a long, b long"), "links")
+    home = cells.groupBy("doc_id", "size").agg(F.max(F.struct("m", "col")).alias("home"))  # rows that share an id may differ in size
+    level = F.floor(F.log(F.col("size").cast("double")) / log(q / p)).cast("int")  # linked documents are at most one level apart
+    room = F.least(F.lit(MOST), F.greatest(F.lit(FEWEST), F.floor(BLOCK / F.pow(F.lit(q / p), F.col("level")))))
+    block = lambda seed: F.xxhash64("home.col", "level", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("parts")), F.lit(seed))
+    members = home.withColumn("level", level).withColumn("parts", F.ceil(F.col("home.m") / room))
+    members = stored(members.select("doc_id", "size", "level", "parts", block(0).alias("block"), block(1).alias("again")), "members")
+    own = members.select("doc_id", "block").union(members.where("parts > 1").select("doc_id", "again"))
+    full = own.groupBy("block").count().where("count > 1").select("block")
+    own = stored(own.join(full.hint("merge"), "block").select("doc_id", F.col("block").alias("b1"), F.col("block").alias("b2"), F.lit(True).alias("first")), "own")
+    within = block_links(docs, own, width, share)
+    labels = components(within).withColumnsRenamed({"node": "doc_id", "component": "label"})
+    members = stored(members.join(labels.hint("merge"), "doc_id", "left").select("doc_id", "size", "level", "block", F.coalesce("label", "doc_id").alias("label")), "labelled")
+    cells = stored(cells.select("col", "doc_id", "size", "rest").join(members.hint("merge"), ["doc_id", "size"]), "placed")
+    seen = cells.groupBy("col", F.col("block").alias("other"), F.col("level").alias("near")).agg(
+        F.min("size").alias("least"), F.max("size").alias("most"), F.max("rest").alias("left"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    could = (F.col("block") != F.col("other")) & (F.abs(F.col("level") - F.col("near")) <= 1) & ((F.col("label") != F.col("low")) | (F.col("label") != F.col("high")))
+    could &= (F.col("size") * q >= F.col("least") * p) & (F.col("most") * q >= F.col("size") * p)
+    could &= F.least("rest", "left") * (p + q) >= (F.col("size") + F.col("least")) * p
+    meets = cells.join(stored(seen, "seen").hint("merge"), "col").where(could)
+    meets = stored(meets.select("doc_id", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), (F.col("block") < F.col("other")).alias("first")).distinct(), "meets")
+    edges = within.union(block_links(docs, meets, width, share))
     tops = components(edges).withColumnRenamed("node", "class_id")
     classes = stored(classes.join(tops.hint("merge"), "class_id", "left").select("sig", F.coalesce("component", "class_id").alias("component_id")), "components")
     return rows.join(classes.hint("merge"), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
