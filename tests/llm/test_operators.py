@@ -112,7 +112,10 @@ def test_top_k(spark):
     assert got == want
 
 
-def test_jaccard(spark):
+@pytest.mark.parametrize("fewest, most", [(64, 1024), (1, 2)])
+def test_jaccard(spark, monkeypatch, fewest, most):
+    monkeypatch.setattr(jaccard, "FEWEST", fewest)
+    monkeypatch.setattr(jaccard, "MOST", most)
     rng = np.random.default_rng(3)
     base = [[f"w{x}" for x in rng.integers(0, 400, 60)] for _ in range(12)]
     texts = [None, "", "a b", "A  b", "a b c"]
