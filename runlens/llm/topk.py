@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import importable, stored, table
 
 #: Vectors in an index block, queries in a query block, impact levels for each dimension, rounds of segments.
-BLOCK, QUERIES, LEVELS, STEPS = 8192, 512, 16, 8
+BLOCK, QUERIES, LEVELS, STEPS = 8192, 512, 16, 4
 #: Query blocks are broadcast up to so many bytes; beyond, they are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -40,42 +40,47 @@ class ImpactIndex:
         self.least = np.minimum(low + width * np.arange(levels)[:, None], high).T
         self.most = np.minimum(low + width * (np.arange(levels)[:, None] + 1) - 1, high).T
 
-    def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (vec_id, score), ties to the smaller id, never the query's own row."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """For every query the k best (vec_id, score), ties to the smaller id, never the query's own row.
+
+        Each query has its own order of segments. A posting list is walked once a
+        round for all queries still open, each adding its own bound for the segment.
+        """
         n, dims = self.vectors.shape
-        ends = np.stack([self.least * query[:, None], self.most * query[:, None]])
         filled = self.cuts[:, 1:] > self.cuts[:, :-1]
-        floor = np.where(filled, ends.min(0), np.iinfo(np.int64).max).min(1)  # least that the dimension adds to any row
-        gain = np.where(filled, ends.max(0) - floor[:, None], -1)  # impact: most that a row of the segment adds over that
-        order = np.argsort(-gain, axis=1, kind="stable")
-        impact = np.take_along_axis(gain, order, 1)
-        rest = impact[:, 0].copy()  # most that a row not yet met in the dimension can add
-        upper = np.full(n, int(floor.sum() + rest.sum()), np.int64)
-        scored = self.ids == query_id
-        best, exact, met = np.zeros(0, np.int64), np.zeros(n, np.int64), np.zeros(dims, np.int64)
-        ranked = np.sort(impact[impact >= 0])[::-1]
-        proven = False
-        for step in range(1, STEPS + 1):
-            least = ranked[len(ranked) * step // STEPS - 1]
-            upto = (impact >= max(0, least)).sum(1)
-            for d in np.flatnonzero(upto > met).tolist():
-                for seg in range(met[d], upto[d]):
-                    lv = order[d, seg]
-                    if impact[d, seg] != rest[d]:
-                        upper[self.order[self.cuts[d, lv] : self.cuts[d, lv + 1], d]] += impact[d, seg] - rest[d]
-                after = max(0, impact[d, upto[d]]) if upto[d] < impact.shape[1] else 0
-                if after != rest[d]:
-                    for lv in order[d, upto[d] :].tolist():
-                        if filled[d, lv]:
-                            upper[self.order[self.cuts[d, lv] : self.cuts[d, lv + 1], d]] += after - rest[d]
-                met[d], rest[d] = upto[d], after
-            if step > STEPS // 2:
-                best, proven = self.prove(query, k, upper, exact, scored, best)
-                if proven:
-                    break
-        while not proven:
-            best, proven = self.prove(query, k, upper, exact, scored, best)
-        return [(int(self.ids[r]), int(exact[r])) for r in best]
+        ends = np.stack([self.least * queries[:, :, None], self.most * queries[:, :, None]])
+        floor = np.where(filled, ends.min(0), np.iinfo(np.int64).max).min(2)  # least that the dimension adds to any row
+        gain = np.where(filled, ends.max(0) - floor[:, :, None], -1)  # impact: most that a row of the segment adds over that
+        ranked = -np.sort(-gain[:, filled], axis=1)
+        bound = np.repeat(gain.max(2)[:, :, None], gain.shape[2], 2)  # most that a row adds, as known so far
+        first, last = floor.sum(1) + bound[:, :, 0].sum(1), floor.sum(1)
+        kind = np.int32 if max(np.abs(first).max(), np.abs(last).max()) < 1 << 31 else np.int64  # bounds only fall, from first to last at the least
+        upper = np.tile(first.astype(kind), (n, 1))
+        scored = self.ids == query_ids[:, None]
+        exact, best = np.zeros((len(queries), n), np.int64), [np.zeros(0, np.int64)] * len(queries)
+        active = np.arange(len(queries))
+        for step in range(STEPS // 2 + 1, STEPS + 1):
+            cut = ranked[active, ranked.shape[1] * step // STEPS - 1]
+            met = filled & (gain[active] >= cut[:, None, None])
+            rest = np.where(filled & ~met, gain[active], 0).max(2)
+            known = np.where(met, gain[active], rest[:, :, None])
+            more = np.ascontiguousarray((known - bound[active]).astype(kind).transpose(1, 2, 0))
+            bound[active] = known
+            for d, lv in np.argwhere(filled).tolist():
+                upper[self.order[self.cuts[d, lv] : self.cuts[d, lv + 1], d]] += more[d, lv]
+            left = []
+            for at, (q, u) in enumerate(zip(active.tolist(), np.ascontiguousarray(upper.T))):
+                proven = False
+                while not proven:
+                    best[q], proven = self.prove(queries[q], k, u, exact[q], scored[q], best[q])
+                    if step < STEPS:
+                        break
+                if not proven:
+                    left.append(at)
+            active, upper = active[left], np.ascontiguousarray(upper[:, left])
+            if not len(active):
+                break
+        return [[(int(self.ids[r]), int(exact[q][r])) for r in best[q]] for q in range(len(queries))]
 
     def prove(self, query: np.ndarray, k: int, upper: np.ndarray, exact: np.ndarray, scored: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, bool]:
         """Rescore the rows with the highest bounds exactly; proven if no other row's bound reaches the k-th score."""
@@ -147,9 +152,9 @@ def exact_top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
             for ids, data, dims, q_ids, q_data in zip(*(c.to_pylist() for c in batch.columns)):
                 if last is None or last[0] != ids:
                     last = ids, ImpactIndex(np.frombuffer(ids, "<i8"), np.frombuffer(data, "<i8").reshape(-1, dims))
-                out = []
-                for q, v in zip(np.frombuffer(q_ids, "<i8").tolist(), np.frombuffer(q_data, "<i8").reshape(-1, dims)):
-                    out += [(q, i, s) for i, s in last[1].search(q, v, k)]
+                asked = np.frombuffer(q_ids, "<i8")
+                found = last[1].search(asked, np.frombuffer(q_data, "<i8").reshape(-1, dims), k)
+                out = [(q, i, s) for q, rows in zip(asked.tolist(), found) for i, s in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([*zip(*out)] or [(), (), ()])], ["query_id", "vec_id", "score"])
 
     found = pairs.select("ids", "data", "dims", "q_ids", "q_data").mapInArrow(run, "query_id long, vec_id long, score long")
