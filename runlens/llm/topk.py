@@ -86,7 +86,7 @@ class ImpactIndex:
         """Rescore the rows with the highest bounds exactly; proven if no other row's bound reaches the k-th score."""
         open_ = np.flatnonzero(~scored)
         if len(open_):
-            m = min(len(open_), max(64, 4 * k))
+            m = min(len(open_), max(256, 4 * k))
             top = open_[np.argpartition(-upper[open_], m - 1)[:m]]
             exact[top] = self.vectors[top] @ query
             scored[top] = True
