@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import reports, texts  # noqa: F401  registers its queries
+from . import files, reports, streams, texts  # noqa: F401  registers its queries
 from .base import QUERIES, SQL  # noqa: F401
