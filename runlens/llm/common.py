@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and holds at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
+#: Column that numbers the rows of a pipeline stage.
+ROW = "_runlens_row"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -39,6 +41,16 @@ def join_sized(left: DataFrame, right: DataFrame, on, how: str, rows: int) -> Da
     return left.join(right.hint(hint), on, how)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written once with a number of its own for each row, in ROW: ids may be null or occur twice."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def chosen(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of numbered ``rows`` whose number is in ``kept``, without the number."""
+    return rows.join(stored(kept.select(ROW), "kept").hint("merge"), ROW, "left_semi").drop(ROW)
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it; on a cluster it is installed there or shipped with --py-files."""
     root, held = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_sized, stored, table, text_rows
+from .common import ROW, chosen, join_sized, numbered, stored, table, text_rows
 
 
 def normalised(text: Column) -> Column:
@@ -28,9 +28,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     same id and text one is kept. A null id sorts after all ids. An empty table
     gives an empty result; other columns are ignored.
     """
-    base = text_rows(df, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("norm"))
+    return marked(text_rows(df, id_col, text_col, F.monotonically_increasing_id().alias("row")), hash128).drop("row")
+
+
+def marked(rows: DataFrame, hash128: Callable[[Column], Column] = F.md5) -> DataFrame:
+    """Exact dedup of rows (doc_id, text, row), with the row in the result."""
+    base = rows.select("doc_id", normalised(F.col("text")).alias("norm"), "row")
     hashed = base.withColumn("h", F.unhex(hash128(F.col("norm"))))
-    keys = stored(hashed.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "keys")
+    keys = stored(hashed.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), "row"), "keys")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
     groups = stored(keys.groupBy("h").agg(first, F.count("*").alias("group_size")).where("group_size > 1"), "groups")
     n = groups.count()
@@ -47,15 +52,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("first").isNull() | (F.col("first") == one)).alias("kept"),
         "text_sha256",
+        "row",
         "h",
     )
     m = mixed.count()
     if not m:
         return same.drop("h")
-    apart = join_sized(hashed, mixed, "h", "left_semi", m).withColumn("text_sha256", F.sha2("norm", 256)).withColumn("row", F.monotonically_increasing_id())
+    apart = join_sized(hashed, mixed, "h", "left_semi", m).withColumn("text_sha256", F.sha2("norm", 256))
     apart = stored(apart, "apart")
     best = stored(apart.groupBy("h", "norm").agg(first, F.count("*").alias("group_size")), "best")
-    split = apart.join(best.hint("merge"), ["h", "norm"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("first") == one).alias("kept"), "text_sha256")
+    split = apart.join(best.hint("merge"), ["h", "norm"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("first") == one).alias("kept"), "text_sha256", "row")
     return join_sized(same, mixed, "h", "left_anti", m).drop("h").unionByName(split)
 
 
@@ -72,6 +78,11 @@ FROM t WINDOW w AS (PARTITION BY norm)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns, that exact dedup keeps; of rows with equal id and text all stay."""
-    kept = stored(exact_dedup(docs).where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    """Rows of ``docs``, all columns, that exact dedup keeps: one of each text.
+
+    It is the row with the smallest id, a null id after all others; of rows with
+    the same id and text one stays. Rows of one id with different texts are
+    judged each by its own text.
+    """
+    rows = numbered(docs)
+    return chosen(rows, marked(text_rows(rows, "doc_id", "text", F.col(ROW).alias("row"))).where("kept").withColumnRenamed("row", ROW))

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_sized, stored, table, text_rows
+from .common import ROW, chosen, join_sized, numbered, stored, table, text_rows
 from .graph import components
 
 #: Shingles in a block of documents on average, and the fewest and most documents for that.
@@ -302,6 +302,14 @@ FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GRO
 
 
 def keep_first_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns, whose id is the smallest of its near-duplicate component."""
-    kept = stored(jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    """Rows of ``docs``, all columns: of each near-duplicate component the row with the smallest id.
+
+    Rows are nodes of their own, so one with a null id (after all others) or
+    with the id of another row takes part by its own text. Of rows with the same
+    id and text one stays, but all rows without words do: they have no links.
+    """
+    rows = numbered(docs)
+    parts = jaccard_components(rows, ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    ids = rows.select(ROW, F.col("doc_id").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", ROW)).alias("first")
+    return chosen(rows, parts.join(ids.hint("merge"), ROW).groupBy("component_id").agg(first).select(f"first.{ROW}"))

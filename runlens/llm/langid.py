@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_rows
+from .common import ROW, chosen, numbered, table, text_rows
 
 #: Training texts for each language on average, n-grams kept at most, filter bits as a power of two, hash functions.
 SAMPLE, GRAMS, BITS, HASHES = 1500, 300_000, 22, 2
@@ -169,6 +169,10 @@ def op8_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """Rows of ``docs``, all columns, whose language is told: not ``und``, and with a score of at least ``least``."""
-    good = stored(language_ids(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("doc_id").distinct(), "identified")
-    return docs.join(good.hint("merge"), "doc_id", "left_semi")
+    """Rows of ``docs``, all columns, whose language is told: not ``und``, and with a score of at least ``least``.
+
+    Each row by its own text; its id may be null or occur twice.
+    """
+    rows = numbered(docs)
+    told = identify(rows, learn(rows), ROW).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return chosen(rows, told.withColumnRenamed("doc_id", ROW))

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_sized, stored, table, text_rows
+from .common import ROW, chosen, join_sized, numbered, stored, table, text_rows
 
 #: Labelled rows that fit the document classifier on average, chosen by a hash of doc_id.
 SAMPLE = 50_000
@@ -42,16 +42,16 @@ def features(text: str) -> list[float]:
     ]
 
 
-def feature_table(df: DataFrame, id_col: str, text_col: str, host: Column, path: Column) -> DataFrame:
-    """doc_id, host, path and an array of FEATURES for every row, written once."""
-    docs = text_rows(df, id_col, text_col, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+def feature_table(df: DataFrame, id_col: str, text_col: str, host: Column, path: Column, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, host, path, an array of FEATURES and the long columns ``more`` for every row, written once."""
+    docs = text_rows(df, id_col, text_col, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pa.array([features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), x], ["doc_id", "host", "path", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], x], ["doc_id", "host", "path", *more, "x"])
 
-    return stored(docs.mapInArrow(run, "doc_id long, host string, path string, x array<double>"), "features")
+    return stored(docs.mapInArrow(run, ", ".join(["doc_id long, host string, path string", *(f"{m} long" for m in more), "x array<double>"])), "features")
 
 
 def logistic(z: Column) -> Column:
@@ -85,8 +85,8 @@ def fit_score(x: DataFrame, labels: DataFrame) -> tuple[list[float], float]:
     return [float(w) for w in model.coefficients], float(model.intercept)
 
 
-def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, label: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """doc_id, host, path, evidence, host_posterior, path_posterior, quality, accepted for every row.
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, label: str = "quality", threshold: float = 0.3, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, host, path, evidence, host_posterior, path_posterior, quality, accepted and the long columns ``more`` for every row.
 
     The document classifier (fit on at most about SAMPLE labelled rows) gives
     each text a probability. Labels where known, else probabilities, are summed by
@@ -98,14 +98,14 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The threshold is under one half: a doubtful text stays.
     """
     host, path = host if host is not None else F.col("source"), path if path is not None else F.concat_ws("/", "source", "lang")
-    x = feature_table(df, id_col, text_col, host, path)
+    x = feature_table(df, id_col, text_col, host, path, more)
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     y = stored(y, "labels")
     weights, bias = fit_score(x, y)
     z = F.lit(bias)
     for i, w in enumerate(weights):
         z = z + F.col("x")[i] * w
-    scored = x.select("doc_id", "host", "path", F.greatest(F.lit(-12.0), F.least(F.lit(12.0), z)).alias("z"))
+    scored = x.select("doc_id", "host", "path", *more, F.greatest(F.lit(-12.0), F.least(F.lit(12.0), z)).alias("z"))
     known = scored.join(y.hint("merge"), "doc_id", "left").withColumn("p", F.coalesce("y", logistic(F.col("z"))))
     paths = stored(known.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n")), "paths")
     whole = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
@@ -118,7 +118,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sites = stored(nested.select("host", "path", "host_posterior", ((F.col("s") + kp * F.col("host_posterior")) / (F.col("n") + kp)).alias("path_posterior")), "sites")
     out = join_sized(scored, sites, ["host", "path"], "left", sites.count())
     odds = F.col("z") + logit(F.col("path_posterior")) - log(mean / (1 - mean))
-    return out.select("doc_id", "host", "path", logistic(F.col("z")).alias("evidence"), "host_posterior", "path_posterior", logistic(odds).alias("quality"), (logistic(odds) >= threshold).alias("accepted"))
+    return out.select("doc_id", "host", "path", logistic(F.col("z")).alias("evidence"), "host_posterior", "path_posterior", logistic(odds).alias("quality"), (logistic(odds) >= threshold).alias("accepted"), *more)
 
 
 def op10_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +126,9 @@ def op10_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns, that the classifier accepts."""
-    good = stored(classify(docs, labels).where("accepted").select("doc_id").distinct(), "accepted")
-    return docs.join(good.hint("merge"), "doc_id", "left_semi")
+    """Rows of ``docs``, all columns, that the classifier accepts, each by its own text and site.
+
+    A null id has no label; rows of one id share its label, but not a verdict.
+    """
+    rows = numbered(docs)
+    return chosen(rows, classify(rows, labels, more=(ROW,)).where("accepted"))
