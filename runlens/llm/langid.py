@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, chosen, numbered, table, text_rows
+from .common import ROW, chosen, numbered, stored, table, text_rows
 
-#: Training texts for each language on average, n-grams kept at most, filter bits as a power of two, hash functions.
+#: Training texts and n-grams for each language (on average, at most), filter bits as a power of two, hash functions.
 SAMPLE, GRAMS, BITS, HASHES = 1500, 300_000, 22, 2
 #: A language has an n-gram if its share there is at least this part of the largest share in any language.
 SHARE = 0.35
@@ -69,7 +69,7 @@ def mixed(codes: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class Filters:
-    """``bits``: for each filter position, a mask of languages; ``false``: each language's rate of false positives."""
+    """``bits``: for each 64 languages and filter position, a mask of languages; ``false``: each language's rate of false positives."""
 
     languages: list[str]
     bits: np.ndarray
@@ -77,36 +77,46 @@ class Filters:
 
     @classmethod
     def of(cls, languages: list[str], codes: np.ndarray, masks: np.ndarray) -> Filters:
-        bits = np.zeros(1 << BITS, np.uint64)
+        bits = np.zeros((masks.shape[1], 1 << BITS), np.uint64)
         for k in range(HASHES):
-            np.bitwise_or.at(bits, mixed(codes, k), masks)
-        filled = np.array([np.count_nonzero(bits >> np.uint64(i) & np.uint64(1)) for i in range(len(languages))])
-        return cls(languages, bits, (filled / len(bits)) ** HASHES)
-
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+            at = mixed(codes, k)
+            for plane, mask in zip(bits, masks.T):
+                np.bitwise_or.at(plane, at, mask)
+        filled = np.array([np.count_nonzero(bits[i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(len(languages))])
+        return cls(languages, bits, (filled / (1 << BITS)) ** HASHES)
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """For each text the language, its share of all languages' counts, and the share of the text's n-grams that it has."""
         codes, owner, has = grams(texts)
-        mask = self.bits[mixed(codes, 0)]
-        for k in range(1, HASHES):
-            mask &= self.bits[mixed(codes, k)]
+        places = [mixed(codes, k) for k in range(HASHES)]
         total = np.bincount(owner, minlength=len(texts)).astype(float)
-        hits = np.stack([np.bincount(owner[(mask >> np.uint64(i) & np.uint64(1)).astype(bool)], minlength=len(texts)) for i in range(len(self.languages))], 1) if self.languages else np.zeros((len(texts), 1))
+        hits = np.zeros((len(texts), max(1, len(self.languages))))
+        for w, plane in enumerate(self.bits):
+            mask = plane[places[0]]
+            for at in places[1:]:
+                mask &= plane[at]
+            for i in range(64 * w, min(64 * w + 64, len(self.languages))):
+                hits[:, i] = np.bincount(owner[(mask >> np.uint64(i % 64) & np.uint64(1)).astype(bool)], minlength=len(texts))
         real = np.maximum(0, (hits - total[:, None] * self.false) / (1 - self.false)) if self.languages else hits
         best, sums = real.argmax(1), real.sum(1)
         score = np.divide(real.max(1), sums, out=np.zeros(len(texts)), where=sums > 0)
+        held = np.divide(real.max(1), total, out=np.zeros(len(texts)), where=total > 0)
         names = [self.languages[b] if h and self.languages else "und" for b, h in zip(best.tolist(), has.tolist())]
-        return names, [float(s) if h and self.languages else 0.0 for s, h in zip(score, has.tolist())]
+        return names, *([float(s) if h and self.languages else 0.0 for s, h in zip(x, has.tolist())] for x in (score, held))
 
 
 def fit(train: DataFrame) -> Filters:
     """Filters from rows (text, lang): trigram counts of at most about SAMPLE texts a language, chosen by a hash of doc_id.
 
-    The 64 languages with the most rows are learned. Counting is distributed;
-    the driver gets the GRAMS most frequent n-grams.
+    Every language is learned; 64 of them take one mask of 8 bytes for each
+    filter position. Counting is distributed; the driver gets the GRAMS most
+    frequent n-grams of each language, without those whose share there is that
+    of one or two in the language with the most text.
     """
-    counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
+    counts = train.groupBy("lang").count().collect()
     languages = sorted(r.lang for r in counts)
     if not languages:
-        return Filters([], np.zeros(1 << BITS, np.uint64), np.zeros(0))
+        return Filters([], np.zeros((1, 1 << BITS), np.uint64), np.zeros(0))
     share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, SAMPLE / r["count"]))))
     sample = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
 
@@ -121,21 +131,45 @@ def fit(train: DataFrame) -> Filters:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
     each = sample.select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    per = each.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-    top = per.where("n > 2").orderBy(F.desc("n"), "code").limit(GRAMS).collect()
-    table_ = np.array([[r["by"].get(x, 0) for x in languages] for r in top], float).reshape(-1, len(languages))
-    shares = table_ / np.maximum(1, table_.sum(0))
-    has = (shares >= SHARE * shares.max(1, keepdims=True)) & (shares > 0)
-    masks = (has.astype(np.uint64) << np.arange(len(languages), dtype=np.uint64)).sum(1).astype(np.uint64)
-    return Filters.of(languages, np.array([r.code for r in top], np.uint64), masks)
+    each = stored(each, "grams")
+    often: dict[str, dict[int, int]] = {x: {} for x in languages}  # n-grams by count
+    for r in each.groupBy("lang", "n").count().collect():
+        often[r.lang][r.n] = r["count"]
+    total = {x: sum(n * many for n, many in by.items()) for x, by in often.items()}
+    least = {x: least_count(by, 2 * total[x] / max(1, *total.values())) for x, by in often.items()}
+    at = F.create_map(*(F.lit(x) for i, name in enumerate(languages) for x in (name, i)))[F.col("lang")]
+    floor = F.create_map(*(F.lit(x) for name in languages for x in (name, least[name])))[F.col("lang")]
+    top = each.where(F.col("n") >= floor).select(at.alias("at"), "code", "n").toArrow()
+    lang, n = top["at"].to_numpy().astype(np.int64), top["n"].to_numpy().astype(float)
+    codes, place = np.unique(top["code"].to_numpy().astype(np.int64), return_inverse=True)
+    shares, most = n / np.array([max(1, total[x]) for x in languages], float)[lang], np.zeros(len(codes))
+    np.maximum.at(most, place, shares)
+    has = shares >= SHARE * most[place]
+    masks = np.zeros((len(codes), -(-len(languages) // 64)), np.uint64)
+    np.bitwise_or.at(masks, (place[has], lang[has] // 64), np.uint64(1) << (lang[has] % 64).astype(np.uint64))
+    return Filters.of(languages, codes.astype(np.uint64), masks)
+
+
+def least_count(often: dict[int, int], over: float) -> int:
+    """The least count above ``over`` that at most GRAMS n-grams have or exceed; the greatest count where even that has more."""
+    most = least = max(often, default=1)
+    held = 0
+    for n in sorted(often, reverse=True):
+        held += often[n]
+        if n <= over or held > GRAMS:
+            break
+        least = n
+    return min(most, least)
 
 
 def identify(df: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score: for every row, from its whole text.
+    """doc_id, lang_pred, score, held: for every row, from its whole text.
 
     ``und`` and 0.0 for a text that is null or has no letter. The score is the
     winning language's share of all corrected counts; a tie goes to the first
-    language in alphabetical order. Repeated rows and null ids are kept.
+    language in alphabetical order. Held is the share of the text's n-grams that the winning
+    language has, which other languages don't change. Repeated rows and null ids
+    are kept.
     """
     shared = df.sparkSession.sparkContext.broadcast(filters)
 
@@ -143,13 +177,15 @@ def identify(df: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
         for batch in batches:
             names: list[str] = []
             scores: list[float] = []
+            shares: list[float] = []
             for _, some in together(batch.column(1).to_pylist()):
-                n, s = shared.value.predict(some)
+                n, s, h = shared.value.predict(some)
                 names += n
                 scores += s
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                shares += h
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], ["doc_id", "lang_pred", "score", "held"])
 
-    return text_rows(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return text_rows(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, held double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -169,10 +205,10 @@ def op8_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """Rows of ``docs``, all columns, whose language is told: not ``und``, and with a score of at least ``least``.
+    """Rows of ``docs``, all columns, whose language is told: not ``und``, and with at least ``least`` of its n-grams held.
 
     Each row by its own text; its id may be null or occur twice.
     """
     rows = numbered(docs)
-    told = identify(rows, learn(rows), ROW).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    told = identify(rows, learn(rows), ROW).where((F.col("lang_pred") != "und") & (F.col("held") >= least))
     return chosen(rows, told.withColumnRenamed("doc_id", ROW))
