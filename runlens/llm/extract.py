@@ -6,6 +6,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import log
 
 import pyarrow as pa
@@ -27,52 +28,96 @@ TOKEN = re.compile(
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements, and words in class, id or role, whose content isn't the page's main text.
+#: Elements, and whole tokens of class, id or role, whose content isn't the page's main text unless they hold it (see ``settle``).
 ASIDE = frozenset("head nav footer aside form button select menu dialog".split())
 ASIDE_WORDS = frozenset("ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer menu nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 
 
 def names(attrs: str) -> list[str]:
-    """Words of class, id and role."""
-    return [w for m in ATTR.finditer(attrs) for w in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()) if w]
+    """Whole tokens of class, id and role: 'has-sidebar' isn't 'sidebar'."""
+    return [w for m in ATTR.finditer(attrs) for w in (m[2] or m[3] or m[4] or "").lower().split()]
+
+
+@dataclass
+class Element:
+    """``words``: all in it; ``plain``: without those in marked elements inside; ``off``: marked as boilerplate, alone or by what holds it."""
+
+    tag: str
+    up: int
+    marked: bool
+    words: int = 0
+    plain: int = 0
+    off: bool = False
+
+
+def settle(elements: list[Element]) -> None:
+    """Set ``off``: marks fall from what holds the main element, the greatest article or, on a page of neither, over half of the words.
+
+    An article lifts the mark of an element only with half or more of its plain
+    words, so that one of many comments doesn't. Nav, footer and the like keep
+    theirs on a page of neither.
+    """
+    total = sum(e.words for e in elements)
+    for e in reversed(elements):
+        e.plain += e.words
+    for e in reversed(elements):
+        if e.up >= 0:
+            elements[e.up].words += e.words
+            elements[e.up].plain += 0 if e.marked else e.plain
+    cores = [max(found, key=lambda e: e.words) for tag in ("main", "article") if (found := [e for e in elements if e.tag == tag and e.words])]
+    for core in cores:
+        at = core.up
+        while at >= 0:
+            e = elements[at]
+            e.marked = e.marked and core.tag == "article" and 2 * core.words < e.plain
+            at = e.up
+    for e in elements:
+        if not cores and e.marked and (e.tag == "form" or e.tag not in ASIDE) and 2 * e.plain > total:
+            e.marked = False
+        e.off = e.marked or e.up >= 0 and elements[e.up].off
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(kind, text, aside, block) of every tag and text run: kind is '' for text, else the tag with its first class; aside if boilerplate holds it."""
-    stack: list[tuple[str, str, bool]] = []
-    asides = mains = 0
+    stack: list[tuple[str, str, int]] = []
+    elements, out = [Element("", -1, False)], []
+    mains = 0
     for m in TOKEN.finditer(page):
         tag = m["tag"] or m["tag2"]
+        here = stack[-1][2] if stack else 0
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
-                yield "", m[0], asides > 0, False
+                elements[here].words += len(m[0].split())
+                out.append(("", m[0], here, False))
             continue
         tag, attrs = tag.lower(), m["attrs"] or m["attrs2"] or ""
         if m["end"] or m["end2"]:
             kind = f"/{tag}"
             if any(t == tag for t, _, _ in stack):
                 while stack:
-                    t, k, off = stack.pop()
-                    asides -= off
+                    t, k, _ = stack.pop()
                     mains -= t in ("article", "main")
                     if t == tag:
                         kind = f"/{k}"
                         break
-            yield kind, "", asides > 0, tag in BLOCKS
+            out.append((kind, "", stack[-1][2] if stack else 0, tag in BLOCKS))
             continue
         words = names(attrs) if attrs.strip("/ ") else []
         kind = f"{tag}.{words[0]}" if words else tag
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
-            yield kind, "", asides > 0, tag in BLOCKS
+            out.append((kind, "", here, tag in BLOCKS))
             continue
         if tag == "p" and stack and stack[-1][0] == "p":
-            asides -= stack.pop()[2]
+            stack.pop()
+            here = stack[-1][2] if stack else 0
         off = tag in ASIDE or not ASIDE_WORDS.isdisjoint(words) or (tag == "header" or "header" in words) and not mains
-        off = off and tag not in ("html", "body", "article", "main")
-        stack.append((tag, kind, off))
-        asides += off
+        elements.append(Element(tag, here, off and tag not in ("html", "body", "article", "main")))
+        stack.append((tag, kind, len(elements) - 1))
         mains += tag in ("article", "main")
-        yield kind, "", asides > 0, tag in BLOCKS
+        out.append((kind, "", len(elements) - 1, tag in BLOCKS))
+    settle(elements)
+    for kind, text, at, block in out:
+        yield kind, text, elements[at].off, block
 
 
 def counted(page: str) -> Counter[tuple[str, bool]]:
@@ -149,7 +194,8 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """page_id, url, text, n_chars for every row.
 
     The text is that of the best run, without what menus, headers and footers of
-    the page, sidebars, notices, adverts, forms and comments hold inside it.
+    the page, sidebars, notices, adverts, forms and comments hold inside it, but not without
+    the article that such an element itself wraps.
     Null or empty html, and pages without words, give an empty text. Unclosed
     tags end with what holds them; a stray '<' is text. Repeated rows stay.
     """
