@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table, text_rows
-from .tokens import Chunks, tokenizer_path, word_pieces
+from .tokens import Units, tokenizer_path
 
 #: Pieces in a partition on average, and partitions that exchange with each other.
 GROUP, FAN_IN = 16_000, 16
@@ -24,13 +24,18 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame
     """Pieces of at most ``size`` ids of every text with its end id; only longer texts are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, end = Chunks.of(tokenizer), np.uint32(end_id).tobytes()
+        units, end = Units.of(tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
+            docs, texts, rows = (c.to_pylist() for c in batch.columns)
             out: list[tuple] = []
-            for doc, text, row in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = chunks.raw(word_pieces(text)) + end
-                for k in range(0, len(raw), 4 * size):
-                    out.append((doc, row, k // (4 * size), k // 4, len(raw[k : k + 4 * size]) // 4, zlib.crc32(raw[k : k + 4 * size])))
+            at = 0
+            for ids, ends in units.encode(texts):
+                flat = ids.astype("<u4").tobytes()
+                for a, b in zip([0, *ends.tolist()], ends.tolist()):
+                    raw = flat[4 * a : 4 * b] + end
+                    for k in range(0, len(raw), 4 * size):
+                        out.append((docs[at], rows[at], k // (4 * size), k // 4, len(raw[k : k + 4 * size]) // 4, zlib.crc32(raw[k : k + 4 * size])))
+                    at += 1
             yield arrow(out, PIECES)
 
     return docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, PIECES)

@@ -79,7 +79,8 @@ def test_coder_enters_at_checkpoints():
     coder = rans.Coder(rans.scaled(np.bincount(ids)))
     words, marks = coder.encode(ids)
     assert (coder.decode(words, marks, len(ids)) == ids).all()
-    assert (coder.decode(words, marks, len(ids), 1) == ids[rans.CHECK_STEPS * rans.LANES :]).all()
+    for a, b in ((0, 5), (rans.CHECK_STEPS * rans.LANES, 600_000), (rans.CHECK_STEPS * rans.LANES + 1, 300_000), (599_999, 600_000), (7, 7)):
+        assert (coder.decode(words, marks, len(ids), a, b) == ids[a:b]).all()
 
 
 def test_packing(spark):
