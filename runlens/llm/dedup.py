@@ -45,7 +45,7 @@ def marked(rows: DataFrame, hash128: Callable[[Column], Column] = F.md5) -> Data
     )
     mixed = stored(texts.groupBy("h").count().where("count > 1").select("h"), "mixed")
     one = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    out = keys.join(groups.hint("merge"), "h", "left")
+    out = join_sized(keys, groups, "h", "left", n)
     same = out.select(
         "doc_id",
         F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
