@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,89 +12,101 @@ from pyspark.sql import functions as F
 
 from .common import importable, stored, table
 
-#: Vectors in an index block, queries in a query block, impact levels for each dimension, rounds of segments.
-BLOCK, QUERIES, LEVELS, STEPS = 8192, 512, 16, 4
-#: Query blocks are broadcast up to so many bytes; beyond, they are joined by a shuffle.
+#: Vectors in an index block, queries in a query block, impact levels for each dimension.
+BLOCK, QUERIES, LEVELS = 8192, 512, 32
+#: Shares of a block's postings after each round, and the part of its rows that are rescored at once when no other row can be a member.
+ROUNDS, RESCORED = [0.1 + 0.05 * i for i in range(19)], 8
+#: Query blocks are broadcast together up to so many bytes.
 BROADCAST_BYTES = 32 << 20
 
 
 class ImpactIndex:
-    """Postings of one block: for each dimension, rows by level of their component.
-
-    For a query, a dimension's segments carry the most that a row in them can
-    add, ``bound``. Segments are processed by descending impact over the lowest
-    possible share of their dimension; a row's accumulator holds an upper bound
-    of its score from processed segments, and every unprocessed dimension can add
-    at most what the next segment does. Once k rows have exact scores that no
-    unseen or unscored row can pass, the search stops.
+    """Postings of one block: for each dimension, segments of rows by level of their component.
+
+    A segment's impact for a query is the most that its rows' components add over
+    the least that the dimension adds to any row. Segments are processed by
+    descending impact, whatever their dimension, and only once met. A row's
+    accumulator holds the impacts met and their number; each of its other
+    dimensions adds at most what the next segment does. The search stops when few
+    enough rows have bounds that reach the k-th exact score: those are rescored,
+    and no other row can be a member. ``read`` counts postings processed.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
         self.ids, self.vectors = ids, vectors
         n, dims = vectors.shape
         low, high = vectors.min(0), vectors.max(0)
-        width = np.maximum(1, -(-(high - low + 1) // levels))
-        level = (vectors - low) // width
+        level = (vectors - low) // np.maximum(1, -(-(high - low + 1) // levels))
         order = np.argsort(level, axis=0, kind="stable")
-        self.order = order
-        self.cuts = np.stack([np.searchsorted(level[order[:, d], d], np.arange(levels + 1)) for d in range(dims)])
-        self.least = np.minimum(low + width * np.arange(levels)[:, None], high).T
-        self.most = np.minimum(low + width * (np.arange(levels)[:, None] + 1) - 1, high).T
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        self.postings = np.ascontiguousarray(order.T).ravel()
+        sorted_ = np.take_along_axis(level, order, 0).T
+        start = np.ones((dims, n), bool)
+        start[:, 1:] = sorted_[:, 1:] != sorted_[:, :-1]
+        self.begin = np.flatnonzero(start)
+        self.end = np.append(self.begin[1:], n * dims)
+        self.dim, self.size = self.begin // n, self.end - self.begin
+        self.first = np.searchsorted(self.begin, np.arange(dims) * n)
+        values = np.take_along_axis(vectors, order, 0).T.ravel()
+        self.least, self.most = np.minimum.reduceat(values, self.begin), np.maximum.reduceat(values, self.begin)
+        self.read = self.all = 0
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, reached: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
         """For every query the k best (vec_id, score), ties to the smaller id, never the query's own row.
 
-        Each query has its own order of segments. A posting list is walked once a
-        round for all queries still open, each adding its own bound for the segment.
+        ``reached``: a score for each query that k other rows reach; rows below it are left out.
         """
-        n, dims = self.vectors.shape
-        filled = self.cuts[:, 1:] > self.cuts[:, :-1]
-        ends = np.stack([self.least * queries[:, :, None], self.most * queries[:, :, None]])
-        floor = np.where(filled, ends.min(0), np.iinfo(np.int64).max).min(2)  # least that the dimension adds to any row
-        gain = np.where(filled, ends.max(0) - floor[:, :, None], -1)  # impact: most that a row of the segment adds over that
-        ranked = -np.sort(-gain[:, filled], axis=1)
-        bound = np.repeat(gain.max(2)[:, :, None], gain.shape[2], 2)  # most that a row adds, as known so far
-        first, last = floor.sum(1) + bound[:, :, 0].sum(1), floor.sum(1)
-        kind = np.int32 if max(np.abs(first).max(), np.abs(last).max()) < 1 << 31 else np.int64  # bounds only fall, from first to last at the least
-        upper = np.tile(first.astype(kind), (n, 1))
-        scored = self.ids == query_ids[:, None]
-        exact, best = np.zeros((len(queries), n), np.int64), [np.zeros(0, np.int64)] * len(queries)
-        active = np.arange(len(queries))
-        for step in range(STEPS // 2 + 1, STEPS + 1):
-            cut = ranked[active, ranked.shape[1] * step // STEPS - 1]
-            met = filled & (gain[active] >= cut[:, None, None])
-            rest = np.where(filled & ~met, gain[active], 0).max(2)
-            known = np.where(met, gain[active], rest[:, :, None])
-            more = np.ascontiguousarray((known - bound[active]).astype(kind).transpose(1, 2, 0))
-            bound[active] = known
-            for d, lv in np.argwhere(filled).tolist():
-                upper[self.order[self.cuts[d, lv] : self.cuts[d, lv + 1], d]] += more[d, lv]
-            left = []
-            for at, (q, u) in enumerate(zip(active.tolist(), np.ascontiguousarray(upper.T))):
-                proven = False
-                while not proven:
-                    best[q], proven = self.prove(queries[q], k, u, exact[q], scored[q], best[q])
-                    if step < STEPS:
-                        break
-                if not proven:
-                    left.append(at)
-            active, upper = active[left], np.ascontiguousarray(upper[:, left])
-            if not len(active):
-                break
-        return [[(int(self.ids[r]), int(exact[q][r])) for r in best[q]] for q in range(len(queries))]
-
-    def prove(self, query: np.ndarray, k: int, upper: np.ndarray, exact: np.ndarray, scored: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, bool]:
-        """Rescore the rows with the highest bounds exactly; proven if no other row's bound reaches the k-th score."""
-        open_ = np.flatnonzero(~scored)
-        if len(open_):
-            m = min(len(open_), max(256, 4 * k))
-            top = open_[np.argpartition(-upper[open_], m - 1)[:m]]
-            exact[top] = self.vectors[top] @ query
-            scored[top] = True
-            pool = np.concatenate([best, top])
+        weight = queries[:, self.dim]
+        ends = weight * self.least, weight * self.most
+        floor = np.minimum.reduceat(np.minimum(*ends), self.first, axis=1)  # least that the dimension adds to any row
+        gain = np.maximum(*ends) - floor[:, self.dim]
+        peak = np.maximum.reduceat(gain, self.first, axis=1)
+        reached = np.full(len(queries), np.iinfo(np.int64).min) if reached is None else reached
+        return [self.one(int(i), q, k, g, p, int(f.sum()), int(r)) for i, q, g, p, f, r in zip(query_ids, queries, gain, peak, floor, reached)]
+
+    def one(self, query_id: int, query: np.ndarray, k: int, gain: np.ndarray, peak: np.ndarray, base: int, reached: int) -> list[tuple[int, int]]:
+        n, total = len(self.ids), len(self.postings)
+        by = np.argsort(-gain, kind="stable")
+        upto = np.cumsum(self.size[by])
+        most = int(peak.sum())
+        met, number = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        scored, exact = self.ids == query_id, np.zeros(n, np.int64)
+        best, at, room = np.zeros(0, np.int64), 0, max(4 * k, n // RESCORED)
+
+        def rescore(rows: np.ndarray) -> None:
+            nonlocal best, reached
+            exact[rows], scored[rows] = self.vectors[rows] @ query, True
+            pool = np.concatenate([best, rows])
             best = pool[np.lexsort((self.ids[pool], -exact[pool]))][:k]
-            open_ = np.flatnonzero(~scored)
-        return best, not len(open_) or len(best) >= k and int(upper[open_].max()) < int(exact[best[-1]])
+            if len(best) == k:
+                reached = max(reached, int(exact[best[-1]]))
+
+        for share in ROUNDS:
+            to = int(np.searchsorted(upto, share * total)) + 1 if share < 1 else len(by)
+            if to <= at:
+                continue
+            some, at = by[at:to], to
+            rows = np.concatenate([self.postings[a:b] for a, b in zip(self.begin[some].tolist(), self.end[some].tolist())])
+            if most < 1 << 31:  # both sums in one, exact as a double
+                both = np.bincount(rows, np.repeat(gain[some] + float(1 << 32), self.size[some]), n).astype(np.int64)
+                met += both & 0xFFFFFFFF
+                number += both >> 32
+            else:
+                np.add.at(met, rows, np.repeat(gain[some], self.size[some]))
+                number += np.bincount(rows, minlength=n)
+            self.read += len(rows)
+            rest = int(gain[by[at]]) if at < len(by) else 0
+            upper = met - number * rest + (base + int(np.minimum(peak, rest).sum()))
+            upper[scored] = np.iinfo(np.int64).min
+            if not scored.all():
+                top = np.argpartition(-upper, min(4 * k, n) - 1)[: 4 * k]
+                rescore(top[~scored[top]])
+                upper[top] = np.iinfo(np.int64).min
+            members = np.flatnonzero((upper >= reached) & ~scored)
+            if len(members) <= room or at == len(by):
+                rescore(members)
+                break
+        self.all += total
+        return [(int(self.ids[r]), int(exact[r])) for r in best if exact[r] >= reached]
 
 
 def components(vector: Column) -> Column:
@@ -124,40 +137,60 @@ def blocks_of(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.mapInArrow(run, "ids binary, dims long, data binary")
 
 
-def exact_top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
+SCORED = "query_id long, vec_id long, score long, read long, all long"
+
+
+def exact_top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, report: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row where ``is_query`` holds.
 
     Vectors that are null, empty, or hold null or non-finite components take no
     part, nor do null ids; vectors of another length than the query's aren't
-    compared. Rows with the query's own id are never its results. Query blocks
-    meet index blocks pairwise; each pair returns at most k rows a query.
+    compared. Rows with the query's own id are never its results; of other rows
+    that share an id each is a row of its own. Components and scores are 64-bit
+    integers. Query blocks are broadcast, as many at a time as BROADCAST_BYTES
+    holds, and meet every index block; a block and a query give at most k rows,
+    none that k rows met before by the same task beat. With ``report`` the result
+    is the number of postings read, and of all postings of all searches, instead.
     """
     importable(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), components(F.col(vector_col)).alias("v"), is_query.alias("asks")).where("vec_id is not null and v is not null")
     index = blocks_of(rows.select("vec_id", "v"), BLOCK)
-    asks = rows.where("asks").select("vec_id", "v").withColumn("part", F.lit(0))
+    asks = rows.where("asks").select("vec_id", "v")
     many = asks.count()
-    queries = stored(blocks_of(asks.select("vec_id", "v").repartition(max(1, -(-many // QUERIES)), "vec_id"), QUERIES).withColumnsRenamed({"ids": "q_ids", "data": "q_data"}), "queries")
+    queries = stored(blocks_of(asks.repartition(max(1, -(-many // QUERIES)), "vec_id"), QUERIES).withColumnsRenamed({"ids": "q_ids", "data": "q_data"}), "queries")
     size = queries.agg(F.sum(F.length("q_data"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        pairs = index.join(F.broadcast(queries), "dims")
-    else:
-        n = queries.count()
-        numbered = stored(queries.withColumn("q", F.pmod(F.xxhash64("q_ids"), F.lit(n))), "numbered")
-        pairs = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(numbered.hint("shuffle_hash"), ["dims", "q"])
+    turns = max(1, -(-2 * size // BROADCAST_BYTES))  # blocks are dealt by hash: half full on average
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, ImpactIndex] | None = None
+        best: dict[tuple[int, int], np.ndarray] = {}  # the k best scores of each query so far, in order
         for batch in batches:
             for ids, data, dims, q_ids, q_data in zip(*(c.to_pylist() for c in batch.columns)):
                 if last is None or last[0] != ids:
                     last = ids, ImpactIndex(np.frombuffer(ids, "<i8"), np.frombuffer(data, "<i8").reshape(-1, dims))
-                asked = np.frombuffer(q_ids, "<i8")
-                found = last[1].search(asked, np.frombuffer(q_data, "<i8").reshape(-1, dims), k)
-                out = [(q, i, s) for q, rows in zip(asked.tolist(), found) for i, s in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([*zip(*out)] or [(), (), ()])], ["query_id", "vec_id", "score"])
-
-    found = pairs.select("ids", "data", "dims", "q_ids", "q_data").mapInArrow(run, "query_id long, vec_id long, score long")
+                asked, index = np.frombuffer(q_ids, "<i8"), last[1]
+                none = np.full(k, np.iinfo(np.int64).min)
+                reached = np.array([best.get((dims, q), none)[0] for q in asked.tolist()], np.int64)
+                was = index.read, index.all
+                found = index.search(asked, np.frombuffer(q_data, "<i8").reshape(-1, dims), k, reached)
+                for q, got in zip(asked.tolist(), found):
+                    best[dims, q] = np.sort(np.concatenate([best.get((dims, q), none), [s for _, s in got]]).astype(np.int64))[-k:]
+                out = [(q, i, s, None, None) for q, got in zip(asked.tolist(), found) for i, s in got]
+                if report:
+                    out = [(None, None, None, index.read - was[0], index.all - was[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([*zip(*out)] or [()] * 5)], [f.split()[0] for f in SCORED.split(", ")])
+
+    def meet(some: DataFrame, with_index: DataFrame) -> DataFrame:
+        return with_index.join(F.broadcast(some), "dims").select("ids", "data", "dims", "q_ids", "q_data").mapInArrow(run, SCORED)
+
+    if turns == 1:
+        found = meet(queries, index)
+    else:
+        index = stored(index, "index")
+        turn = F.pmod(F.xxhash64("q_ids"), F.lit(turns))
+        found = reduce(DataFrame.unionByName, (stored(meet(queries.where(turn == i), index), "found") for i in range(turns)))
+    if report:
+        return found.agg(F.sum("read").alias("postings_read"), F.sum("all").alias("postings_all"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
