@@ -10,7 +10,6 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,29 +92,39 @@ def one_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
-    """("record", start, end, headers, block) for every valid record, and ("gap", start, end, {}, b"") for bytes between them."""
+    """("record", start, end, headers, block) for every valid record, and ("gap", start, end, {}, b"") for bytes between them but line ends.
+
+    After a failed check the search goes on at the next member or version line;
+    a place once found is kept until it is passed, so each byte is searched once.
+    """
     at = gap = 0
+    version = zipped = -1
     while at < len(data):
         if got := one_at(data, at):
-            if gap < at:
+            if data[gap:at].strip(b"\r\n"):
                 yield "gap", gap, at, {}, b""
             yield "record", at, got[2], got[0], got[1]
             at = gap = got[2]
             continue
-        version, zipped = VERSION.search(data, at + 1), data.find(MEMBER, at + 1)
-        at = min(version.start() if version else len(data), zipped if zipped >= 0 else len(data))
-    if gap < len(data):
+        if version <= at:
+            version = m.start() if (m := VERSION.search(data, at + 1)) else len(data)
+        if zipped <= at:
+            zipped = len(data) if (z := data.find(MEMBER, at + 1)) < 0 else z
+        at = min(version, zipped)
+    if data[gap:].strip(b"\r\n"):
         yield "gap", gap, len(data), {}, b""
 
 
-def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
-    """A record for each row, in gzip members of archives under ``path``; returns the archives written (file, records, bytes).
+def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> None:
+    """A record for each row, in gzip members of archives under ``path``.
 
     Of rows with equal payloads of at least ``least`` bytes (equal length, SHA-1
     and MD5), the one with the smallest id is a response and others revisit it.
     Null payload counts as empty, and an empty one is a payload like others.
     Rows with a null id, and rows that repeat the response's id, are responses.
-    The list of archives holds those of successful task attempts only.
+    Spark's own text writer puts each archive into a file (its bytes and a line
+    end), so any file system of the cluster will do and only what successful
+    task attempts wrote is there.
     """
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("html"))
     same = [F.octet_length("html").alias("size"), F.unhex(F.sha1("html")).alias("sha1"), F.unhex(F.md5("html")).alias("md5")]
@@ -125,48 +134,32 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
     typed = join_sized(pages.withColumn("md5", F.unhex(F.md5("html"))), again, ["page_id", "md5"], "left", again.count()).select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        files, base = fs.FileSystem.from_uri(path)
-        files.create_dir(base, recursive=True)
-        task, made = TaskContext.get(), 0
         held: list[bytes] = []
-
-        def close() -> pa.RecordBatch:
-            nonlocal made
-            name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{made:05d}.warc.gz"
-            with files.open_output_stream(f"{base}/{name}", compression=None) as out:
-                out.write(b"".join(held))
-            made += 1
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([sum(map(len, held))], pa.int64())], ["file", "records", "bytes"])
-
         size = 0
         for batch in batches:
             for page, url, html, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 held.append(member(record(page, url, html.encode("utf-8", "surrogatepass"), refers)))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
-                    yield close()
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
                     held, size = [], 0
         if held:
-            yield close()
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
 
-    return stored(typed.mapInArrow(run, "file string, records long, bytes long"), "archives")
+    typed.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
 
 
 READ = "file string, kind string, start long, end long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_archives(spark: SparkSession, path: str, archives: DataFrame | None = None, with_payload: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """Rows of archives under ``path``: kind ``record`` for each valid record, kind ``gap`` for quarantined bytes (null columns).
 
     A record counts if its member or version line, length, ends and block digest
     hold. After a failure the reader searches the next place that begins a valid
-    record. ``archives`` limits it to those files.
+    record. An archive is read whole by one task.
     """
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    if archives is not None:
-        files = join_sized(files, archives.select("file"), "file", "left_semi", archives.count())
     schema = READ + ", payload binary" * with_payload
     names = [f.split()[0] for f in schema.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: len(names)]
@@ -192,9 +185,14 @@ def read_archives(spark: SparkSession, path: str, archives: DataFrame | None = N
     return files.mapInArrow(run, schema)
 
 
+def salvage_archives(spark: SparkSession, path: str, log: str) -> DataFrame:
+    """Records of the archives under ``path``; the quarantined gaps (file, start, end) are written to ``log`` as Parquet."""
+    rows = stored(read_archives(spark, path), "salvaged")
+    rows.where("kind = 'gap'").select("file", "start", "end").write.parquet(log)
+    return rows.where("kind = 'record'").drop("kind")
+
+
 def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/warc"
-    archives = write_archives(table(spark, sf_dir, "pages"), path)
-    if archives.isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_archives(spark, path, archives).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write_archives(table(spark, sf_dir, "pages"), f"{path}/archives")
+    return salvage_archives(spark, f"{path}/archives", f"{path}/gaps").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
