@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import stored, table, text_rows
 from .tokens import Units, tokenizer_path
 
-#: Pieces in a partition on average, and partitions that exchange with each other.
-GROUP, FAN_IN = 16_000, 16
+#: Pieces in a partition on average, and times that open bins are exchanged at most.
+GROUP, EXCHANGES = 16_000, 4
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, part long, sequence_id long, offset long, certified boolean, open boolean"
@@ -118,28 +118,31 @@ def pack(parts: DataFrame, size: int, last: bool, step: int) -> DataFrame:
 def best_fit_pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, size: int = 4096, group: int = GROUP) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified.
 
-    Pieces are dealt evenly to partitions of about ``group``; each is packed by
-    best-fit decreasing and held against its lower bound. Open bins' documents
-    go on to a partition that FAN_IN partitions share, and so on until one is
-    left, so no task ever holds more than a few times ``group`` pieces. Null or empty
-    text is one piece with the end id alone. Repeated rows and null ids are
-    packed as rows of their own. An empty table gives an empty result.
+    Pieces are dealt by a hash to partitions of about ``group``; each is packed by
+    best-fit decreasing and held against its lower bound. The documents of open
+    bins are dealt anew, again to partitions of about ``group``, until one
+    partition takes them all or they were exchanged EXCHANGES times; what is left
+    then stays as packed, not certified. So no task ever holds much more than
+    ``group`` pieces, however few partitions can be certified.
+
+    Null or empty text is one piece with the end id alone. Repeated rows and null
+    ids are packed as rows of their own. An empty table gives an empty result.
     """
     docs = text_rows(df, id_col, text_col)
     left = stored(pieces(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id, size), "pieces")
-    count = left.count()
-    parts, step, done = max(1, -(-count // group)), 0, None
-    left = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(parts)))
-    while True:
-        packed = stored(pack(left, size, parts == 1, step), f"packed{step}")
-        closed = packed.where("not open")
+    n, done = left.count(), None
+    columns = left.columns
+    for step in range(EXCHANGES + 1):
+        parts = max(1, -(-n // group))
+        last = parts == 1 or step == EXCHANGES
+        dealt = left.select(*columns, F.pmod(F.xxhash64("doc_id", "row", "piece", F.lit(step)), F.lit(parts)).alias("part"))
+        packed = stored(pack(dealt, size, last, step), f"packed{step}")
+        closed = packed if last else packed.where("not open")
         done = closed if done is None else done.unionByName(closed)
-        if parts == 1:
+        if last:
             break
-        opened = packed.where("open").select(*left.columns)
-        step, n = step + 1, opened.count()
-        parts = 1 if n <= group else min(-(-parts // FAN_IN), -(-n // group))
-        left = opened.withColumn("part", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(parts)))
+        left = packed.where("open")
+        n = left.count()
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
 
 

@@ -1,6 +1,8 @@
 """Corpus operators against brute force, on small tables with nulls, ties, repeats, clashing columns and long texts."""
 
+import base64
 import hashlib
+import os
 import re
 import zlib
 
@@ -83,8 +85,7 @@ def test_coder_enters_at_checkpoints():
         assert (coder.decode(words, marks, len(ids), a, b) == ids[a:b]).all()
 
 
-def test_packing(spark):
-    rows = packing.best_fit_pack(docs(spark, TEXTS * 20), size=64, group=40).collect()
+def check_bins(rows, size):
     bins = {}
     for r in rows:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -93,12 +94,36 @@ def test_packing(spark):
         for offset, length in sorted(b):
             assert offset == end
             end += length
-        assert end <= 64
-    assert len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+        assert end <= size
+    return bins
+
+
+def test_packing(spark):
+    texts, lib = TEXTS * 20, library("word_bpe_49k.json")
+    df = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 50 == 3, None).otherwise(F.col("doc_id") % 200))  # null and repeated ids
+    rows = packing.best_fit_pack(df, size=64, group=40).collect()
+    bins = check_bins(rows, 64)
     assert len(bins) <= packing.lower_bound(np.array([r.length for r in rows]), 64) + 2
+    want = []
+    for i, t in enumerate(texts):
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
+        want += [(None if i % 50 == 3 else i % 200, k // 64, k, len(ids[k : k + 64]), zlib.crc32(np.array(ids[k : k + 64], "<u4").tobytes())) for k in range(0, len(ids), 64)]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=key) == sorted(want, key=key)
     assert packing.best_fit_pack(empty(spark)).count() == 0
 
 
+def test_no_group_of_packing_outgrows_its_size(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(["the"] * int(n)) for n in rng.integers(21, 32, 1500)]  # three never fit, so no partition is certified
+    rows = packing.best_fit_pack(docs(spark, texts), size=64, group=100).collect()
+    groups = {}
+    for r in rows:
+        groups[r.sequence_id >> 24] = groups.get(r.sequence_id >> 24, 0) + 1
+    assert len(rows) == 1500 and max(groups.values()) <= 150
+    assert len(check_bins(rows, 64)) <= packing.lower_bound(np.array([r.length for r in rows]), 64) * 1.1
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     v = [[float(x) for x in row] for row in rng.normal(size=(150, 8)).round(1)]
@@ -154,11 +179,53 @@ def test_salvage():
     assert [*warc.salvage(b"")] == []
 
 
-def test_archives(spark):
-    pages = spark.createDataFrame([(1, "u", "a"), (2, None, "a"), (3, "u", None), (4, "u", ""), (None, "u", "z")], "page_id long, url string, html string")
-    path = f"{scratch_dir(spark)}/warc"
-    out = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(spark, path, warc.write_archives(pages, path)).collect()}
-    assert out == {1: (1, "response", None), 2: (1, "revisit", 1), 3: (0, "response", None), 4: (0, "revisit", 3), None: (1, "response", None)}
+def test_salvage_after_damage_at_any_place():
+    """Each byte of an archive is changed once: records that it doesn't touch come back, and records and gaps cover the file."""
+    records = [(warc.member if i % 2 else bytes)(warc.record(i, "u", b"<p>%d</p>" % i * 5, None)) for i in range(3)]
+    whole, starts = b"".join(records), np.cumsum([0, *map(len, records)])
+    for at in range(len(whole)):
+        data = whole[:at] + bytes([whole[at] ^ 0x15]) + whole[at + 1 :]
+        got = [*warc.salvage(data)]
+        hit = int(np.searchsorted(starts, at, "right")) - 1
+        assert {h.get("x-page-id") for k, _, _, h, _ in got if k == "record"} >= {str(i) for i in range(3) if i != hit}
+        ends = [0, *(b for _, _, b, _, _ in got)]
+        assert all(a >= e and not data[e:a].strip(b"\r\n") for e, (_, a, _, _, _) in zip(ends, got)) and not data[ends[-1] :].strip(b"\r\n")
+
+
+PAGES = [(1, "u", "a"), (2, None, "a"), (3, "u", None), (4, "u", ""), (None, "u", "z"), (5, "u", "é" * 9), (6, "u", "é" * 9), (6, "w", "é" * 9), (5, "x", "b"), (7, "u", "word " * 300_000)]
+
+
+@pytest.mark.parametrize("least", [0, 3])
+def test_archives(spark, monkeypatch, least):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 500)
+    pages = spark.createDataFrame([(*p, 1, "f") for p in PAGES], "page_id long, url string, html string, size int, file string").coalesce(1)
+    path = scratch_dir(spark)
+    warc.write_archives(pages, f"{path}/a", least=least)
+    want = []
+    for i, _, html in PAGES:
+        raw = (html or "").encode()
+        first = min(j for j, _, h in PAGES if j is not None and (h or "") == (html or "")) if i is not None and len(raw) >= least else i
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        want.append((i, len(raw), digest, "response" if first == i else "revisit", None if first == i else first))
+    got = [tuple(r) for r in warc.salvage_archives(spark, f"{path}/a", f"{path}/gaps").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert spark.read.parquet(f"{path}/gaps").count() == 0
+    warc.write_archives(pages.limit(0), f"{path}/none")
+    assert warc.salvage_archives(spark, f"{path}/none", f"{path}/nogaps").count() == 0
+
+
+def test_gaps_of_damaged_archives_are_logged(spark):
+    path = scratch_dir(spark)
+    warc.write_archives(spark.createDataFrame([(i, "u", f"<p>{i}</p>") for i in range(50)], "page_id long, url string, html string").coalesce(1), f"{path}/a")
+    raw = bytearray(spark.read.format("binaryFile").load(f"{path}/a").first().content)
+    raw[len(raw) // 2] ^= 0xFF
+    os.makedirs(f"{path}/b")
+    with open(f"{path}/b/x.warc.gz", "wb") as f:
+        f.write(raw)
+    got = warc.salvage_archives(spark, f"{path}/b", f"{path}/gaps")
+    gaps = spark.read.parquet(f"{path}/gaps").collect()
+    assert got.count() == 49 and [g.file for g in gaps] == ["x.warc.gz"]
+    assert raw[gaps[0].start : gaps[0].start + 3] == b"\x1f\x8b\x08" and gaps[0].end - gaps[0].start < len(raw) // 20
 
 
 def test_page_text(spark):
