@@ -17,11 +17,13 @@ from .common import ROW, chosen, join_sized, numbered, stored, table, text_rows
 from .graph import components
 
 #: Shingles in a block of documents on average, and the fewest and most documents for that.
-BLOCK, FEWEST, MOST = 1 << 20, 64, 1024
+BLOCK, FEWEST, MOST = 1 << 20, 8, 256
 #: N-grams that each task proposes as frequent, and the power of two of buckets for their counts.
 PROPOSED, BUCKETS = 1 << 16, 24
 #: Hashes counted together in a task, columns of the incidence matrix multiplied together.
 TOGETHER, COLUMNS = 1 << 22, 4096
+#: Rows in a task that multiplies blocks, on average at most.
+DEALT = 4096
 PRIME = 0x9E3779B97F4A7C15
 
 
@@ -196,8 +198,9 @@ def block_links(docs: DataFrame, dealt: DataFrame, width: int, share: tuple[int,
     """(a, b), stored: spanning edges of the links in each block pair (b1, b2) of the stored table ``dealt`` (doc_id, b1, b2, first)."""
     who = stored(dealt.select("doc_id").distinct(), "who")
     rows = packed(join_sized(docs, who, "doc_id", "left_semi", who.count()))
-    rows = join_sized(rows, dealt, "doc_id", "inner", dealt.count()).select("b1", "b2", "first", "doc_id", "words")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = dealt.count()
+    rows = join_sized(rows, dealt, "doc_id", "inner", n).select("b1", "b2", "first", "doc_id", "words")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // DEALT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
