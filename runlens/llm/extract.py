@@ -1,4 +1,11 @@
-"""Main text of web pages: the maximum-scoring run of words and tags."""
+"""Main text of web pages: the maximum-scoring run of words and tags.
+
+A page is labelled by its own article or main element. What labelled pages of a
+sample hold inside and outside it gives log odds to each kind of tag (tag and
+class, id or role token): the scan's weights come from them, and so do the marks
+of elements whose words count against a run and are left out of it. A list of
+elements and tokens is only a prior for kinds that the sample tells little of.
+"""
 
 from __future__ import annotations
 
@@ -15,10 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import importable, table
 
-#: Labelled pages that fit the weights on average, chosen by a hash of page_id, and kinds of tags at most.
-SAMPLE, KINDS = 4000, 4000
-#: Weights of tags lie between these; tags of boilerplate may go as low as BREAK.
-LEAST, MOST, BREAK = -3.0, -0.02, -60.0
+#: Labelled pages that fit the weights on average, chosen by a hash of page_id, and the times that a kind must be met in them.
+SAMPLE, LEAST_MET = 4000, 3
+#: Weights of tags lie between these; elements with log odds below MARKED are boilerplate.
+LEAST, MOST, MARKED = -3.0, -0.02, -1.0
+#: Pseudo-counts (inside, outside) of kinds on the list below, and of others.
+LISTED, PLAIN = (0.5, 4.5), (0.5, 0.5)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>script|style|noscript|template|svg|textarea|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -28,7 +37,9 @@ TOKEN = re.compile(
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements, and whole tokens of class, id or role, whose content isn't the page's main text unless they hold it (see ``settle``).
+#: Elements that set parts of a page apart, so that a mark on one without a class can be told; lists, links and the like only have weights.
+PARTS = frozenset("head nav header footer aside section form dialog menu details select button".split())
+#: Prior: elements, and whole tokens of class, id or role, whose content isn't the page's main text as a rule.
 ASIDE = frozenset("head nav footer aside form button select menu dialog".split())
 ASIDE_WORDS = frozenset("ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer menu nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 
@@ -44,12 +55,53 @@ class Element:
 
     tag: str
     up: int
-    marked: bool
+    kinds: tuple[str, ...] = ()
+    marked: bool = False
     words: int = 0
     plain: int = 0
     off: bool = False
 
 
+def listed(kind: str) -> bool:
+    tag, _, token = kind.partition(".")
+    return token in ASIDE_WORDS if token else tag in ASIDE or tag == "header"
+
+
+def odds(kind: str, counts: dict[str, tuple[int, int]]) -> float:
+    """Log odds that an element of this kind is in the content, from its counts (in, out of labelled content) and the prior."""
+    (inside, outside), (a, b) = counts.get(kind, (0, 0)), LISTED if listed(kind) else PLAIN
+    return log((inside + a) / (outside + b))
+
+
+class Weights:
+    """Log odds by kind of tag, kept once worked out."""
+
+    def __init__(self, counts: dict[str, tuple[int, int]]):
+        self.counts = counts
+        self.odds: dict[str, float] = {}
+
+    def of(self, kind: str) -> float:
+        got = self.odds.get(kind)
+        if got is None:
+            got = odds(kind, self.counts)
+            if len(self.odds) < 100_000:
+                self.odds[kind] = got
+        return got
+
+    def tag(self, kind: str) -> float:
+        """The scan's weight of a tag: that of its kind, or of the bare tag where the kind wasn't met."""
+        kind = kind.lstrip("/")
+        return min(MOST, max(LEAST, self.of(kind if kind in self.counts or listed(kind) else kind.split(".")[0])))
+
+    def marks(self, e: Element, in_main: bool) -> bool:
+        """Whether an element is boilerplate: by any token of its class, id or role, or by its tag if that is one of PARTS; a header in the main element isn't."""
+        if e.tag in ("html", "body", "article", "main"):
+            return False
+        named = [k for k in e.kinds if "." in k and not (in_main and k.endswith(".header"))]
+        bare = e.tag in PARTS and not (in_main and e.tag == "header")
+        return min([*map(self.of, named), self.of(e.tag) if bare else 0.0]) < MARKED
+
+
 def settle(elements: list[Element]) -> None:
     """Set ``off``: marks fall from what holds the main element, the greatest article or, on a page of neither, over half of the words.
 
@@ -77,10 +129,10 @@ def settle(elements: list[Element]) -> None:
         e.off = e.marked or e.up >= 0 and elements[e.up].off
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, text, aside, block) of every tag and text run: kind is '' for text, else the tag with its first class; aside if boilerplate holds it."""
+def parse(page: str, weights: Weights) -> tuple[list[tuple[str, str, int, bool]], list[Element]]:
+    """(items, elements): items are (kind, text, element, block) of every tag and text run, kind '' for text, else the tag with its first token."""
     stack: list[tuple[str, str, int]] = []
-    elements, out = [Element("", -1, False)], []
+    elements, out = [Element("", -1)], []
     mains = 0
     for m in TOKEN.finditer(page):
         tag = m["tag"] or m["tag2"]
@@ -110,57 +162,49 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         if tag == "p" and stack and stack[-1][0] == "p":
             stack.pop()
             here = stack[-1][2] if stack else 0
-        off = tag in ASIDE or not ASIDE_WORDS.isdisjoint(words) or (tag == "header" or "header" in words) and not mains
-        elements.append(Element(tag, here, off and tag not in ("html", "body", "article", "main")))
+        e = Element(tag, here, tuple(f"{tag}.{w}" for w in words) or (tag,))
+        e.marked = weights.marks(e, mains > 0)
+        elements.append(e)
         stack.append((tag, kind, len(elements) - 1))
         mains += tag in ("article", "main")
         out.append((kind, "", len(elements) - 1, tag in BLOCKS))
-    settle(elements)
-    for kind, text, at, block in out:
-        yield kind, text, elements[at].off, block
+    return out, elements
 
 
 def counted(page: str) -> Counter[tuple[str, bool]]:
-    """Tags of a labelled page (one with an article or main element) by kind and by whether they are in that element."""
+    """Elements of a labelled page by kind and by whether they are in its article or main element.
+
+    What holds that element counts as neither, nor does what the list marks
+    inside it: there the label tells nothing.
+    """
+    _, elements = parse(page, Weights({}))
     out: Counter[tuple[str, bool]] = Counter()
-    depth = 0
-    for kind, _, _, _ in tokens(page):
-        if kind:
-            bare = kind.lstrip("/").split(".")[0]
-            edge = bare in ("article", "main")
-            depth += edge and kind[0] != "/"
-            out[kind, depth > 0] += 1
-            depth -= edge and kind[0] == "/" and depth > 0
-    return out if any(inside for _, inside in out) else Counter()
-
-
-def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """A negative weight for each kind of tag from its counts (in, out of labelled content): log odds, twice as far for what content never holds."""
-    out = {}
-    for kind, (inside, outside) in counts.items():
-        odds = log((inside + 0.5) / (outside + 0.5))
-        never = inside == 0 and not ASIDE_WORDS.isdisjoint(kind.lstrip("/").split(".")[1:]) or kind.lstrip("/").split(".")[0] in ASIDE
-        out[kind] = max(BREAK, 5 * odds) if never and odds < 0 else min(MOST, max(LEAST, odds))
+    cores = [i for i, e in enumerate(elements) if e.tag in ("article", "main")]
+    holds, inside, unsure = set(), set(cores), set()
+    for i in cores:
+        at = elements[i].up
+        while at >= 0:
+            holds.add(at)
+            at = elements[at].up
+    for i, e in enumerate(elements):
+        if e.up in inside:
+            (unsure if e.marked else inside).add(i)
+        elif e.up in unsure:
+            unsure.add(i)
+        if cores and i not in holds and i not in unsure:
+            out.update((k, i in inside) for k in e.kinds)
     return out
 
 
-def main_text(page: str, weight: dict[str, float]) -> str:
+def main_text(page: str, weights: Weights) -> str:
     """Text of the best run: words count 1 (-1 in boilerplate), tags their weight; one scan finds the run with the greatest sum, the first of equal ones."""
-    items = [*tokens(page)]
-    best, best_at, sum_, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, text, aside, _) in enumerate(items):
-        if kind:
-            score = weight.get(kind, weight.get(kind.split(".")[0], MOST) if not aside else LEAST)
-        else:
-            score = len(text.split()) * (-1 if aside else 1)
-        if sum_ <= 0:
-            sum_, start = 0.0, i
-        sum_ += score
-        if sum_ > best:
-            best, best_at = sum_, (start, i + 1)
+    parsed, elements = parse(page, weights)
+    settle(elements)
+    items = [(kind, text, elements[at].off, block) for kind, text, at, block in parsed]
+    start, stop = best_run([weights.tag(kind) if kind else len(text.split()) * (-1 if aside else 1) for kind, text, aside, _ in items])
     blocks: list[str] = []
     held: list[str] = []
-    for kind, text, aside, block in [*items[slice(*best_at)], ("p", "", False, True)]:
+    for kind, text, aside, block in [*items[start:stop], ("p", "", False, True)]:
         if block:
             if joined := " ".join("".join(held).split()):
                 blocks.append(joined)
@@ -172,8 +216,20 @@ def main_text(page: str, weight: dict[str, float]) -> str:
     return "\n".join(blocks)
 
 
-def fit(pages: DataFrame) -> dict[str, float]:
-    """Weights of tags from labelled pages (html): counts of a bounded sample, summed by kind."""
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """(start, stop) of the run with the greatest sum, the first and then shortest of equal ones; empty if no sum is above 0."""
+    best, at, sum_, start = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
+        if sum_ <= 0:
+            sum_, start = 0.0, i
+        sum_ += score
+        if sum_ > best:
+            best, at = sum_, (start, i + 1)
+    return at
+
+
+def fit(pages: DataFrame) -> dict[str, tuple[int, int]]:
+    """Counts (in, out of content) of each kind of tag that is met LEAST_MET times in a bounded sample of the labelled pages (html)."""
     labelled = pages.where(F.lower("html").rlike("<(article|main)[\\s>]"))
     n = labelled.count()
     sample = labelled.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, n)) * (1 << 30))
@@ -187,25 +243,27 @@ def fit(pages: DataFrame) -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([sums[k, True] for k in kinds], pa.int64()), pa.array([sums[k, False] for k in kinds], pa.int64())], ["kind", "inside", "outside"])
 
     sums = sample.select("html").mapInArrow(run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    return weights({r.kind: (r.inside, r.outside) for r in sums.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind").limit(KINDS).collect()})
+    return {r.kind: (r.inside, r.outside) for r in sums.where(F.col("inside") + F.col("outside") >= LEAST_MET).collect()}
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row.
 
-    The text is that of the best run, without what menus, headers and footers of
-    the page, sidebars, notices, adverts, forms and comments hold inside it, but not without
-    the article that such an element itself wraps.
+    The text is that of the best run, without the elements inside it that are
+    marked as boilerplate (menus, headers and footers of the page, sidebars,
+    notices, adverts, forms, comments), but not without the article that such an
+    element itself wraps. Without labelled pages the prior alone decides.
     Null or empty html, and pages without words, give an empty text. Unclosed
     tags end with what holds them; a stray '<' is text. Repeated rows stay.
     """
     importable(df.sparkSession)
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    weight = fit(pages)  # at most KINDS entries
+    counts = fit(pages)  # kinds of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(counts)
         for batch in batches:
-            texts = [main_text(p, weight) for p in batch.column(2).to_pylist()]
+            texts = [main_text(p, weights) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")
