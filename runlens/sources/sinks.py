@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``, else the context's checkpoint folder; set to a new local one only where master and executors are one machine's process.
+
+    On a cluster without either it is an error: executors would write to disks that others can't read.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        held = context._jsc.sc().getCheckpointDir()
+        if held.isEmpty():
+            if not re.match(r"local(\[[^-]*\])?$", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="runlens-"))
+            held = context._jsc.sc().getCheckpointDir()
+        base = held.get()
+    return base.rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/runlens-{uuid.uuid4().hex}/{name}"
+    """A new folder's name in the shared folder."""
+    return f"{shared_folder(spark)}/runlens-{uuid.uuid4().hex}/{name}"
 
 
 def write_metrics(metrics: DataFrame, path: str, *levels: str) -> None:

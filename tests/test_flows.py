@@ -149,3 +149,20 @@ def test_file_arrivals(spark, tmp_path):
     new = spark.read.schema("path string, name string, modified timestamp").parquet(f"{tmp_path}/out/rows")
     assert sorted(r.name for r in new.collect()) == ["a.txt", "a.txt"]
     assert [r.path.rsplit("/", 2)[1] for r in R.final_files(new).collect()] == ["sub"]
+
+
+def test_no_local_scratch_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "local-cluster[2,1,1024]"
+        _jsc = property(lambda self: self)
+        sc = getCheckpointDir = lambda self: self
+        isEmpty = lambda self: True
+        getConf = lambda self: {}
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(RuntimeError):
+        sinks.scratch(Session(), "x")
+    assert sinks.scratch(spark, "x").endswith("/x")
