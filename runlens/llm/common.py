@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import shared_folder
+
 #: A side is broadcast only when it was counted and holds at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
 #: Column that numbers the rows of a pipeline stage.
@@ -16,16 +17,9 @@ ROW = "_runlens_row"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name under the cluster's ``spark.checkpoint.dir``; a local one is set only where none is."""
+    """A new folder's name in the shared folder."""
     importable(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="runlens-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get()
-    return f"{base.rstrip('/')}/runlens-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/runlens-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, what: str = "table") -> DataFrame:
