@@ -121,6 +121,14 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return out.select("doc_id", "host", "path", logistic(F.col("z")).alias("evidence"), "host_posterior", "path_posterior", logistic(odds).alias("quality"), (logistic(odds) >= threshold).alias("accepted"), *more)
 
 
+def held_out_accuracy(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3) -> tuple[int, int]:
+    """(right, all): verdicts on the labelled documents whose crc32 of the id is divisible by 5, by a classifier that saw none of their labels."""
+    out = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).withColumn("_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    told = classify(docs, out.where("not _out"), label=label, threshold=threshold).select("doc_id", "accepted")
+    r = told.join(out.where("_out").select("doc_id", F.col(label).cast("int").alias("y")), "doc_id").agg(F.count_if((F.col("y") == 1) == F.col("accepted")).alias("right"), F.count("*").alias("n")).first()
+    return r.right, r.n
+
+
 def op10_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
