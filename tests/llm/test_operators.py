@@ -234,10 +234,145 @@ def test_page_text(spark):
     assert {r.page_id: r.text for r in extract.extract_text(rows).collect()} == {1: "A & B\nx y z\n1 < 2", 2: "", 3: "just words here"}
 
 
+def quality_rows():
+    """Ids, texts and hosts: good and bad texts, sites of very different size and share, null and empty ones, repeated ids."""
+    rng = np.random.default_rng(9)
+    out = []
+    for i in range(240):
+        site = [f"big{i % 2}", f"small{i % 37}", None][int(rng.integers(0, 3))]
+        good = rng.random() < (0.9 if site == "big0" else 0.4)
+        out.append((i, "plain words in a line %d " % i * 5 if good else "A!! B!! C!! ### %d" % i, site, int(good)))
+    return [*out, (None, None, "big0", 0), (5, "", None, 0), (5, "plain words in a line", "big1", 1), (9999, "word " * 200_000, "big1", 1)]
+
+
 def test_quality(spark):
-    rows = [(i, ("plain words in a line %d" % i) if i % 3 else "A!! B!! C!! ### %d" % i, "en", None if i % 5 == 0 else f"s{i % 2}") for i in range(90)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(0, 90, 2)], "doc_id long, quality int")
-    out = quality.classify(df, labels).collect()
-    assert len(out) == 90 and all(r.accepted == (r.doc_id % 3 != 0) for r in out)
-    assert quality.classify(empty(spark), labels).count() == 0
+    rows = quality_rows()
+    df = spark.createDataFrame([(i, t, "en", s, 3, 1.0) for i, t, s, _ in rows], "doc_id long, text string, lang string, source string, y int, p double")
+    known = {i: y for i, _, _, y in rows[:240] if i % 2 == 0}
+    labels = spark.createDataFrame([*known.items(), (7, None), (None, 1)], "doc_id long, quality int")
+    got = quality.classify(df, labels).collect()
+    assert len(got) == len(rows)
+    right = [r.accepted == bool(y) for r, y in ((r, y) for r in got for i, _, _, y in rows[:240] if i == r.doc_id and i != 5)]
+    assert np.mean(right) > 0.97
+    # sites by brute force from the documents' own evidence
+    p = [(r.host, r.path, known.get(r.doc_id, r.evidence)) for r in got]
+    mean = (sum(x for *_, x in p) + 1) / (len(p) + 2)
+
+    def sums(key):
+        out = {}
+        for r in p:
+            s, n = out.get(r[:key], (0.0, 0))
+            out[r[:key]] = s + r[2], n + 1
+        return out
+
+    def strength(groups, prior):
+        q = sum((s / n - prior(k)) ** 2 * n for k, (s, n) in groups.items())
+        n = sum(n for _, n in groups.values())
+        v = sum(prior(k) * (1 - prior(k)) * m for k, (_, m) in groups.items()) / n
+        between = max(0.0, (q - len(groups) * v) / n)
+        return min(1e4, max(1.0, v / between - 1 if between > 0 else 1e4))
+
+    hosts, paths = sums(1), sums(2)
+    k = strength(hosts, lambda _: mean)
+    host = {h: (s + k * mean) / (n + k) for h, (s, n) in hosts.items()}
+    k = strength(paths, lambda x: host[x[:1]])
+    path = {x: (s + k * host[x[:1]]) / (n + k) for x, (s, n) in paths.items()}
+    logit = lambda x: np.log(x / (1 - x))
+    for r in got:
+        assert r.host_posterior == pytest.approx(host[r.host,]) and r.path_posterior == pytest.approx(path[r.host, r.path])
+        z = logit(r.evidence) + logit(path[r.host, r.path]) - logit(mean)
+        assert r.quality == pytest.approx(1 / (1 + np.exp(-z))) and r.accepted == (r.quality >= 0.3)
+
+
+def test_quality_held_out_and_edges(spark):
+    rows = quality_rows()
+    df = spark.createDataFrame([(i, t, "en", s) for i, t, s, _ in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows[:240]], "doc_id long, quality int")
+    right, n = quality.held_out_accuracy(df, labels)
+    assert n > 30 and right >= 0.95 * n
+    assert quality.classify(df.limit(0), labels).count() == 0
+    none = quality.classify(df, labels.limit(0)).collect()
+    assert len(none) == len(rows) and all(r.accepted for r in none)
+    one = quality.classify(df, labels.where("quality = 1").unionByName(spark.createDataFrame([(3, None)], labels.schema))).collect()
+    assert len(one) == len(rows)
+
+
+def test_language_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    words = {k: ["".join(rng.choice([*letters], 5)) for _ in range(40)] for k, letters in (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "àéîõübcd"))}
+    rows = [(i, " ".join(rng.choice(words[k], 12)), k) for i, k in enumerate(["aa", "bb", "cc"] * 40)]
+    rows += [(500, None, "aa"), (501, "12 !!", "bb"), (None, rows[0][1], "aa"), (3, rows[3][1], "aa"), (3, rows[4][1], None), (502, (rows[2][1] + " ") * 30_000, None), (503, "", None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, score int")
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+
+    def grams(t):
+        s = " " + "".join(c if c.isalpha() else " " for c in (t or "").lower()) + " "
+        return [s[i - 1 : i + 2] for i in range(1, len(s) - 1) if s[i] != " "]
+
+    counts = {}
+    for i, t, lang in rows:
+        if lang and i is not None and not out(i):
+            for g in grams(t):
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    share = lambda k, g: counts[k].get(g, 0) / total[k]
+    floor = {k: 2 * total[k] / max(total.values()) for k in counts}
+    kept = {k: {g for g, n in c.items() if n > floor[k]} for k, c in counts.items()}
+    has = {k: {g for g in kept[k] if share(k, g) >= langid.SHARE * max(share(j, g) if g in kept[j] else 0 for j in counts)} for k in counts}
+    want = []
+    for i, t, _ in rows:
+        hits = {k: sum(g in has[k] for g in grams(t)) for k in sorted(counts)}
+        best = max(hits, key=hits.get)
+        want.append((i, out(i), best if grams(t) else "und", hits[best] / sum(hits.values()) if sum(hits.values()) else 0.0))
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[3], 2))
+    got = sorted(((r.doc_id, r.held_out, r.lang_pred, r.score) for r in langid.language_ids(df).collect()), key=key)
+    for g, w in zip(got, sorted(want, key=key), strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], abs=2e-3)
+    assert langid.language_ids(df.limit(0)).count() == 0
+    tie = langid.language_ids(spark.createDataFrame([(1, "xyz", "b"), (1, "xyz", "a")] * 30, "doc_id long, text string, lang string"))
+    assert {r.lang_pred for r in tie.collect()} == {"a"}
+
+
+def test_encoders_keep_null_and_repeated_ids(spark):
+    rows = [(None, "x y"), (3, "same text"), (3, "same text"), (3, "other"), (None, None), (1, "it's <|endoftext|> don't")]
+    df = spark.createDataFrame([(*r, 1, "n") for r in rows], "doc_id long, text string, n int, ids string")
+    lib, words = library("byte_bpe_50k.json"), library("word_bpe_49k.json")
+    ids = lambda t: tuple(lib.encode(t or "", add_special_tokens=False).ids)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, tuple(r.ids)) for r in lexicon.encode_decode(df).collect()), key=key) == sorted(((i, ids(t)) for i, t in rows), key=key)
+    path = f"{scratch_dir(spark)}/ids"
+    rans.write_ids(df, path)
+    got = rans.read_ids(spark, path).collect()
+    coded = lambda t: (*words.encode(t or "", add_special_tokens=False).ids, 1)
+    assert sorted(((r.doc_id, tuple(r.ids)) for r in got), key=key) == sorted(((i, coded(t)) for i, t in rows), key=key)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, None, 1, 3, 3, 3]
+    one = rans.read_ids(spark, path, only=spark.createDataFrame([(1,), (7,)], "doc_id long")).collect()
+    assert [(r.doc_id, tuple(r.ids)) for r in one] == [(1, coded(rows[5][1]))]
+    rans.write_ids(df.limit(0), f"{path}-none")
+    assert rans.read_ids(spark, f"{path}-none").count() == 0
+    dup = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in dedup.exact_dedup(df).collect())
+    assert dup == [(0, 0, 1, True), (0, 0, 1, True), (1, 1, 1, True), (3, 3, 1, True), (3, 3, 2, False), (3, 3, 2, True)]
+
+
+def test_a_broken_block_is_an_error(spark):
+    path = f"{scratch_dir(spark)}/ids"
+    rans.write_ids(docs(spark), path)
+    blocks = spark.read.parquet(f"{path}/blocks").withColumn("crc32", F.col("crc32") + 1)
+    blocks.write.parquet(f"{path}2/blocks")
+    for name in ("freq", "files"):
+        spark.read.parquet(f"{path}/{name}").write.parquet(f"{path}2/{name}")
+    with pytest.raises(Exception, match="checksum"):
+        rans.read_ids(spark, f"{path}2").collect()
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base), (5, base), (5, base + " x"), (5, "lone words stand here all alone"), (8, "lone words stand here all alone"), (2, base + " x y"), (9, None), (9, "")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n int, col int")
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()))
+    assert got == [(0, 56, None), (2, 58, 2), (5, 2, 2), (5, 56, 2), (5, 57, 2), (8, 2, 2), (9, 0, 9), (9, 0, 9)]

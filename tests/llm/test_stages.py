@@ -1,5 +1,6 @@
 """Pipeline stages against brute force, on rows with null ids, repeated rows and ids with two texts."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -70,6 +71,8 @@ def test_language_stage_judges_each_row(spark):
 
 def test_stages_take_each_others_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    out = jaccard.keep_first_of_each(dedup.keep_first(langid.keep_identified(quality.keep_accepted(docs(spark), labels))))
+    rng, words = random.Random(1), f"{ROWS[-1][1]} {TEXTS[3]}".split()
+    known = spark.createDataFrame([(3000 + i, " ".join(rng.sample(words, 20)), "en", "s", 0) for i in range(40)], docs(spark).schema)  # texts that have the lone row's words
+    out = jaccard.keep_first_of_each(dedup.keep_first(langid.keep_identified(quality.keep_accepted(docs(spark).unionByName(known), labels))))
     assert "lone words with no id at all" in {t for _, t in pairs(out)}
     assert len(corpus_pipeline.STAGES) == 5
