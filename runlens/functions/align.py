@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .text import clean_number, pair_f1, score_number, span_words, strict_json
+from .text import clean_number, let, pair_f1, python_float, score_number, span_words, strict_json
 
-#: Predicted spans up to which the alignment is exact; beyond, it is greedy and flagged.
-EXACT = 10
+#: Size of the shorter list up to which subsets are gone through as an expression; beyond, a task assigns row by row.
+SUBSETS = 10
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def matrix(gold: Column, pred: Column, score) -> Column:
+    """``score(gold item, predicted item)`` of all pairs, with a row for each item of the longer list and a column for each of the shorter."""
+    by_pred = F.transform(pred, lambda p: F.transform(gold, lambda g: score(g, p)))
+    by_gold = F.transform(gold, lambda g: F.transform(pred, lambda p: score(g, p)))
+    return F.when(F.size(gold) < F.size(pred), by_pred).otherwise(by_gold)
 
 
-def pair_scores(gold: Column, pred: Column) -> Column:
-    """Matrix of span scores: a row for each gold span."""
-    return let(F.transform(pred, span_words), lambda words: F.transform(F.transform(gold, span_words), lambda g: F.transform(words, lambda p: pair_f1(g, p))))
+def span_matrix(gold: Column, pred: Column) -> Column:
+    """``matrix`` of span scores."""
+    words = F.struct(F.transform(gold, span_words).alias("g"), F.transform(pred, span_words).alias("p"))
+    return let(words, lambda w: matrix(w["g"], w["p"], pair_f1))
 
 
 def best_total(scores: Column, n: Column) -> Column:
@@ -41,8 +47,48 @@ def best_total(scores: Column, n: Column) -> Column:
     return F.array_max(F.aggregate(scores, start, step))
 
 
+def assigned_total(scores: Column) -> Column:
+    """``best_total`` for matrices of any size, in Python; nested, so that workers need no package."""
+
+    def assign(scores: list) -> float:
+        """Largest sum of a one-to-one choice, by shortest augmenting paths: rows no fewer than columns."""
+        cost = -np.array(scores, float).T
+        n, m = cost.shape
+        u, v, row_of = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+        for i in range(1, n + 1):
+            row_of[0], at = i, 0
+            least, came, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+            while row_of[at]:
+                used[at] = True
+                slack = cost[row_of[at] - 1] - u[row_of[at]] - v[1:]
+                better = ~used[1:] & (slack < least[1:])
+                least[1:][better], came[1:][better] = slack[better], at
+                to = int(np.where(used[1:], np.inf, least[1:]).argmin()) + 1
+                step = least[to]
+                u[row_of[used]] += step
+                v[used] -= step
+                least[~used] -= step
+                at = to
+            while at:
+                row_of[at] = row_of[came[at]]
+                at = came[at]
+        return float(-sum(cost[row_of[j] - 1, j - 1] for j in range(1, m + 1) if row_of[j]))
+
+    def each(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda x: None if x is None else assign([[*row] for row in x]))
+
+    return F.pandas_udf(each, DoubleType())(scores)
+
+
+def with_total(df: DataFrame, scores: str, few: str, total: str) -> DataFrame:
+    """Adds the largest sum of a one-to-one choice from a matrix column with ``few`` columns, no more than rows."""
+    small = F.col(few) <= SUBSETS
+    wide = df.withColumn("_wide", assigned_total(F.when(~small, F.col(scores))))
+    return wide.withColumn(total, F.when(small, best_total(F.col(scores), F.least(F.col(few), F.lit(SUBSETS)))).otherwise(F.col("_wide"))).drop("_wide")
+
+
 def greedy_total(scores: Column) -> Column:
-    """Sum of pairs taken by descending score, ties by place, each span once."""
+    """Sum of pairs taken by descending score, ties by place, each row and column once."""
     cells = F.flatten(F.transform(scores, lambda row, g: F.transform(row, lambda s, p: F.struct((-s).alias("s"), g.alias("g"), p.alias("p")))))
     none = F.array().cast("array<int>")
     start = F.struct(none.alias("g"), none.alias("p"), F.lit(0.0).alias("total"))
@@ -54,56 +100,137 @@ def greedy_total(scores: Column) -> Column:
     return F.aggregate(F.array_sort(cells), start, take, lambda st: st["total"])
 
 
-def align_spans(gold: Column, pred: Column) -> Column:
-    """struct(score, exact): best alignment of two span lists over the longer list's size; 0 if either is empty, null if null."""
-    longer = F.greatest(F.size(gold), F.size(pred))
-    exact = F.size(pred) <= EXACT
-    total = let(pair_scores(gold, pred), lambda s: F.when(exact, best_total(s, F.least(F.size(pred), F.lit(EXACT)))).otherwise(greedy_total(s)))
-    score = F.when(gold.isNull() | pred.isNull(), None).when((F.size(gold) == 0) | (F.size(pred) == 0), 0.0).otherwise(total / longer)
-    return F.struct(score.alias("score"), exact.alias("exact"))
+def align_spans(df: DataFrame, gold: Column, pred: Column, score: str = "score") -> DataFrame:
+    """Adds the best one-to-one alignment of two span lists over the longer list's size; 0 if either is empty, null if null."""
+    sizes = {"_few": F.least(F.size(gold), F.size(pred)), "_many": F.greatest(F.size(gold), F.size(pred)), "_none": gold.isNull() | pred.isNull(), "_scores": span_matrix(gold, pred)}
+    out = with_total(df.withColumns(sizes), "_scores", "_few", "_total")
+    value = F.when(F.col("_few") == 0, 0.0).otherwise(F.col("_total") / F.col("_many"))
+    return out.withColumn(score, F.when(~F.col("_none"), value)).drop(*sizes, "_total")
+
+
+VALUE = "struct<kind:string,number:double,words:array<array<string>>>"
+
+
+def typed_values(c: Column) -> Column:
+    """A JSON object's values as map<string, struct(kind, number, words)>: kind number (also true, false and texts that are one), text, list or other. Null if it is no object."""
+
+    def one(v: Column) -> Column:
+        schema = F.schema_of_variant(v)
+        text = F.when(schema == "STRING", F.try_variant_get(v, "$", "string"))
+        flag = F.when(schema == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
+        number = F.coalesce(flag, clean_number(text), F.when(~schema.isin("STRING", "BOOLEAN") & ~schema.rlike("^(ARRAY|OBJECT)"), F.try_variant_get(v, "$", "double")))
+        items = F.when(schema.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+        texts = F.transform(items, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+        kind = F.when(number.isNotNull(), "number").when(text.isNotNull(), "text").when(items.isNotNull(), "list").otherwise("other")
+        return F.struct(kind.alias("kind"), number.alias("number"), F.transform(F.coalesce(texts, F.array(text)), span_words).alias("words")).cast(VALUE)
+
+    return F.transform_values(F.when(c.rlike(r"^\s*\{") & strict_json(c), F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")), lambda _, v: one(v))
 
 
 def score_value(gold: Column, pred: Column) -> Column:
-    """Score of two texts: as numbers if the gold one is a number (0 against another text), else as spans."""
-    spans = let(F.struct(span_words(gold).alias("g"), span_words(pred).alias("p")), lambda w: pair_f1(w["g"], w["p"]))
-    numbers = F.struct(clean_number(gold).alias("g"), clean_number(pred).alias("p"))
-    return F.coalesce(let(numbers, lambda n: F.when(n["g"].isNull(), spans).when(n["p"].isNotNull(), score_number(n["g"], n["p"]))), F.lit(0.0))
+    """Score of two values of one kind: numbers by their ratio, texts as spans (the gold one's numbers must be met), lists as aligned spans.
+
+    Inside a map the alignment is exact while the shorter list has at most
+    SUBSETS spans, and greedy beyond.
+    """
+    few, many = F.least(F.size(gold["words"]), F.size(pred["words"])), F.greatest(F.size(gold["words"]), F.size(pred["words"]))
+    odd = F.exists(F.concat(gold["words"], pred["words"]), lambda w: w.isNull())  # a list with anything but texts
+    total = let(matrix(gold["words"], pred["words"], pair_f1), lambda s: F.when(few <= SUBSETS, best_total(s, F.least(few, F.lit(SUBSETS)))).otherwise(greedy_total(s)))
+    text = pair_f1(F.get(gold["words"], F.lit(0)), F.get(pred["words"], F.lit(0)))
+    out = F.when(gold["kind"] != pred["kind"], 0.0).when(gold["kind"] == "number", score_number(gold["number"], pred["number"])).when(gold["kind"] == "text", text).when(~odd & (few > 0), total / many)
+    return F.coalesce(F.when(out.between(0.0, 1.0), out), F.lit(0.0))
 
 
 def score_dict(gold: Column, pred: Column) -> Column:
-    """F1 of the mean key score over gold keys and over predicted keys, of two maps of text; 0 if either is empty."""
-    total = F.aggregate(F.map_keys(gold), F.lit(0.0), lambda t, k: t + F.when(F.map_contains_key(pred, k), score_value(F.element_at(gold, k), F.element_at(pred, k))).otherwise(0.0))
-    score = let(total, lambda s: 2 * s / (F.size(gold) + F.size(pred)))  # the harmonic mean of s / gold and s / pred
-    return F.when(gold.isNull() | pred.isNull() | (F.size(gold) == 0) | (F.size(pred) == 0), 0.0).otherwise(score)
+    """F1 of the mean key score over gold keys (recall) and over predicted keys (precision, where the prediction takes the gold one's part), of two maps of typed values.
+
+    0 if either is empty or null, or holds a value that is no number, text or list.
+    """
+
+    def mean(of: Column, to: Column) -> Column:
+        one = lambda k: let(F.struct(F.element_at(of, k).alias("g"), F.element_at(to, k).alias("p")), lambda v: score_value(v["g"], v["p"]))
+        return F.aggregate(F.transform(F.map_keys(of), lambda k: F.when(F.map_contains_key(to, k), one(k)).otherwise(0.0)), F.lit(0.0), lambda t, s: t + s) / F.size(of)
+
+    def both(m: Column) -> Column:
+        bad = F.exists(F.concat(F.map_values(m["g"]), F.map_values(m["p"])), lambda v: v["kind"] == "other")
+        means = F.struct(mean(m["g"], m["p"]).alias("r"), mean(m["p"], m["g"]).alias("p"))
+        none = m["g"].isNull() | m["p"].isNull() | (F.size(m["g"]) == 0) | (F.size(m["p"]) == 0) | bad
+        return F.when(none, 0.0).otherwise(let(means, lambda x: F.when(x["r"] + x["p"] > 0, 2 * x["r"] * x["p"] / (x["r"] + x["p"])).otherwise(0.0)))
+
+    return let(F.struct(gold.alias("g"), pred.alias("p")), both)
 
 
 def answer_lines(c: Column) -> Column:
     return F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
 
 
+def as_json(line: Column) -> Column:
+    """A line with the quotes of a Python dictionary made those of JSON."""
+    for old, new in (("{'", '{"'), ("', '", '", "'), ("': '", '": "'), ("'}", '"}'), ("': ", '": ')):
+        line = F.replace(line, F.lit(old), F.lit(new))
+    return line
+
+
 def answer_type(c: Column) -> Column:
-    """number, json, string or string list."""
-    lines = answer_lines(c)
+    """number, json (every line is a JSON value), string or string list."""
+    return lines_type(answer_lines(c))
+
+
+def lines_type(lines: Column) -> Column:
     one = F.size(lines) == 1
-    return F.when(one & clean_number(F.get(lines, F.lit(0))).isNotNull(), "number").when(F.forall(lines, lambda x: x.rlike(r"^\s*\{") & strict_json(x)) & (F.size(lines) > 0), "json").when(one, "string").otherwise("string list")
+    return F.when(one & clean_number(F.get(lines, F.lit(0))).isNotNull(), "number").when(F.forall(lines, lambda x: strict_json(as_json(x))), "json").when(one, "string").otherwise("string list")
+
+
+PREDICTED = "struct<number:double,spans:array<string>,objects:array<string>,list:boolean>"
 
 
-def score_typed(gold: Column, pred: Column) -> Column:
-    """Score by the gold answer's type; an empty prediction, several lines against a number, and what can't be scored give 0.
+def predicted(c: Column) -> Column:
+    """struct(number, spans, objects, list) of a prediction: a JSON list's texts are its spans, any other text is one span, however many lines it has."""
 
-    Several JSON objects are scored line by line, in order, over the longer list.
+    def of(x: Column) -> Column:
+        v, kind, c = x["v"], x["kind"], x["c"]
+        items = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+        text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind == "VOID", "None").otherwise(c)
+        number = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).otherwise(clean_number(text))
+        return let(F.struct(items.alias("items"), text.alias("text"), number.alias("number"), kind.alias("kind")), told)
+
+    def told(x: Column) -> Column:
+        texts = F.transform(x["items"], lambda i: F.when(F.schema_of_variant(i) == "STRING", F.try_variant_get(i, "$", "string")))
+        lines = F.split(x["text"], "\n")
+        objects = F.when(x["items"].isNotNull(), F.transform(x["items"], lambda i: F.to_json(i))).when(x["number"].isNull() & F.forall(lines, strict_json), lines).when(x["kind"].startswith("OBJECT"), F.array(x["text"]))
+        spans = F.coalesce(texts, F.array(F.coalesce(python_float(x["number"]), x["text"])))
+        return F.struct(F.when(x["items"].isNull(), x["number"]).alias("number"), spans.alias("spans"), objects.alias("objects"), x["items"].isNotNull().alias("list")).cast(PREDICTED)
+
+    parsed = let(F.struct(F.when(strict_json(c), F.try_parse_json(c)).alias("v"), c.alias("c")), lambda x: F.struct(x["v"].alias("v"), F.schema_of_variant(x["v"]).alias("kind"), x["c"].alias("c")))
+    return let(parsed, of)
+
+
+def score_typed(df: DataFrame, gold: Column, pred: Column, score: str = "score") -> DataFrame:
+    """Adds the score by the gold answer's type; an empty prediction, a list against a number, and what can't be scored give 0.
+
+    JSON objects are aligned one to one, over the longer list; a prediction that
+    is one JSON object counts as a list of one. The steps are columns of their
+    own, each worked out once.
     """
-    return let(F.struct(answer_lines(gold).alias("g"), answer_lines(pred).alias("p"), answer_type(gold).alias("kind")), lambda x: score_lines(x["g"], x["p"], x["kind"]))
+    steps = df.withColumns({"_g": answer_lines(gold), "_p": predicted(pred), "_said": F.coalesce(F.trim(pred) != "", F.lit(False))}).withColumn("_kind", lines_type(F.col("_g")))
+    typed = steps.withColumn("_m", to_match(F.col("_g"), F.col("_p"), F.col("_kind"))).withColumns({"_scores": F.col("_m.scores"), "_few": F.col("_m.few"), "_many": F.col("_m.many"), "_number": F.col("_m.number")}).drop("_m")
+    out = F.when(F.col("_few") > 0, F.col("_total") / F.col("_many")).otherwise(F.col("_number"))
+    return with_total(typed, "_scores", "_few", "_total").withColumn("_s", out).withColumn(score, F.coalesce(F.when(F.col("_said") & F.col("_s").between(0.0, 1.0), F.col("_s")), F.lit(0.0))).drop("_g", "_p", "_said", "_kind", "_scores", "_few", "_many", "_number", "_total", "_s")
+
+
+def to_match(g: Column, p: Column, kind: Column) -> Column:
+    """struct(number, scores, few, many): the score itself of numbers, else the matrix of lines or objects to align and its sizes (0 if they can't be)."""
+    number = score_number(clean_number(F.get(g, F.lit(0))), p["number"])
+    maps = F.struct(F.transform(g, lambda x: typed_values(as_json(x))).alias("g"), F.transform(p["objects"], typed_values).alias("p"))
+    words = F.struct(F.transform(g, span_words).alias("g"), F.transform(p["spans"], lambda x: F.when(x.isNotNull(), span_words(x))).alias("p"))
 
+    def sized(x: Column, score) -> Column:
+        bad = F.exists(F.concat(x["g"], x["p"]), lambda v: v.isNull())
+        few = F.when(bad, 0).otherwise(F.least(F.size(x["g"]), F.size(x["p"])))
+        return F.struct(F.lit(None).cast("double").alias("number"), matrix(x["g"], x["p"], score).alias("scores"), F.coalesce(few, F.lit(0)).alias("few"), F.greatest(F.size(x["g"]), F.size(x["p"])).alias("many"))
 
-def score_lines(g: Column, p: Column, kind: Column) -> Column:
-    """``score_typed`` over lines."""
-    at = lambda xs, i: F.from_json(F.get(xs, i), "map<string,string>")
-    longer = F.greatest(F.size(g), F.size(p))
-    maps = F.aggregate(F.sequence(F.lit(0), F.greatest(longer - 1, F.lit(0))), F.lit(0.0), lambda t, i: t + let(F.struct(at(g, i).alias("g"), at(p, i).alias("p")), lambda x: score_dict(x["g"], x["p"]))) / longer
-    number = F.when(F.size(p) == 1, score_value(F.get(g, F.lit(0)), F.get(p, F.lit(0))))
-    out = F.when(F.size(p) == 0, 0.0).when(kind == "number", number).when(kind == "json", maps).otherwise(align_spans(g, p)["score"])
-    return let(out, lambda s: F.when(s.between(0.0, 1.0), s).otherwise(0.0))
+    none = F.struct(F.when(~p["list"], number).alias("number"), F.lit(None).cast("array<array<double>>").alias("scores"), F.lit(0).alias("few"), F.lit(0).alias("many"))
+    return F.when(kind == "number", none).when(kind == "json", let(maps, lambda x: sized(x, score_dict))).otherwise(let(words, lambda x: sized(x, pair_f1)))
 
 
 def without_repeats(xs: Column) -> Column:

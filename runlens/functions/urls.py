@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A small table of public suffixes; a parameter wherever it is used.
 SUFFIXES = ["com", "net", "org", "co.uk"]
+#: Rules that are broadcast at most.
+RULES_BROADCAST = 100_000
 
 
 def full(url: Column) -> Column:
@@ -41,7 +43,7 @@ def url_policy(urls: DataFrame, rules: DataFrame, url: str = "url", pattern: str
 
     A rule meets a URL with the same domain, an equal scheme (http as https; none
     given: either), its subdomain and suffix if it names them, and a path that
-    begins with its own. The join is on the domain; rules are few and broadcast.
+    begins with its own. The join is on the domain; rules are broadcast if counted few.
     """
     r = host_parts(rules, pattern).select(F.col("domain").alias("domain"), *(F.col(c).alias(f"r_{c}") for c in ("scheme", "subdomain", "suffix", "path")), F.col(status).alias("r_status"))
     u = host_parts(urls.select(url).distinct(), url)
@@ -49,7 +51,8 @@ def url_policy(urls: DataFrame, rules: DataFrame, url: str = "url", pattern: str
     path = F.regexp_replace("r_path", "/+$", "")
     fits = (web("scheme") == web("r_scheme")) & F.col("r_subdomain").isin("") | (web("scheme") == web("r_scheme")) & (F.col("r_subdomain") == F.col("subdomain"))
     fits = fits & ((F.col("r_suffix") == "") | (F.col("r_suffix") == F.col("suffix"))) & F.col("path").startswith(path)
-    met = u.join(F.broadcast(r), "domain").where(fits).groupBy(url).agg(*(F.bool_or(F.col("r_status") == s).alias(s) for s in ("blocked", "rejected", "allowed")))
+    few = rules.count() <= RULES_BROADCAST
+    met = u.join(r.hint("broadcast" if few else "merge"), "domain").where(fits).groupBy(url).agg(*(F.bool_or(F.col("r_status") == s).alias(s) for s in ("blocked", "rejected", "allowed")))
     lists = rules.where(F.col(status) == "allowed").limit(1).agg(F.count("*").alias("lists"))
     false = F.lit(False)
     verdict = ~F.coalesce("blocked", false) & ~F.coalesce("rejected", false) & ((F.col("lists") == 0) | F.coalesce("allowed", false))

@@ -64,3 +64,8 @@ def union_task_sets(sets: list[DataFrame], key: str) -> DataFrame:
     tagged = reduce(DataFrame.unionByName, (df.withColumn("_set", F.lit(i)) for i, df in enumerate(sets)))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_set")))
     return tagged.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_set")
+
+
+def set_diff(left: DataFrame, right: DataFrame, *names: str) -> DataFrame:
+    """Distinct rows of the named columns that only ``left`` has."""
+    return left.select(*names).subtract(right.select(*names))

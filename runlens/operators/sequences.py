@@ -28,15 +28,43 @@ def failed_steps(df: DataFrame, run: str, order: list[str], signal: Column, bad:
     return df.withColumn("failed", F.coalesce(nxt == bad, F.lit(False)))
 
 
-def run_progress(df: DataFrame, run: str, seq: str, final: Column, step: Column) -> DataFrame:
-    """Per run: the latest step after the last final row (-1 if none), and whether a final row came last of both."""
-    last = F.max(F.when(final, F.col(seq))).over(Window.partitionBy(run))
-    after = df.withColumn("_final", F.coalesce(last, F.lit(-1))).withColumn("_step", F.when(F.col(seq) > F.col("_final"), step))
-    return after.groupBy(run).agg(
-        F.coalesce(F.max_by("_step", F.when(F.col("_step").isNotNull(), F.col(seq))), F.lit(-1)).alias("step"),
-        (F.max("_final") >= 0).alias("has_final"),
-        F.count("_step").alias("steps_after"),
-    )
+def run_progress(df: DataFrame, run: str, seq: str, final: Column, step: Column, length: Column, plan: Column, live: Column) -> DataFrame:
+    """Per run: step, plan_length, has_final, planning, steps_after, of the rows after the last final row.
+
+    The latest step (-1 if none) and the latest plan length (0 if none); both -1
+    in a run that isn't live by its last row. has_final: a final row came, and no
+    plan after it. planning: no step yet, and a plan after the final row or,
+    without one, among the run's last three rows.
+    """
+    w = Window.partitionBy(run)
+    after = df.withColumn("_final", F.coalesce(F.max(F.when(final, F.col(seq))).over(w), F.lit(-1))).withColumn("_most", F.max(seq).over(w))
+    on = F.col(seq) > F.col("_final")
+    last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col(seq)))
+    some = lambda c: F.coalesce(F.max(c), F.lit(False))
+    out = after.groupBy(run).agg(
+        last(F.when(on, step)).alias("_step"), last(F.when(on, length)).alias("_length"), (F.max("_final") >= 0).alias("_ended"), some(on & plan).alias("_after"),
+        some((F.col(seq) > F.col("_most") - 3) & plan).alias("_late"), F.max_by(live, seq).alias("_live"), F.count(F.when(on, step)).alias("steps_after"),
+    )
+    planning = F.col("_live") & F.col("_step").isNull() & F.when(F.col("_ended"), F.col("_after")).otherwise(F.col("_late"))
+    return out.select(run, F.when(F.col("_live"), F.coalesce("_step", F.lit(-1))).otherwise(-1).alias("step"), F.when(F.col("_live"), F.coalesce("_length", F.lit(0))).otherwise(-1).alias("plan_length"), (F.col("_ended") & ~F.col("_after")).alias("has_final"), planning.alias("planning"), "steps_after")
+
+
+def monitor_state(df: DataFrame, run: str, order: list[str], state: Column) -> DataFrame:
+    """The latest state of each run; rows of other kinds have a null one."""
+    return df.groupBy(run).agg(F.max_by(state, F.when(state.isNotNull(), F.struct(*order))).alias("state"))
+
+
+def sentinel_rollup(df: DataFrame, keys: list[str], order: str, reason: Column, wait: Column, message: Column, kind: Column) -> DataFrame:
+    """Per check of a monitor: latest reason, latest wait until the next check, number of messages, kinds in order."""
+    last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col(order)))
+    kinds = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), kind.alias("kind")))), lambda x: x["kind"])
+    return df.groupBy(*keys).agg(last(reason).alias("reason"), last(wait).alias("next_check_in"), F.count_if(message).alias("messages"), kinds.alias("kinds"))
+
+
+def part_index(df: DataFrame, run: str, seq: str, parts: str) -> DataFrame:
+    """A row for each part of a message; ``current`` is the run's last part."""
+    last = F.max(seq).over(Window.partitionBy(run))
+    return df.select(run, seq, F.size(parts).alias("_n"), F.posexplode(parts).alias("part", "value")).withColumn("current", (F.col("part") == F.col("_n") - 1) & (F.col(seq) == last)).drop("_n")
 
 
 def changed(df: DataFrame, run: str, order: list[str], value: Column) -> DataFrame:

@@ -23,11 +23,11 @@ def s2(t):
     return tasks.json_map_rows(t("events"), "props", "bigint", "event_id")
 
 
-@query("S3_read_tasks_csv", "SELECT concat(conv_id, '-', turn) AS id, text AS question, role AS \"set\" FROM conversations WHERE text <> ''")
+@query("S3_read_tasks_csv", "SELECT concat(conv_id, '-', turn) AS id, text AS question, role AS \"set\" FROM conversations")
 def s3(t):
     path = sinks.scratch(t.spark, "csv")
-    rows = t("conversations").where("text <> ''").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.col("text").alias("problem"), "role")
-    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = t("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.col("text").alias("problem"), "role")
+    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return tasks.read_tasks_csv(t.spark, path, "key string, problem string, role string", {"id": "key", "question": "problem", "set": "role"}).select("id", "question", "set")
 
 
@@ -60,9 +60,10 @@ def k3(t):
     return t.spark.read.schema("task_id string, model_answer string").json(path)
 
 
-@query("T3_code_blocks", "SELECT conv_id, turn, role AS language, concat(text, chr(10)) AS code FROM conversations WHERE text <> '' AND NOT contains(text, '```')")
+@query("T3_code_blocks", "SELECT conv_id, turn, role AS language, concat(replace(text, '```', '~~~'), chr(10)) AS code FROM conversations UNION ALL SELECT conv_id, turn, '', concat('b', chr(10)) FROM conversations")
 def t3(t):
-    rows = t("conversations").where("text <> '' AND NOT contains(text, '```')").withColumn("said", F.concat(F.lit("see\n```"), "role", F.lit("\n"), "text", F.lit("\n```\n")))
+    body = F.replace("text", F.lit("```"), F.lit("~~~"))
+    rows = t("conversations").withColumn("said", F.concat(F.lit("see\n```"), "role", F.lit("\n"), body, F.lit("\n```\nand\n```\nb\n```\n")))
     return rows.select("conv_id", "turn", F.inline(P.code_blocks(F.col("said"))))
 
 
@@ -85,9 +86,10 @@ def t8(t):
 
 @query("F11_align_spans")
 def f11(t):
+    """Sentences of a turn against those of the next; tested against permutations."""
     spans = t("conversations").select("conv_id", "turn", A.answer_lines(F.regexp_replace("text", r"\. ", "\n")).alias("gold"))
     nxt = spans.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("gold").alias("pred"))
-    return spans.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", A.align_spans(F.col("gold"), F.col("pred")).alias("r")).select("conv_id", "turn", F.round("r.score", 6).alias("score"), "r.exact")
+    return A.align_spans(spans.join(nxt, ["conv_id", "turn"]), F.col("gold"), F.col("pred")).select("conv_id", "turn", F.round("score", 6).alias("score"))
 
 
 NUMBERS = "SELECT event_id, CASE WHEN g = 0 AND p = 0 THEN 1.0 WHEN p IS NULL THEN 0.0 ELSE round(greatest(0, 1 - ln(greatest(CASE WHEN g = 0 THEN 1e-4 ELSE g END, CASE WHEN p = 0 THEN 1e-4 ELSE p END) / least(CASE WHEN g = 0 THEN 1e-4 ELSE g END, CASE WHEN p = 0 THEN 1e-4 ELSE p END))), 6) END AS score FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS g, lag(CAST(json_extract_string(props, '$.k') AS DOUBLE)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)"
@@ -97,9 +99,20 @@ def before(t):
     return F.lag("props").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
 
 
-@query("F12_score_dict", NUMBERS)
+DICTS = """
+WITH e AS (SELECT event_id, event_type AS t, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, lag(event_type) OVER w AS u, lag(CAST(json_extract_string(props, '$.k') AS DOUBLE)) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+z AS (SELECT *, CASE WHEN k = 0 THEN 1e-4 ELSE k END AS a, CASE WHEN p = 0 THEN 1e-4 ELSE p END AS b FROM e),
+s AS (SELECT event_id, p, CASE WHEN k = 0 AND p = 0 THEN 1.0 ELSE greatest(0, 1 - ln(greatest(a, b) / least(a, b))) END AS n, CASE WHEN t = u THEN 2.0 / 3 ELSE 0 END AS w FROM z)
+SELECT event_id, CASE WHEN p IS NULL OR n + w + n = 0 THEN 0.0 ELSE round(2 * (n + w) / 2 * n / 2 / ((n + w) / 2 + n / 2), 6) END AS score FROM s
+"""
+
+
+@query("F12_score_dict", DICTS)
 def f12(t):
-    rows = t("events").select("event_id", F.from_json("props", "map<string,string>").alias("gold"), F.from_json(before(t), "map<string,string>").alias("pred"))
+    """A number and a text; the predicted text also has a number, which precision asks the gold one for and recall doesn't."""
+    doc = lambda note: F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), note.alias("note")))
+    before_ = F.lag(doc(F.concat_ws(" ", "event_type", F.get_json_object("props", "$.k")))).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = t("events").select("event_id", A.typed_values(doc(F.col("event_type"))).alias("gold"), A.typed_values(before_).alias("pred"))
     return rows.select("event_id", F.round(A.score_dict(F.col("gold"), F.col("pred")), 6).alias("score"))
 
 
@@ -109,7 +122,7 @@ def f13(t):
     k = lambda c: F.coalesce(F.get_json_object(c, "$.k"), F.lit(""))
     even = F.col("event_id") % 2 == 0  # half as numbers, half as JSON
     gold, pred = F.when(even, k("props")).otherwise(F.col("props")), F.when(even, k("was")).otherwise(F.col("was"))
-    return rows.select("event_id", gold.alias("g"), pred.alias("p")).select("event_id", F.round(A.score_typed(F.col("g"), F.col("p")), 6).alias("score"))
+    return A.score_typed(rows.select("event_id", gold.alias("g"), pred.alias("p")), F.col("g"), F.col("p")).select("event_id", F.round("score", 6).alias("score"))
 
 
 FUNNEL = ["signup", "view", "click", "purchase"]
@@ -137,3 +150,37 @@ def f16(t):
     last = F.when(F.col("user_id") % 2 == 0, (F.element_at("path", -1) == "purchase").cast("double"))
     scores = A.score_custom(intermediate_url_list=path, target_final_url=last, answer=F.lit(None))
     return paths(t).select("user_id", F.explode(scores).alias("key", "score"))
+
+
+@query("S4_read_run_dirs", "SELECT source AS benchmark, coalesce(lang, 'none') AS split, CAST(doc_id AS VARCHAR) AS task_id, coalesce(text, '') AS answer, CAST(quality AS DOUBLE) AS score, CAST(doc_id AS DOUBLE) / 10 AS duration FROM documents JOIN labels USING (doc_id)")
+def s4(t):
+    """Answers, scores and times of each labelled document, written as run directories and read again."""
+    root = sinks.scratch(t.spark, "runs")
+    d = t("documents").select("doc_id", "text", "source", "lang").join(t("labels"), "doc_id")
+    level = [F.lit("runlens").alias("system"), F.col("source").alias("benchmark"), F.coalesce("lang", F.lit("none")).alias("split"), F.lit("0").alias("run_id"), F.col("doc_id").cast("string").alias("task_id")]
+    kinds = {"answers": F.coalesce("text", F.lit("")).alias("answer"), "scores": F.col("quality").cast("double").alias("score"), "times": (F.col("doc_id") / 10).alias("duration")}
+    out = {}
+    for name, value in kinds.items():
+        runs.write_run_dirs(d.select(*level, value), f"{root}/{name}")
+        out |= runs.read_run_dirs(t.spark, f"{root}/{name}", {name: "part-*.json"})
+    scores = out["scores"].select(*runs.LEVELS, F.col("score")["score"].alias("score"))
+    whole = out["answers"].select(*runs.LEVELS, "answer").join(scores, runs.LEVELS, "left").join(out["times"].select(*runs.LEVELS, "duration"), runs.LEVELS, "left")
+    return whole.drop("system", "run_id")
+
+
+@query("S5_list_modified_files", "SELECT concat('part-', n_nationkey) AS file, 'nation' AS folder FROM nation UNION ALL SELECT concat('part-', r_regionkey), 'region' FROM region")
+def s5(t):
+    """Files of two tables, written a row a folder; all are younger than the year 2000."""
+    root = sinks.scratch(t.spark, "files")
+    for name, key in (("nation", "n_nationkey"), ("region", "r_regionkey")):
+        t(name).select(F.concat(F.lit("part-"), key).alias("file"), F.col(key).cast("string").alias("value")).write.partitionBy("file").text(f"{root}/{name}")
+    found = runs.list_modified_files(t.spark, root, "2000-01-01T00:00:00Z", "2999-01-01T00:00:00Z").where("extension = 'txt'")
+    return found.select(F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), F.regexp_extract("path", "/(nation|region)/", 1).alias("folder"))
+
+
+@query("X3_task_source", "SELECT CAST(item_id AS VARCHAR) AS id, text AS question, 'dev' AS \"set\" FROM benchmark WHERE item_id % 2 = 0")
+def x3(t):
+    """The benchmark table by a user's own loader, of which one split is taken."""
+    split = F.when(F.col("item_id") % 2 == 0, "dev").otherwise("test")
+    tasks.task_source("benchmark")(lambda spark, path: spark.read.parquet(path).select(F.col("item_id").alias("id"), F.col("text").alias("question"), split.alias("set")))
+    return tasks.load_tasks(t.spark, "benchmark", t.path("benchmark"), "dev").select("id", "question", "set")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history as H
 from ..operators import metrics as M
+from ..operators import search as Q
 from ..operators import sequences as S
 from .base import query
 
@@ -107,26 +108,21 @@ def a14(t):
 
 @query("A15_sentinel_rollup", "SELECT user_id, CAST(event_id // 100 AS BIGINT) AS check_number, arg_max(props, event_id) FILTER (event_type = 'error') AS reason, round(arg_max(value, event_id) FILTER (event_type = 'view'), 6) AS next_check_in, count(*) FILTER (event_type = 'click') AS messages, string_agg(event_type, ',' ORDER BY event_id) AS kinds FROM events GROUP BY 1, 2")
 def a15(t):
-    kind = F.col("event_type")
-    return t("events").groupBy("user_id", F.floor(F.col("event_id") / 100).alias("check_number")).agg(
-        F.max_by(F.when(kind == "error", F.col("props")), F.when(kind == "error", F.col("event_id"))).alias("reason"),
-        F.round(F.max_by(F.when(kind == "view", F.col("value")), F.when(kind == "view", F.col("event_id"))), 6).alias("next_check_in"),
-        F.count_if(kind == "click").alias("messages"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), ",").alias("kinds"),
-    )
+    kind, checks = F.col("event_type"), events(t).withColumn("check_number", F.floor(F.col("event_id") / 100))
+    out = S.sentinel_rollup(checks, ["user_id", "check_number"], "event_id", F.when(kind == "error", F.col("props")), F.when(kind == "view", F.col("value")), kind == "click", kind)
+    return out.withColumn("next_check_in", F.round("next_check_in", 6)).withColumn("kinds", F.array_join("kinds", ","))
 
 
 @query("A16_screenshot_index", "SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS part, i = len(p) AND turn = max(turn) OVER (PARTITION BY conv_id) AS current FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS p, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations)")
 def a16(t):
-    parts = t("conversations").select("conv_id", "turn", F.split("text", "\n").alias("p"))
-    last = F.max("turn").over(Window.partitionBy("conv_id"))
-    return parts.select("conv_id", "turn", F.size("p").alias("n"), F.posexplode("p").alias("part", "x")).withColumn("current", (F.col("part") == F.col("n") - 1) & (F.col("turn") == last)).select("conv_id", "turn", "part", "current")
+    return S.part_index(t("conversations").select("conv_id", "turn", F.split("text", "\n").alias("p")), "conv_id", "turn", "p").select("conv_id", "turn", "part", "current")
 
 
-@query("J1_tasks_answers", "SELECT b.item_id, d.doc_id, d.lang FROM benchmark b LEFT JOIN (SELECT doc_id, lang, doc_id % 60 AS item_id FROM documents WHERE doc_id % 60 < 35) d ON b.item_id = d.item_id")
+@query("J1_tasks_answers", "SELECT d.doc_id, d.lang, c.turn, c.text AS answer FROM documents d LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant') c ON d.doc_id = c.conv_id")
 def j1(t):
-    found = t("documents").select("doc_id", "lang", (F.col("doc_id") % 60).alias("item_id")).where("item_id < 35")
-    return t("benchmark").select("item_id").join(found, "item_id", "left")
+    """Documents as tasks; answers are the assistant's turns of the conversation with that number, which most tasks lack."""
+    found = t("conversations").where("role = 'assistant'").select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("answer"))
+    return Q.tasks_with_answers(t("documents").select("doc_id", "lang"), found, "doc_id")
 
 
 @query("J2_enrich_results", "SELECT d.doc_id, d.source, l.quality, c.turns FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id) c ON d.doc_id = c.conv_id WHERE l.quality IS NOT NULL")
@@ -137,20 +133,19 @@ def j2(t):
 
 @query("J3_reference_answers", "SELECT n.n_nationkey, n.n_name, coalesce(arg_min(s.s_name, s.s_suppkey), '') AS answer FROM nation n LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey GROUP BY n.n_nationkey, n.n_name")
 def j3(t):
-    first = t("supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min_by("s_name", "s_suppkey").alias("answer"))
+    first = Q.first_references(t("supplier"), "s_nationkey", "s_name", "s_suppkey").withColumnRenamed("s_nationkey", "n_nationkey")
     return t("nation").join(first, "n_nationkey", "left").select("n_nationkey", "n_name", F.coalesce("answer", F.lit("")).alias("answer"))
 
 
-@query("J4_complete_submission", "SELECT coalesce(d.doc_id, l.doc_id + 1000000) AS id, coalesce(left(d.text, 40), '') AS answer FROM documents d FULL JOIN (SELECT doc_id, doc_id + 3 AS k FROM labels) l ON d.doc_id = l.k")
+@query("J4_complete_submission", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN text = 'Unable to determine' THEN '' ELSE coalesce(text, '') END AS text FROM documents d FULL JOIN (SELECT doc_id + 3 AS doc_id FROM labels) l ON d.doc_id = l.doc_id")
 def j4(t):
-    asked = t("labels").select(F.col("doc_id").alias("asked"), (F.col("doc_id") + 3).alias("k"))
-    d = t("documents")
-    return d.join(asked, d.doc_id == asked.k, "full_outer").select(F.coalesce("doc_id", F.col("asked") + 1000000).alias("id"), F.coalesce(F.substring("text", 1, 40), F.lit("")).alias("answer"))
+    asked = t("labels").select((F.col("doc_id") + 3).alias("doc_id"))
+    return Q.complete_submission(t("documents"), asked, "doc_id", "text").withColumnRenamed("answer", "text")
 
 
 @query("J5_unscored_only", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def j5(t):
-    return t("documents").select("doc_id", "source").join(t("labels").select("doc_id"), "doc_id", "left_anti")
+    return Q.unscored(t("documents").select("doc_id", "source"), t("labels"), "doc_id")
 
 
 @query("J8_session_history", "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
@@ -206,15 +201,14 @@ def k5(t):
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
-@query("U1_union_task_sets", "SELECT item_id AS id, left(text, 30) AS q FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, left(text, 30) FROM documents")
+@query("U1_union_task_sets", "SELECT item_id AS id, text AS q FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, text FROM documents")
 def u1(t):
-    short = F.substring("text", 1, 30).alias("q")
-    return H.union_task_sets([t("benchmark").select(F.col("item_id").alias("id"), short), t("documents").select(F.col("doc_id").alias("id"), short)], "id")
+    return H.union_task_sets([t("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("q")), t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("q"))], "id")
 
 
 @query("U2_file_set_diff", "SELECT p_name, p_brand FROM part WHERE p_size < 30 EXCEPT SELECT p_name, p_brand FROM part WHERE p_size > 20")
 def u2(t):
-    return t("part").where("p_size < 30").select("p_name", "p_brand").subtract(t("part").where("p_size > 20").select("p_name", "p_brand"))
+    return H.set_diff(t("part").where("p_size < 30"), t("part").where("p_size > 20"), "p_name", "p_brand")
 
 
 EV = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)"
@@ -241,16 +235,19 @@ def w3(t):
     return S.failed_steps(events(t), "user_id", ORD, signal, "error").select("user_id", "event_id", "failed")
 
 
-@query("W4_run_progress", f"WITH e AS (SELECT *, coalesce(max(CASE WHEN event_type = 'purchase' THEN seq END) OVER (PARTITION BY user_id), -1) AS f FROM {EV}) SELECT user_id, coalesce(arg_max(CAST(event_id AS BIGINT), seq) FILTER (event_type = 'click' AND seq > f), -1) AS step, max(f) >= 0 AS has_final, count(*) FILTER (event_type = 'click' AND seq > f) AS steps_after FROM e GROUP BY user_id")
+@query("W4_run_progress", f"""WITH e AS (SELECT *, coalesce(max(CASE WHEN event_type = 'purchase' THEN seq END) OVER (PARTITION BY user_id), -1) AS f, max(seq) OVER (PARTITION BY user_id) AS m FROM {EV}),
+g AS (SELECT user_id, max(f) AS f, arg_max(CAST(event_id AS BIGINT), seq) FILTER (event_type = 'click' AND seq > f) AS step, arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), seq) FILTER (event_type = 'click' AND seq > f AND CAST(json_extract_string(props, '$.k') AS BIGINT) > 0) AS n, count(*) FILTER (event_type = 'click' AND seq > f) AS steps_after, bool_or(event_type = 'signup' AND seq > f) AS plan_after, bool_or(event_type = 'signup' AND seq > m - 3) AS plan_late, arg_max(event_type, seq) <> 'error' AS live FROM e GROUP BY user_id)
+SELECT user_id, CASE WHEN live THEN coalesce(step, -1) ELSE -1 END AS step, CASE WHEN live THEN coalesce(n, 0) ELSE -1 END AS plan_length, f >= 0 AND NOT plan_after AS has_final, live AND step IS NULL AND CASE WHEN f >= 0 THEN plan_after ELSE plan_late END AS planning, steps_after FROM g""")
 def w4(t):
+    """A run whose last event is an error counts as not live."""
     e = S.message_seq(events(t), "user_id", *ORD)
-    return S.run_progress(e, "user_id", "seq", F.col("event_type") == "purchase", F.when(F.col("event_type") == "click", F.col("event_id")))
+    kind, length = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
+    return S.run_progress(e, "user_id", "seq", kind == "purchase", F.when(kind == "click", F.col("event_id")), F.when((kind == "click") & (length > 0), length), kind == "signup", kind != "error")
 
 
 @query("W5_monitor_state", "SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) FILTER (event_type IN ('view', 'click', 'error')) AS state FROM events GROUP BY user_id")
 def w5(t):
-    on = F.col("event_type").isin("view", "click", "error")
-    return events(t).groupBy("user_id").agg(F.max_by(F.when(on, F.col("event_type")), F.when(on, F.struct("ts", "event_id"))).alias("state"))
+    return S.monitor_state(events(t), "user_id", ORD, F.when(F.col("event_type").isin("view", "click", "error"), F.col("event_type")))
 
 
 @query("W6_page_changed", "SELECT user_id, event_id FROM (SELECT *, md5(props) AS h, lag(md5(props)) OVER w AS p, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE r = 1 OR h IS DISTINCT FROM p")

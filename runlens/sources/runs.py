@@ -16,18 +16,21 @@ RUN_FILES = {
     "usage": ("model_tokens_usage.json", "value map<string,struct<prompt_tokens:bigint,completion_tokens:bigint>>"),
 }
 LEVELS = ["system", "benchmark", "split", "run_id", "task_id"]
-#: Names that a listing of modified files leaves out.
-IGNORED = r"(\.pyc$|\.cache|__pycache__|__init__\.py$)"
+#: Names and extensions that a listing of modified files leaves out.
+IGNORED = r"/(__pycache__|__init__\.py)(/|$)|[^/]\.(pyc|cache)$"
 
 
-def read_run_dirs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+def read_run_dirs(spark: SparkSession, root: str, files: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Tables answers, scores, times, messages, usage over ``root/system/benchmark/split/run_id/task_id``.
 
-    The path's last five levels become columns. A score is a map always: a number
-    is ``{"score": x}``. Usage has a row a client. Files that don't parse give nulls.
+    The path's last five levels become columns (without a leading ``name=``). A
+    score is a map always: a number is ``{"score": x}``. Usage has a row a client.
+    Files that don't parse give nulls. ``files`` names the tables to read, and
+    their files where those are called otherwise.
     """
     out = {}
-    for name, (file, schema) in RUN_FILES.items():
+    for name, file in (files or {n: f for n, (f, _) in RUN_FILES.items()}).items():
+        schema = RUN_FILES[name][1]
         paths = f"{root.rstrip('/')}/*/*/*/*/*/{file}"
         if name == "usage":
             df = spark.read.text(paths, wholetext=True).select(F.from_json("value", schema.split(" ", 1)[1]).alias("value"), F.col("_metadata.file_path").alias("path"))
@@ -38,10 +41,16 @@ def read_run_dirs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
             number = F.col("score").try_cast("double")
             df = df.withColumn("score", F.when(number.isNotNull(), F.create_map(F.lit("score"), number)).otherwise(F.from_json("score", "map<string,double>")))
         parts = F.split("path", "/")
-        out[name] = df.select(*(F.try_url_decode(F.element_at(parts, i - len(LEVELS) - 1)).alias(c) for i, c in enumerate(LEVELS)), *(c for c in df.columns if c != "path"))
+        level = lambda i, c: F.regexp_replace(F.try_url_decode(F.element_at(parts, i - len(LEVELS) - 1)), f"^{c}=", "").alias(c)
+        out[name] = df.select(*(level(i, c) for i, c in enumerate(LEVELS)), *(c for c in df.columns if c != "path"))
     return out
 
 
+def write_run_dirs(rows: DataFrame, root: str) -> None:
+    """A folder ``root/system=…/benchmark=…/split=…/run_id=…/task_id=…`` of JSON for each task, of the columns besides LEVELS."""
+    rows.repartition(*LEVELS).write.partitionBy(*LEVELS).json(root)
+
+
 def list_modified_files(spark: SparkSession, root: str, start: str, end: str) -> DataFrame:
     """path, name, extension, modified of files changed in [start, end] (ISO instants), by extension and name; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("modificationTime").alias("modified"))

@@ -3,6 +3,7 @@
 import itertools
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,11 +55,11 @@ def test_run_dirs(spark, tmp_path):
 
 
 def test_modified_files(spark, tmp_path):
-    for name, at in (("b.py", 1000), ("a.txt", 2000), ("late.txt", 9000), ("x.pyc", 1500), ("sub/c.py", 1000)):
+    for name, at in (("b.py", 1000), ("a.txt", 2000), ("late.txt", 9000), ("x.pyc", 1500), ("sub/c.py", 1000), ("y.cache", 1500), ("my__init__.py", 1200), ("__init__.py", 1200), ("__pycache__/z.py", 1200), ("a.cached/d.py", 1200)):
         put(f"{tmp_path}/{name}", "x")
         os.utime(f"{tmp_path}/{name}", (at, at))
     got = runs.list_modified_files(spark, str(tmp_path), "1970-01-01T00:16:40Z", "1970-01-01T00:33:20Z")
-    assert [r.name for r in got.collect()] == ["b.py", "c.py", "a.txt"]
+    assert [r.name for r in got.collect()] == ["b.py", "c.py", "d.py", "my__init__.py", "a.txt"]
 
 
 def test_sinks(spark, tmp_path):
@@ -87,19 +88,46 @@ def test_plans(spark):
 
 def test_alignment(spark):
     g, p = F.col("g"), F.col("p")
-    two = "g array<string>, p array<string>"
-    score = lambda a, b: tuple(value(spark, two, (a, b), A.align_spans(g, p)))
-    assert score(["red", "blue"], ["blue", "red"]) == (1.0, True) and score(["red", "blue"], ["red"]) == (0.5, True)
-    assert score([], ["x"])[0] == 0.0 and score(["x"], ["x"] * 11)[1] is False
-    a, b = ["big red dog", "red dog", "small cat"], ["red", "big dog", "cat red", "small red cat"]
+    rng = random.Random(3)
     f1 = lambda x, y: 2 * len({*x.split()} & {*y.split()}) / (len({*x.split()}) + len({*y.split()}))
-    best = max(sum(map(f1, a, order)) for order in itertools.permutations(b, 3)) / 4
-    assert score(a, b) == (pytest.approx(best), True)
-    assert value(spark, "g map<string,string>, p map<string,string>", ({"name": "ann", "n": "10"}, {"name": "ann"}), A.score_dict(g, p)) == pytest.approx(2 / 3)
-    typed = lambda a, b: value(spark, "g string, p string", (a, b), A.score_typed(g, p))
-    assert [typed("10", "10"), typed("10", "1\n2"), typed("red\nblue", "Blue\nthe red"), typed("red", ""), typed('{"a": "x"}', '{"a": "x"}'), typed("10", "ten")] == [1.0, 0.0, 1.0, 0.0, 1.0, 0.0]
-    assert typed("10", "20") == pytest.approx(0.306853, abs=1e-5)
-    path = lambda a, b: value(spark, two, (a, b), A.path_score(g, p))
+    words = ["red", "blue", "dog", "cat", "big"]
+    span = lambda: " ".join(rng.sample(words, rng.randrange(1, 4)))
+    cases = [(["red", "blue"], ["blue", "red"]), (["red", "blue"], ["red"]), ([], ["x"]), (["x"], ["x"] * 11), (["big red dog", "red dog", "small cat"], ["red", "big dog", "cat red", "small red cat"])]
+    cases += [([span() for _ in range(rng.randrange(1, 6))], [span() for _ in range(rng.randrange(1, 6))]) for _ in range(12)]
+    want = []
+    for a, b in cases:
+        few, many = sorted((a, b), key=len)
+        want.append(max((sum(map(f1, few, order)) for order in itertools.permutations(many, len(few))), default=0) / len(many) if few and len(many) < 9 else {0: 0.0, 1: 1 / 11}[len(few)])
+    # beyond the subsets: 12 spans that each match one other in another order, and one half match
+    own = [f"w{i} v{i}" for i in range(12)]
+    cases.append((own, [*own[:0:-1], "w0 x", "y"]))
+    want.append(11.5 / 13)
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, g array<string>, p array<string>")
+    got = [r.score for r in A.align_spans(rows, g, p).orderBy("i").collect()]
+    assert got == [pytest.approx(x) for x in want]
+
+
+def test_scores_of_maps_and_answers(spark):
+    g, p = F.col("g"), F.col("p")
+    maps = [
+        ('{"name": "ann", "n": 10}', '{"name": "ann"}', 2 / 3), ('{"a": "red car"}', '{"a": "red car 7"}', 0.0), ('{"a": null}', '{"a": 1}', 0.0), ('{"a": "1,5 sqft"}', '{"a": 1.5}', 1.0), ('{"a": true}', '{"a": 1}', 1.0),
+        ('{"a": ["x", "y"]}', '{"a": ["y", "x"]}', 1.0), ('{"a": ["x"]}', '{"a": "x"}', 0.0), ("{}", "{}", 0.0), ('{"a": 1}', "no", 0.0),
+    ]
+    rows = spark.createDataFrame([(i, *m[:2]) for i, m in enumerate(maps)], "i int, g string, p string")
+    got = [r.s for r in rows.select("i", A.score_dict(A.typed_values(g), A.typed_values(p)).alias("s")).orderBy("i").collect()]
+    assert got == [pytest.approx(m[2]) for m in maps]
+    typed = [
+        ("10", "10", 1.0), ("10", "1\n2", 0.0), ("10", "20", 0.306853), ("10", "ten", 0.0), ("10", "[10]", 0.0), ("red\nblue", '["Blue", "the red"]', 1.0), ("red\nblue", "Blue\nthe red", 1 / 3), ("red", "", 0.0), ("red", None, 0.0),
+        ('{"a": "x"}', '{"a": "x"}', 1.0), ("{'a': 'x'}", '[{"a": "x"}]', 1.0), ('{"a": 1}\n{"a": 2}', '{"a": 2}\n{"a": 1}', 1.0), ('{"a": 1}', "x", 0.0), ("1\n2", "1", 0.0), ("", "x", 0.0), ("$ 1,5", "1.5", 1.0),
+        ("\n".join(f"w{i}" for i in range(12)), "[" + ", ".join(f'"w{i}"' for i in range(13)) + "]", 12 / 13),
+    ]
+    rows = spark.createDataFrame([(i, *t[:2]) for i, t in enumerate(typed)], "i int, g string, p string")
+    assert [r.score for r in A.score_typed(rows, g, p).orderBy("i").collect()] == [pytest.approx(t[2], abs=1e-5) for t in typed]
+
+
+def test_paths_and_maps_of_scores(spark):
+    g, p = F.col("g"), F.col("p")
+    path = lambda a, b: value(spark, "g array<string>, p array<string>", (a, b), A.path_score(g, p))
     assert path([*"abc"], [*"aacb"]) == 2.0 and path([*"abc"], None) == 0.0 and path([], ["a"]) is None
     assert value(spark, "g double, p double", (None, 1.0), A.score_custom(answer=g, target_final_url=p)) == {"target_final_url": 1.0}
 

@@ -1,11 +1,16 @@
 """Hand-worked cases of scorers, sequences, aggregates and URLs."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from runlens.functions import pages as G
+from runlens.functions import records as C
 from runlens.functions import text as X
 from runlens.functions import urls as U
 from runlens.operators import metrics as M
+from runlens.operators import search as Q
 from runlens.operators import sequences as S
 
 
@@ -30,13 +35,76 @@ def test_number_score(spark, gold, pred, score):
 
 
 def test_text_functions(spark):
-    assert one(spark, [("$1,234",), ("12%",), ("5d",), (None,)], "x string", X.clean_number(F.col("x"))) == [1.234, 12.0, None, None]
-    assert one(spark, [("The Eiffel-Tower, 330",)], "x string", F.array_join(X.span_words(F.col("x")), " ")) == ["eiffel tower 330.0"]
-    assert one(spark, [("aa bb cc ddd",), ("",)], "x string", X.viewport_chunks(F.col("x"), 4)) == [["aa bb ", "cc ddd"], [""]]
-    assert one(spark, [("abc",)], "x string", X.stable_id(F.col("x"))) == ["ba7816bf8f01cfea"]
-    assert one(spark, [('ok {"a": 1} end',), ('{"a": 1} and {"b": 2}',)], "x string", X.first_json(F.col("x"))) == ['{"a": 1}', None]
-    assert one(spark, [("http://a.com/x%20y/?b=2&a=1",)], "x string", U.normalise_url(F.col("x"))) == ["http://a.com/x y?a=1&b=2"]
-    assert one(spark, [("Looks good ",)], "x string", X.reply_accepted(F.col("x"))) == [True]
+    x = F.col("x")
+    rows = lambda *texts: [(t,) for t in texts]
+    assert one(spark, rows("$1,234", "12%", "5d", None), "x string", X.clean_number(x)) == [1.234, 12.0, None, None]
+    spans = ["The Eiffel-Tower, 330", "330,", "$1,234", "(42)", "a an the", "an\nb", "1_000 INF 1e16 12345678 0.0001", "aé «a»", "", "-5 +5"]
+    assert one(spark, rows(*spans), "x string", X.normalised_span(x)) == ["eiffel tower 330.0", "330.0", "1234.0", "42.0", "", "b", "1000.0 inf 1e+16 12345678.0 0.0001", "aé « »", "", "5.0 5.0"]
+    assert one(spark, rows("aa bb cc ddd", ""), "x string", X.viewport_chunks(x, 4)) == [["aa bb ", "cc ddd"], [""]]
+    assert one(spark, rows("abc"), "x string", X.stable_id(x)) == ["ba7816bf8f01cfea"]
+    said = ['ok {"a": 1} end', '{"a": 1} and {"b": 2}', '{"a":1},{"b":2}', '{"a":1}]y}', "none", None]
+    assert one(spark, rows(*said), "x string", X.first_json(x)) == ['{"a": 1}', None, None, None, None, None]
+    strict = ['{"a":1}', '{"a":1},{"b":2}', '{"a":1}]y', "1]x", "1],7]x", " [1] ", "x", "", None]
+    assert one(spark, rows(*strict), "x string", X.strict_json(x)) == [True, False, False, False, False, True, False, False, False]
+    assert one(spark, rows("http://a.com/x%20y/?b=2&a=1"), "x string", U.normalise_url(x)) == ["http://a.com/x y?a=1&b=2"]
+    assert one(spark, rows("Looks good ", "sounds good", "Run plan", "accpt", "yes", "go ahead", "continue"), "x string", X.reply_accepted(x)) == [True] * 4 + [False] * 3
+    replies = ["yes", " N ", "hm", '{"accepted": false}', '{"accepted": "false"}', '{"accepted": 0}', '{"accepted": null}', '{"accepted": [1]}', '{"accepted": {}}', '{"x": 1}', "{bad", None]
+    assert one(spark, rows(*replies), "x string", X.action_approved(x, True)) == [True, False, True, False, True, False, False, True, False, True, True, True]
+    assert one(spark, rows("**$\\boxed{5}$** and $x_1$ `c` }"), "x string", X.clean_response(x)) == ["5 and x_1 `c` }"]
+    assert [tuple(r) if r else r for r in one(spark, rows('{"score": 7, "success": true}', "{}", "no"), "x string", X.judgement(x))] == [(0.7, True, "No reasoning provided."), (0.0, False, "No reasoning provided."), None]
+    flat = one(spark, rows('{"a":{"b":[1,{"c":null}]},"d":"t"}', "[[[[4]]]]", "5", "no"), "x string", X.flatten_json(x))
+    assert [r and [tuple(i) for i in r] for r in flat] == [[("a.b[0]", "1"), ("a.b[1]", '{"c":null}'), ("d", "t")], [("[0][0][0]", "[4]")], [("", "5")], None]
+
+
+@pytest.mark.parametrize("query, start, found", [("de*", 0, 1), ("DEEP, sea!", 0, 1), ("x", 0, 0), ("x", 1, 2), ("*", 1, 1), ("", 0, None), ("?!", 0, None), ("deep * x", 0, None), ("se* x", 0, 2)])
+def test_find_in_chunks(spark, query, start, found):
+    chunks = F.array(F.lit("x"), F.lit("a deep, sea"), F.lit("see the x"))
+    assert spark.range(1).select(X.find_in_chunks(chunks, query, F.lit(start)).alias("f")).first().f == found
+
+
+def test_empty_bags(spark):
+    bags = [([], [], 1.0), (["a1"], [], 0.0), ([], ["a1"], 0.0), (["3.0", "cats"], ["4.0", "cats"], 0.0), (["cats"], ["4.0", "cats"], 2 / 3)]
+    got = one(spark, [b[:2] for b in bags], "g array<string>, p array<string>", X.pair_f1(F.col("g"), F.col("p")))
+    assert got == [pytest.approx(b[2]) for b in bags]
+
+
+def test_pages(spark):
+    html = "<a href=/x>l</a><a>no</a><INPUT type='Checkbox'><button disabled>b</button><select><option>1</select><div role=tab>t</div><div role=note>n</div><p tabindex='0'>p</p><!-- <button> --><script>'<button>'</script>"
+    assert one(spark, [(html,), ("",)], "h string", G.page_elements(F.col("h"))) == [["link", "checkbox", "combobox", "option", "tab", ""], []]
+    text = "see [A](http://a.com)\n[A](http://a.com) and [B](http://b.com)\n[C](ftp://c.com)\n[D](/d)\nno"
+    assert [[tuple(x) for x in r] for r in one(spark, [(text,)], "t string", G.markdown_links(F.col("t")))] == [[("http://a.com", "A")]]
+    assert one(spark, [("<meta name=a content=1><meta property='a' content='2'><meta name=b>",)], "h string", G.meta_map(F.col("h"))) == [{"a": "2"}]
+
+
+def test_records(spark):
+    step = '{"title": "a", "details": "b", "agent_name": "c"%s}'
+    plan = '{"task": "t", "steps": [%s], "needs_plan": true, "response": "", "plan_summary": ""}'
+    rows = [(plan % (step % ""),), (plan % "1",), (plan % (step % ', "step_type": "SentinelPlanStep"'),), (plan % '{"step_type": "other"}',), ("[]",), ("{}",)]
+    assert one(spark, rows, "x string", C.record_fault(F.col("x"), "plan")) == [None, "bad step", None, "bad step", "not an object", "missing keys"]
+    assert one(spark, rows, "x string", C.record_fault(F.col("x"), "plan", monitors=True)) == [None, "bad step", "bad step", None, "not an object", "missing keys"]
+    names = [("a.py",), ("b.XLSX",), ("c.pdf",), (".py",), ("d.x/e",), ("x/y.tar.svg",)]
+    assert one(spark, names, "x string", C.file_type(F.col("x"))) == ["code", "unknown", "pdf", "unknown", "unknown", "image"]
+
+
+def test_searches(spark):
+    texts = spark.createDataFrame([(1, "one two three four five six seven"), (2, "xone twox"), (3, None), (4, "the two cats")], "k long, t string")
+    golds = spark.createDataFrame([(10, "wo three four five six sev"), (11, "one"), (12, "e two c"), (13, "zz"), (14, None), (15, "")], "g long, gold string")
+    want = {(1, 10), (1, 11), (2, 11), (4, 12), (1, 15), (2, 15), (4, 15)}
+    assert {tuple(r) for r in Q.holds(texts, golds, "k", "t", "g", "gold").collect()} == want
+    assert Q.holds(texts, golds.limit(0), "k", "t", "g", "gold").count() == 0
+    ids = spark.range(1000)
+    for n in (0.0, 0.01, 0.37, 1.0):
+        got = [r.id for r in Q.subsample(ids.repartition(5), n, 7, "id", bits=8).collect()]
+        key = lambda i: hashlib.sha256(f"7-{i}".encode()).hexdigest()
+        assert sorted(got, key=key) == sorted(range(1000), key=key)[: int(1000 * n)]
+
+
+def test_progress(spark):
+    kinds = {1: "P s t", 2: "P s F", 3: "P s F P", 4: "P s F P s", 5: "P x", 6: "P s E", 7: "P x x x"}
+    df = spark.createDataFrame([(r, i, k) for r, ks in kinds.items() for i, k in enumerate(ks.split())], "run int, seq int, kind string")
+    k, step = F.col("kind"), F.when(F.col("kind").isin("s", "t"), F.col("seq"))
+    out = {r[0]: tuple(r)[1:] for r in S.run_progress(df, "run", "seq", k == "F", step, F.when(step.isNotNull(), 9), k == "P", k != "E").collect()}
+    assert out == {1: (2, 9, False, False, 2), 2: (-1, 0, True, False, 0), 3: (-1, 0, False, True, 0), 4: (4, 9, False, False, 1), 5: (-1, 0, False, True, 0), 6: (-1, -1, False, False, 1), 7: (-1, 0, False, False, 0)}
 
 
 def test_url_policy(spark):
