@@ -205,9 +205,12 @@ def strict_json(c: Column) -> Column:
     lists with a hash of the text behind it, which must come out again.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("[["), c, F.lit('],"'), F.md5(c), F.lit('"]')))
-    whole = F.try_variant_get(wrapped, "$", "array<variant>")
-    inner = F.try_variant_get(wrapped, "$[0]", "array<variant>")
-    return F.coalesce((F.size(whole) == 2) & (F.size(inner) == 1) & (F.try_variant_get(wrapped, "$[1]", "string") == F.md5(c)), F.lit(False))
+
+    def whole(x: Column) -> Column:
+        get = lambda path, kind: F.try_variant_get(x["v"], path, kind)
+        return F.coalesce((F.size(get("$", "array<variant>")) == 2) & (F.size(get("$[0]", "array<variant>")) == 1) & (get("$[1]", "string") == x["h"]), F.lit(False))
+
+    return let(F.struct(wrapped.alias("v"), F.md5(c).alias("h")), whole)
 
 
 def first_json(c: Column) -> Column:
