@@ -151,8 +151,8 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, words binary")
 
 
-def linked(ids: list[int], docs: list[np.ndarray], first: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
-    """Spanning edges of the links between the documents of two blocks (``first`` tells them apart), or within one block.
+def linked(ids: list[int], docs: list[np.ndarray], first: np.ndarray, labels: list[int], share: tuple[int, int]) -> list[tuple[int, int]]:
+    """Spanning edges of the links between the documents of two blocks (``first`` tells them apart), or within one block; none between those that share a label.
 
     Overlaps are summed over column chunks of the incidence matrix; a pair is
     dropped where its sizes alone rule it out.
@@ -177,7 +177,8 @@ def linked(ids: list[int], docs: list[np.ndarray], first: np.ndarray, share: tup
     total = sizes[left][:, None] + sizes[right] - overlap
     p, q = share
     a, b = np.nonzero((small * q >= large * p) & (overlap * q >= total * p) & (overlap > 0))
-    root = list(range(len(docs)))
+    held: dict[int, int] = {}
+    root = [held.setdefault(x, i) for i, x in enumerate(labels)]
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -195,30 +196,31 @@ def linked(ids: list[int], docs: list[np.ndarray], first: np.ndarray, share: tup
 
 
 def block_links(docs: DataFrame, dealt: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """(a, b), stored: spanning edges of the links in each block pair (b1, b2) of the stored table ``dealt`` (doc_id, b1, b2, first)."""
+    """(a, b), stored: spanning edges of the links in each block pair (b1, b2) of the stored table ``dealt`` (doc_id, b1, b2, first, label): rows of one label are known to be one component."""
     who = stored(dealt.select("doc_id").distinct(), "who")
     rows = packed(join_sized(docs, who, "doc_id", "left_semi", who.count()))
     n = dealt.count()
-    rows = join_sized(rows, dealt, "doc_id", "inner", n).select("b1", "b2", "first", "doc_id", "words")
+    rows = join_sized(rows, dealt, "doc_id", "inner", n).select("b1", "b2", "first", "doc_id", "label", "words")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // DEALT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        now, ids, sets, first = None, [], [], []
+        now, ids, sets, first, labels = None, [], [], [], []
 
         def close() -> Iterator[pa.RecordBatch]:
-            out = linked(ids, sets, np.array(first), share) if len(ids) > 1 else []
+            out = linked(ids, sets, np.array(first), labels, share) if len(ids) > 1 else []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for b1, b2, one, doc, words in zip(*(c.to_pylist() for c in batch.columns)):
+            for b1, b2, one, doc, label, words in zip(*(c.to_pylist() for c in batch.columns)):
                 if (b1, b2) != now:
                     yield from close()
-                    now, ids, sets, first = (b1, b2), [], [], []
+                    now, ids, sets, first, labels = (b1, b2), [], [], [], []
                 ids.append(doc)
                 sets.append(shingles(press.decompress(words).decode("utf-8", "surrogatepass"), width))
                 first.append(one)
+                labels.append(label)
         yield from close()
 
     return stored(rows.repartition(parts, "b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(run, "a long, b long"), "links")
@@ -243,8 +245,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null, empty or blank text has an empty set, and no links. Texts with fewer
     words than ``width`` have one shingle, the whole sequence. Rows that share an
-    id count as one node with the links of all of them; a null id has no links
-    and a null component. An empty table gives an empty result.
+    id count as one node with the links of all of them; a row with a null id adds
+    no links, and has the component of the rows with its set, null if all of
+    them lack an id. An empty table gives an empty result.
     """
     p, q = share
     docs = text_rows(df, id_col, text_col)
@@ -266,7 +269,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = stored(members.select("doc_id", "size", "level", "parts", block(0).alias("block"), block(1).alias("again")), "members")
     own = members.select("doc_id", "block").union(members.where("parts > 1").select("doc_id", "again"))
     full = own.groupBy("block").count().where("count > 1").select("block")
-    own = stored(own.join(full.hint("merge"), "block").select("doc_id", F.col("block").alias("b1"), F.col("block").alias("b2"), F.lit(True).alias("first")), "own")
+    own = stored(own.join(full.hint("merge"), "block").select("doc_id", F.col("block").alias("b1"), F.col("block").alias("b2"), F.lit(True).alias("first"), F.col("doc_id").alias("label")), "own")
     within = block_links(docs, own, width, share)
     labels = components(within).withColumnsRenamed({"node": "doc_id", "component": "label"})
     members = stored(members.join(labels.hint("merge"), "doc_id", "left").select("doc_id", "size", "level", "block", F.coalesce("label", "doc_id").alias("label")), "labelled")
@@ -278,7 +281,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     could &= (F.col("size") * q >= F.col("least") * p) & (F.col("most") * q >= F.col("size") * p)
     could &= F.least("rest", "left") * (p + q) >= (F.col("size") + F.col("least")) * p
     meets = cells.join(stored(seen, "seen").hint("merge"), "col").where(could)
-    meets = stored(meets.select("doc_id", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), (F.col("block") < F.col("other")).alias("first")).distinct(), "meets")
+    meets = stored(meets.select("doc_id", "label", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), (F.col("block") < F.col("other")).alias("first")).distinct(), "meets")
     edges = within.union(block_links(docs, meets, width, share))
     tops = components(edges).withColumnRenamed("node", "class_id")
     classes = stored(classes.join(tops.hint("merge"), "class_id", "left").select("sig", F.coalesce("component", "class_id").alias("component_id")), "components")

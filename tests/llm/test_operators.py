@@ -372,7 +372,7 @@ def test_a_broken_block_is_an_error(spark):
 
 def test_jaccard_null_and_repeated_ids(spark):
     base = " ".join(f"w{i}" for i in range(60))
-    rows = [(None, base), (5, base), (5, base + " x"), (5, "lone words stand here all alone"), (8, "lone words stand here all alone"), (2, base + " x y"), (9, None), (9, "")]
+    rows = [(None, base), (None, "a set that no other row of the table has"), (5, base), (5, base + " x"), (5, "lone words stand here all alone"), (8, "lone words stand here all alone"), (2, base + " x y"), (9, None), (9, "")]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n int, col int")
-    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()))
-    assert got == [(0, 56, None), (2, 58, 2), (5, 2, 2), (5, 56, 2), (5, 57, 2), (8, 2, 2), (9, 0, 9), (9, 0, 9)]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.jaccard_components(df).collect())
+    assert got == [(0, 6, 0), (0, 56, 2), (2, 58, 2), (5, 2, 2), (5, 56, 2), (5, 57, 2), (8, 2, 2), (9, 0, 9), (9, 0, 9)]
