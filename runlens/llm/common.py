@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +13,8 @@ from ..sources.sinks import shared_folder
 
 #: A side is broadcast only when it was counted and holds at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
-#: Column that numbers the rows of a pipeline stage.
-ROW = "_runlens_row"
+#: Columns that number the rows of a pipeline stage, and name their file.
+ROW, FILE = "_runlens_row", "_runlens_file"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,13 +37,27 @@ def join_sized(left: DataFrame, right: DataFrame, on, how: str, rows: int) -> Da
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` written once with a number of its own for each row, in ROW: ids may be null or occur twice."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    """``docs`` with a number of its own for each row, in ROW: ids may be null or occur twice.
+
+    Rows read from Parquet files are numbered by file and place in it, the same
+    whenever they are read; no copy is made. Other rows, and those of more than
+    BROADCAST_ROWS files, are written once with their numbers.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+        files = sorted(r[0] for r in placed.select(FILE).distinct().limit(BROADCAST_ROWS + 1).collect())
+    except AnalysisException:  # not a scan of files
+        files = []
+    if not 0 < len(files) <= BROADCAST_ROWS:
+        return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    number = docs.sparkSession.createDataFrame([(f, i << 36) for i, f in enumerate(files)], f"{FILE} string, _number long")
+    return placed.join(F.broadcast(number), FILE).withColumn(ROW, F.col("_number") + F.col(ROW)).select(*docs.columns, ROW)
 
 
 def chosen(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of numbered ``rows`` whose number is in ``kept``, without the number."""
-    return rows.join(stored(kept.select(ROW), "kept").hint("merge"), ROW, "left_semi").drop(ROW)
+    kept = stored(kept.select(ROW), "kept")
+    return join_sized(rows, kept, ROW, "left_semi", kept.count()).drop(ROW)
 
 
 def importable(spark: SparkSession) -> None:

@@ -4,7 +4,8 @@ import random
 import re
 
 import corpus_pipeline
-from runlens.llm import dedup, jaccard, langid, quality
+import pytest
+from runlens.llm import common, dedup, jaccard, langid, quality
 
 WORDS = [f"word{i}" for i in range(40)]
 NEAR = [" ".join(WORDS[:k] + ["other"] + WORDS[k + 1 :]) for k in (39, 0, 38)]
@@ -76,3 +77,20 @@ def test_stages_take_each_others_rows(spark):
     out = jaccard.keep_first_of_each(dedup.keep_first(langid.keep_identified(quality.keep_accepted(docs(spark).unionByName(known), labels))))
     assert "lone words with no id at all" in {t for _, t in pairs(out)}
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_rows_of_files_are_numbered_without_a_copy(spark, tmp_path, monkeypatch):
+    docs(spark).repartition(3).write.parquet(f"{tmp_path}/d")
+    read = spark.read.parquet(f"{tmp_path}/d")
+    monkeypatch.setattr(common, "stored", lambda *_: pytest.fail("a copy"))
+    first = {(r.row, r[common.ROW]) for r in common.numbered(read).collect()}
+    assert len(first) == len({n for _, n in first}) == len(ROWS)
+    assert {(r.row, r[common.ROW]) for r in common.numbered(read.select("row", "text")).repartition(2).collect()} == first
+
+
+def test_stages_on_an_empty_table_and_clashing_names(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    for df in (docs(spark).limit(0), docs(spark).selectExpr("doc_id", "text", "lang", "source", "row", "1 AS h", "'x' AS component_id", "2.0 AS quality", "3 AS n", "4 AS _metadata")):
+        for stage in (lambda d: quality.keep_accepted(d, labels), langid.keep_identified, dedup.keep_first, jaccard.keep_first_of_each):
+            out = stage(df)
+            assert out.columns == df.columns and out.count() <= df.count()
