@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, extract, jaccard, langid, lexicon, packing, quality, rans, topk, warc
+from . import dedup, extract, fim, jaccard, langid, lexicon, packing, quality, rans, topk, warc
 
 QUERIES = {
     "op1_exact_dedup": dedup.op1_exact_dedup,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_bitmask_langid": langid.op8_bitmask_langid,
     "op9_warc_salvage": warc.op9_warc_salvage,
     "op10_quality_bayes": quality.op10_quality_bayes,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
 }
-SQL = {"op1_exact_dedup": dedup.OP1_SQL, "op6_impact_top_k": topk.OP6_SQL, "op7_ngram_jaccard": jaccard.OP7_SQL}
+SQL = {"op1_exact_dedup": dedup.OP1_SQL, "op6_impact_top_k": topk.OP6_SQL, "op7_ngram_jaccard": jaccard.OP7_SQL, "op11_fill_in_middle": fim.OP11_SQL}
