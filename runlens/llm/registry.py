@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, extract, fim, jaccard, langid, lexicon, packing, quality, rans, topk, warc
+from . import codes, dedup, extract, fim, jaccard, langid, lexicon, packing, quality, rans, topk, warc
 
 QUERIES = {
     "op1_exact_dedup": dedup.op1_exact_dedup,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_warc_salvage": warc.op9_warc_salvage,
     "op10_quality_bayes": quality.op10_quality_bayes,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_laesa_codes": codes.op12_laesa_codes,
 }
-SQL = {"op1_exact_dedup": dedup.OP1_SQL, "op6_impact_top_k": topk.OP6_SQL, "op7_ngram_jaccard": jaccard.OP7_SQL, "op11_fill_in_middle": fim.OP11_SQL}
+SQL = {"op1_exact_dedup": dedup.OP1_SQL, "op6_impact_top_k": topk.OP6_SQL, "op7_ngram_jaccard": jaccard.OP7_SQL, "op11_fill_in_middle": fim.OP11_SQL, "op12_laesa_codes": codes.OP12_SQL}
