@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, dedup, extract, fim, jaccard, langid, lexicon, packing, quality, rans, topk, warc
+from . import codes, dedup, extract, fim, jaccard, langid, lexicon, packing, quality, rans, substring, topk, warc
 
 QUERIES = {
     "op1_exact_dedup": dedup.op1_exact_dedup,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_quality_bayes": quality.op10_quality_bayes,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_laesa_codes": codes.op12_laesa_codes,
+    "op13_automaton_substrings": substring.op13_automaton_substrings,
 }
-SQL = {"op1_exact_dedup": dedup.OP1_SQL, "op6_impact_top_k": topk.OP6_SQL, "op7_ngram_jaccard": jaccard.OP7_SQL, "op11_fill_in_middle": fim.OP11_SQL, "op12_laesa_codes": codes.OP12_SQL}
+SQL = {"op1_exact_dedup": dedup.OP1_SQL, "op6_impact_top_k": topk.OP6_SQL, "op7_ngram_jaccard": jaccard.OP7_SQL, "op11_fill_in_middle": fim.OP11_SQL, "op12_laesa_codes": codes.OP12_SQL, "op13_automaton_substrings": substring.OP13_SQL}
