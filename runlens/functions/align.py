@@ -1,163 +1,65 @@
-"""Scores over lists and maps: best one-to-one alignment, keyed scores, longest common subsequence; all as expressions."""
+"""Scores over lists and maps: best one-to-one alignment, keyed scores, longest common subsequence."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from .text import clean_number, let, pair_f1, python_float, score_number, span_words, strict_json
+from .assignment import map_alignment, span_alignment
+from .text import as_float, clean_number, let, python_float, score_number, span_words, strict_json, strip
 
-#: Size of the shorter list up to which subsets are gone through as an expression; beyond, a task assigns row by row.
-SUBSETS = 10
 
+def align_spans(df: DataFrame, gold: Column, pred: Column, score: str = "score") -> DataFrame:
+    """Adds the best one-to-one alignment of two span lists over the longer list's size; 0 if either is empty, null if null."""
+    none, empty = gold.isNull() | pred.isNull(), (F.size(gold) == 0) | (F.size(pred) == 0)
+    out = df.withColumns({"_g": F.transform(gold, span_words), "_p": F.transform(pred, span_words), "_0": F.when(none, None).when(empty, 0.0)})
+    return out.withColumn(score, F.coalesce("_0", aligned(span_alignment, "_g", "_p"))).drop("_g", "_p", "_0")
 
-def matrix(gold: Column, pred: Column, score) -> Column:
-    """``score(gold item, predicted item)`` of all pairs, with a row for each item of the longer list and a column for each of the shorter."""
-    by_pred = F.transform(pred, lambda p: F.transform(gold, lambda g: score(g, p)))
-    by_gold = F.transform(gold, lambda g: F.transform(pred, lambda p: score(g, p)))
-    return F.when(F.size(gold) < F.size(pred), by_pred).otherwise(by_gold)
-
-
-def span_matrix(gold: Column, pred: Column) -> Column:
-    """``matrix`` of span scores."""
-    words = F.struct(F.transform(gold, span_words).alias("g"), F.transform(pred, span_words).alias("p"))
-    return let(words, lambda w: matrix(w["g"], w["p"], pair_f1))
-
-
-def best_total(scores: Column, n: Column) -> Column:
-    """Largest sum of a one-to-one choice from a matrix with ``n`` columns: for every set of used columns, the best sum so far."""
-    masks = F.sequence(F.lit(0), F.pow(F.lit(2), n).cast("int") - 1)
-    start = F.transform(masks, lambda m: F.when(m == 0, 0.0).otherwise(F.lit(-1.0)))
-    columns = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    def step(held: Column, row: Column) -> Column:
-        def one(m: Column) -> Column:
-            def with_column(j: Column) -> Column:
-                bit = F.pow(F.lit(2), j).cast("int")
-                before = F.get(held, m - bit)
-                return F.when((m.bitwiseAND(bit) != 0) & (before >= 0), before + F.get(row, j)).otherwise(F.lit(-1.0))
-
-            return F.array_max(F.concat(F.array(F.get(held, m)), F.transform(columns, with_column)))
-
-        return F.transform(masks, one)
-
-    return F.array_max(F.aggregate(scores, start, step))
-
-
-def assigned_total(scores: Column) -> Column:
-    """``best_total`` for matrices of any size, in Python; nested, so that workers need no package."""
-
-    def assign(scores: list) -> float:
-        """Largest sum of a one-to-one choice, by shortest augmenting paths: rows no fewer than columns."""
-        cost = -np.array(scores, float).T
-        n, m = cost.shape
-        u, v, row_of = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-        for i in range(1, n + 1):
-            row_of[0], at = i, 0
-            least, came, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-            while row_of[at]:
-                used[at] = True
-                slack = cost[row_of[at] - 1] - u[row_of[at]] - v[1:]
-                better = ~used[1:] & (slack < least[1:])
-                least[1:][better], came[1:][better] = slack[better], at
-                to = int(np.where(used[1:], np.inf, least[1:]).argmin()) + 1
-                step = least[to]
-                u[row_of[used]] += step
-                v[used] -= step
-                least[~used] -= step
-                at = to
-            while at:
-                row_of[at] = row_of[came[at]]
-                at = came[at]
-        return float(-sum(cost[row_of[j] - 1, j - 1] for j in range(1, m + 1) if row_of[j]))
-
-    def each(xs: pd.Series) -> pd.Series:
-        return xs.map(lambda x: None if x is None else assign([[*row] for row in x]))
-
-    return F.pandas_udf(each, DoubleType())(scores)
-
-
-def with_total(df: DataFrame, scores: str, few: str, total: str) -> DataFrame:
-    """Adds the largest sum of a one-to-one choice from a matrix column with ``few`` columns, no more than rows."""
-    small = F.col(few) <= SUBSETS
-    wide = df.withColumn("_wide", assigned_total(F.when(~small, F.col(scores))))
-    return wide.withColumn(total, F.when(small, best_total(F.col(scores), F.least(F.col(few), F.lit(SUBSETS)))).otherwise(F.col("_wide"))).drop("_wide")
-
-
-def greedy_total(scores: Column) -> Column:
-    """Sum of pairs taken by descending score, ties by place, each row and column once."""
-    cells = F.flatten(F.transform(scores, lambda row, g: F.transform(row, lambda s, p: F.struct((-s).alias("s"), g.alias("g"), p.alias("p")))))
-    none = F.array().cast("array<int>")
-    start = F.struct(none.alias("g"), none.alias("p"), F.lit(0.0).alias("total"))
-
-    def take(st: Column, c: Column) -> Column:
-        free = ~F.array_contains(st["g"], c["g"]) & ~F.array_contains(st["p"], c["p"])
-        return F.when(free, F.struct(F.array_append(st["g"], c["g"]).alias("g"), F.array_append(st["p"], c["p"]).alias("p"), (st["total"] - c["s"]).alias("total"))).otherwise(st)
 
-    return F.aggregate(F.array_sort(cells), start, take, lambda st: st["total"])
+def aligned(how, gold: str, pred: str) -> Column:
+    """``how`` over two columns. They are named twice, so that they are worked out before: Spark takes no Arrow function out of an expression with lambdas nested in its input."""
+    return F.when((F.size(gold) >= 0) & (F.size(pred) >= 0), how(gold, pred))
 
 
-def align_spans(df: DataFrame, gold: Column, pred: Column, score: str = "score") -> DataFrame:
-    """Adds the best one-to-one alignment of two span lists over the longer list's size; 0 if either is empty, null if null."""
-    sizes = {"_few": F.least(F.size(gold), F.size(pred)), "_many": F.greatest(F.size(gold), F.size(pred)), "_none": gold.isNull() | pred.isNull(), "_scores": span_matrix(gold, pred)}
-    out = with_total(df.withColumns(sizes), "_scores", "_few", "_total")
-    value = F.when(F.col("_few") == 0, 0.0).otherwise(F.col("_total") / F.col("_many"))
-    return out.withColumn(score, F.when(~F.col("_none"), value)).drop(*sizes, "_total")
+#: Kinds of values: numbers (also true, false and texts that are one), texts, lists, others.
+NUMBER, TEXT, LIST, OTHER = range(4)
+VALUE = "struct<kind:int,number:double,words:array<array<string>>>"
 
 
-VALUE = "struct<kind:string,number:double,words:array<array<string>>>"
+def value_number(c: Column) -> Column:
+    """The number that a text inside a map is: signs of money and percent and sqft count as spaces, a comma as a decimal point; null if it isn't one to Python."""
+    for sign in ("$", "%", "sqft"):
+        c = F.replace(c, F.lit(sign), F.lit(" "))
+    return as_float(F.replace(strip(c), F.lit(","), F.lit(".")))
 
 
 def typed_values(c: Column) -> Column:
-    """A JSON object's values as map<string, struct(kind, number, words)>: kind number (also true, false and texts that are one), text, list or other. Null if it is no object."""
+    """A JSON object's entries as array<struct(key, kind, number, words)>: the words of a text (a list of one) or of each text of a list. Null if it is no object."""
 
     def one(v: Column) -> Column:
         schema = F.schema_of_variant(v)
         text = F.when(schema == "STRING", F.try_variant_get(v, "$", "string"))
         flag = F.when(schema == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
-        number = F.coalesce(flag, clean_number(text), F.when(~schema.isin("STRING", "BOOLEAN") & ~schema.rlike("^(ARRAY|OBJECT)"), F.try_variant_get(v, "$", "double")))
+        number = F.coalesce(flag, value_number(text), F.when(~schema.isin("STRING", "BOOLEAN") & ~schema.rlike("^(ARRAY|OBJECT)"), F.try_variant_get(v, "$", "double")))
         items = F.when(schema.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
         texts = F.transform(items, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
-        kind = F.when(number.isNotNull(), "number").when(text.isNotNull(), "text").when(items.isNotNull(), "list").otherwise("other")
+        kind = F.when(number.isNotNull(), NUMBER).when(text.isNotNull(), TEXT).when(items.isNotNull(), LIST).otherwise(OTHER)
         return F.struct(kind.alias("kind"), number.alias("number"), F.transform(F.coalesce(texts, F.array(text)), span_words).alias("words")).cast(VALUE)
 
-    return F.transform_values(F.when(c.rlike(r"^\s*\{") & strict_json(c), F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")), lambda _, v: one(v))
-
-
-def score_value(gold: Column, pred: Column) -> Column:
-    """Score of two values of one kind: numbers by their ratio, texts as spans (the gold one's numbers must be met), lists as aligned spans.
-
-    Inside a map the alignment is exact while the shorter list has at most
-    SUBSETS spans, and greedy beyond.
-    """
-    few, many = F.least(F.size(gold["words"]), F.size(pred["words"])), F.greatest(F.size(gold["words"]), F.size(pred["words"]))
-    odd = F.exists(F.concat(gold["words"], pred["words"]), lambda w: w.isNull())  # a list with anything but texts
-    total = let(matrix(gold["words"], pred["words"], pair_f1), lambda s: F.when(few <= SUBSETS, best_total(s, F.least(few, F.lit(SUBSETS)))).otherwise(greedy_total(s)))
-    text = pair_f1(F.get(gold["words"], F.lit(0)), F.get(pred["words"], F.lit(0)))
-    out = F.when(gold["kind"] != pred["kind"], 0.0).when(gold["kind"] == "number", score_number(gold["number"], pred["number"])).when(gold["kind"] == "text", text).when(~odd & (few > 0), total / many)
-    return F.coalesce(F.when(out.between(0.0, 1.0), out), F.lit(0.0))
+    entries = F.map_entries(F.when(c.rlike(r"^\s*\{") & strict_json(c), F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")))
+    return F.transform(entries, lambda e: let(one(e["value"]), lambda v: F.struct(e["key"].alias("key"), v["kind"].alias("kind"), v["number"].alias("number"), v["words"].alias("words"))))
 
 
-def score_dict(gold: Column, pred: Column) -> Column:
-    """F1 of the mean key score over gold keys (recall) and over predicted keys (precision, where the prediction takes the gold one's part), of two maps of typed values.
+def score_dict(df: DataFrame, gold: Column, pred: Column, score: str = "score") -> DataFrame:
+    """Adds the F1 of two maps of typed values: recall is the mean key score over gold keys, precision that over predicted keys, where the prediction takes the gold one's part.
 
-    0 if either is empty or null, or holds a value that is no number, text or list.
+    Values of one kind are scored: numbers by their ratio, texts as spans, of
+    which the gold one's numbers must be met, lists of texts by their best
+    one-to-one alignment, whatever their size. 0 if a map is empty or null, or
+    holds a value that is no number, text or list.
     """
-
-    def mean(of: Column, to: Column) -> Column:
-        one = lambda k: let(F.struct(F.element_at(of, k).alias("g"), F.element_at(to, k).alias("p")), lambda v: score_value(v["g"], v["p"]))
-        return F.aggregate(F.transform(F.map_keys(of), lambda k: F.when(F.map_contains_key(to, k), one(k)).otherwise(0.0)), F.lit(0.0), lambda t, s: t + s) / F.size(of)
-
-    def both(m: Column) -> Column:
-        bad = F.exists(F.concat(F.map_values(m["g"]), F.map_values(m["p"])), lambda v: v["kind"] == "other")
-        means = F.struct(mean(m["g"], m["p"]).alias("r"), mean(m["p"], m["g"]).alias("p"))
-        none = m["g"].isNull() | m["p"].isNull() | (F.size(m["g"]) == 0) | (F.size(m["p"]) == 0) | bad
-        return F.when(none, 0.0).otherwise(let(means, lambda x: F.when(x["r"] + x["p"] > 0, 2 * x["r"] * x["p"] / (x["r"] + x["p"])).otherwise(0.0)))
-
-    return let(F.struct(gold.alias("g"), pred.alias("p")), both)
+    out = df.withColumns({"_g": F.when(gold.isNotNull(), F.array(gold)), "_p": F.when(pred.isNotNull(), F.array(pred))})
+    return out.withColumn(score, F.coalesce(aligned(map_alignment, "_g", "_p"), F.lit(0.0))).drop("_g", "_p")
 
 
 def answer_lines(c: Column) -> Column:
@@ -209,28 +111,22 @@ def score_typed(df: DataFrame, gold: Column, pred: Column, score: str = "score")
     """Adds the score by the gold answer's type; an empty prediction, a list against a number, and what can't be scored give 0.
 
     JSON objects are aligned one to one, over the longer list; a prediction that
-    is one JSON object counts as a list of one. The steps are columns of their
-    own, each worked out once.
+    is one JSON object counts as a list of one. Each step is a column of its own
+    and works on one type: numbers are done at once, lines become words, objects
+    entries, and both are aligned a batch at a time.
     """
-    steps = df.withColumns({"_g": answer_lines(gold), "_p": predicted(pred), "_said": F.coalesce(F.trim(pred) != "", F.lit(False))}).withColumn("_kind", lines_type(F.col("_g")))
-    typed = steps.withColumn("_m", to_match(F.col("_g"), F.col("_p"), F.col("_kind"))).withColumns({"_scores": F.col("_m.scores"), "_few": F.col("_m.few"), "_many": F.col("_m.many"), "_number": F.col("_m.number")}).drop("_m")
-    out = F.when(F.col("_few") > 0, F.col("_total") / F.col("_many")).otherwise(F.col("_number"))
-    return with_total(typed, "_scores", "_few", "_total").withColumn("_s", out).withColumn(score, F.coalesce(F.when(F.col("_said") & F.col("_s").between(0.0, 1.0), F.col("_s")), F.lit(0.0))).drop("_g", "_p", "_said", "_kind", "_scores", "_few", "_many", "_number", "_total", "_s")
-
-
-def to_match(g: Column, p: Column, kind: Column) -> Column:
-    """struct(number, scores, few, many): the score itself of numbers, else the matrix of lines or objects to align and its sizes (0 if they can't be)."""
-    number = score_number(clean_number(F.get(g, F.lit(0))), p["number"])
-    maps = F.struct(F.transform(g, lambda x: typed_values(as_json(x))).alias("g"), F.transform(p["objects"], typed_values).alias("p"))
-    words = F.struct(F.transform(g, span_words).alias("g"), F.transform(p["spans"], lambda x: F.when(x.isNotNull(), span_words(x))).alias("p"))
-
-    def sized(x: Column, score) -> Column:
-        bad = F.exists(F.concat(x["g"], x["p"]), lambda v: v.isNull())
-        few = F.when(bad, 0).otherwise(F.least(F.size(x["g"]), F.size(x["p"])))
-        return F.struct(F.lit(None).cast("double").alias("number"), matrix(x["g"], x["p"], score).alias("scores"), F.coalesce(few, F.lit(0)).alias("few"), F.greatest(F.size(x["g"]), F.size(x["p"])).alias("many"))
-
-    none = F.struct(F.when(~p["list"], number).alias("number"), F.lit(None).cast("array<array<double>>").alias("scores"), F.lit(0).alias("few"), F.lit(0).alias("many"))
-    return F.when(kind == "number", none).when(kind == "json", let(maps, lambda x: sized(x, score_dict))).otherwise(let(words, lambda x: sized(x, pair_f1)))
+    kind, g, p = F.col("_kind"), F.col("_g"), F.col("_p")
+    steps = df.withColumns({"_g": answer_lines(gold), "_p": predicted(pred), "_said": F.coalesce(F.trim(pred) != "", F.lit(False))}).withColumn("_kind", lines_type(g))
+    steps = steps.withColumns({
+        "_number": F.when((kind == "number") & ~p["list"], score_number(clean_number(F.get(g, F.lit(0))), p["number"])),
+        "_gw": F.when(kind.startswith("string"), F.transform(g, span_words)),
+        "_pw": F.when(kind.startswith("string"), F.transform(p["spans"], lambda x: F.when(x.isNotNull(), span_words(x)))),
+        "_gm": F.when(kind == "json", F.transform(g, lambda x: typed_values(as_json(x)))),
+        "_pm": F.when(kind == "json", F.transform(p["objects"], typed_values)),
+    })
+    steps = steps.withColumn("_s", F.coalesce("_number", aligned(span_alignment, "_gw", "_pw"), aligned(map_alignment, "_gm", "_pm")))
+    done = steps.withColumn(score, F.coalesce(F.when(F.col("_said") & F.col("_s").between(0.0, 1.0), F.col("_s")), F.lit(0.0)))
+    return done.drop("_g", "_p", "_said", "_kind", "_number", "_gw", "_pw", "_gm", "_pm", "_s")
 
 
 def without_repeats(xs: Column) -> Column:

@@ -113,7 +113,7 @@ def f12(t):
     doc = lambda note: F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), note.alias("note")))
     before_ = F.lag(doc(F.concat_ws(" ", "event_type", F.get_json_object("props", "$.k")))).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     rows = t("events").select("event_id", A.typed_values(doc(F.col("event_type"))).alias("gold"), A.typed_values(before_).alias("pred"))
-    return rows.select("event_id", F.round(A.score_dict(F.col("gold"), F.col("pred")), 6).alias("score"))
+    return A.score_dict(rows, F.col("gold"), F.col("pred")).select("event_id", F.round("score", 6).alias("score"))
 
 
 @query("F13_score_typed", NUMBERS)

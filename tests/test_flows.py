@@ -5,10 +5,12 @@ import json
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from runlens.functions import align as A
+from runlens.functions.assignment import sums_of
 from runlens.functions import plans as P
 from runlens.sources import runs, sinks, tasks
 from runlens.streaming import jobs as R
@@ -107,14 +109,53 @@ def test_alignment(spark):
     assert got == [pytest.approx(x) for x in want]
 
 
+MANY = [f"w{i} v{i}" for i in range(12)]
+
+
+def best_sum(scores):
+    """Largest sum of a one-to-one choice, by sets of used columns."""
+    held = {0: 0.0}
+    for row in scores:
+        after = dict(held)
+        for used, total in held.items():
+            for j, x in enumerate(row):
+                if not used >> j & 1:
+                    after[used | 1 << j] = max(after.get(used | 1 << j, 0.0), total + x)
+        held = after
+    return max(held.values())
+
+
+def test_assignment_of_many_matrices_at_once():
+    rng = np.random.default_rng(8)
+    shapes = [tuple(rng.integers(1, 12, 2)) for _ in range(60)] + [(0, 0), (1, 40), (40, 1), (3, 30), (11, 11), (12, 25)]
+    cells = [np.round(rng.random(s) * (rng.random(s) < 0.6), int(rng.integers(1, 4))) for s in shapes]
+    got = sums_of(np.array([s[0] for s in shapes]), np.array([s[1] for s in shapes]), np.concatenate([c.reshape(-1) for c in cells]))
+    for total, c in zip(got, cells):
+        rows = c if c.shape[0] >= c.shape[1] else c.T  # few columns, so few sets
+        assert total == pytest.approx(best_sum(rows.tolist()) if c.size else 0.0)
+
+
+@pytest.mark.parametrize("n", [11, 60, 200])
+def test_assignment_beyond_brute_force_has_its_bound(n):
+    rng = np.random.default_rng(n)
+    order, scores = rng.permutation(n), rng.random((n, n)) * 0.5
+    scores[np.arange(n), order] += 0.5  # each row's best is a column of its own, so the sum of row maxima is reached
+    assert sums_of(np.array([n]), np.array([n]), scores.reshape(-1))[0] == pytest.approx(scores[np.arange(n), order].sum()) == pytest.approx(scores.max(1).sum())
+    u, v = rng.random(n), rng.random(n)  # u + v in a hidden permutation and less elsewhere: its sum is the largest
+    hidden = np.maximum(0, u[:, None] + v - rng.random((n, n)))
+    hidden[np.arange(n), order] = u + v[order]
+    assert sums_of(np.array([n]), np.array([n]), hidden.reshape(-1))[0] == pytest.approx(u.sum() + v.sum())
+
+
 def test_scores_of_maps_and_answers(spark):
     g, p = F.col("g"), F.col("p")
     maps = [
         ('{"name": "ann", "n": 10}', '{"name": "ann"}', 2 / 3), ('{"a": "red car"}', '{"a": "red car 7"}', 0.0), ('{"a": null}', '{"a": 1}', 0.0), ('{"a": "1,5 sqft"}', '{"a": 1.5}', 1.0), ('{"a": true}', '{"a": 1}', 1.0),
-        ('{"a": ["x", "y"]}', '{"a": ["y", "x"]}', 1.0), ('{"a": ["x"]}', '{"a": "x"}', 0.0), ("{}", "{}", 0.0), ('{"a": 1}', "no", 0.0),
+        ('{"a": "5 square kilometers"}', '{"a": 5}', 0.0), ('{"a": "1$2"}', '{"a": 12}', 0.0), ('{"a": "$ 1_2 %"}', '{"a": 12}', 1.0),
+        (json.dumps({"a": MANY, "b": "x"}), json.dumps({"a": [*MANY[:0:-1], "w0 x", "y"]}), 2 * (11.5 / 13) * (11.5 / 26) / (11.5 / 13 + 11.5 / 26)), ('{"a": ["x", "y"]}', '{"a": ["y", "x"]}', 1.0), ('{"a": ["x"]}', '{"a": "x"}', 0.0), ("{}", "{}", 0.0), ('{"a": 1}', "no", 0.0),
     ]
     rows = spark.createDataFrame([(i, *m[:2]) for i, m in enumerate(maps)], "i int, g string, p string")
-    got = [r.s for r in rows.select("i", A.score_dict(A.typed_values(g), A.typed_values(p)).alias("s")).orderBy("i").collect()]
+    got = [r.score for r in A.score_dict(rows, A.typed_values(g), A.typed_values(p)).orderBy("i").collect()]
     assert got == [pytest.approx(m[2]) for m in maps]
     typed = [
         ("10", "10", 1.0), ("10", "1\n2", 0.0), ("10", "20", 0.306853), ("10", "ten", 0.0), ("10", "[10]", 0.0), ("red\nblue", '["Blue", "the red"]', 1.0), ("red\nblue", "Blue\nthe red", 1 / 3), ("red", "", 0.0), ("red", None, 0.0),
