@@ -19,7 +19,7 @@ ROLES = [
     "menu", "tree", "treegrid", "grid", "listbox", "radiogroup", "widget",
 ]
 TAG = r"(?is)<([a-z][a-z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-LINK = '<a\\s+[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+LINK = r"(?is)<a(\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(.*?)</a\s*>"
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -59,8 +59,10 @@ def page_elements(html: Column) -> Column:
 
 
 def html_links(html: Column) -> Column:
-    """Array of (url, label) of a page's links in page order."""
-    return F.arrays_zip(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)).alias("url"), F.regexp_extract_all(html, F.lit(LINK), F.lit(2)).alias("label"))
+    """Array of (url, label) of a page's http and https links with a host, in page order; labels are without tags, their white space one space each."""
+    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)).alias("attrs"), F.regexp_extract_all(html, F.lit(LINK), F.lit(2)).alias("inner"))
+    plain = lambda x: strip(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", ""), r"(?U)\s+", " "))
+    return F.filter(F.transform(found, lambda x: F.struct(attribute(x["attrs"], "href").alias("url"), plain(x["inner"]).alias("label"))), lambda x: web_url(x["url"]))
 
 
 def web_url(url: Column) -> Column:
@@ -91,18 +93,60 @@ def json_ld(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1)), strip)
 
 
-def item_properties(html: Column) -> Column:
-    """Array of (type, name, value) of microdata: each itemprop with the itemtype that was opened last before it, its content, href or src, else the text up to the next tag."""
-    scope = r"(?is)<[a-z][a-z0-9]*((?:[^>\"']|\"[^\"]*\"|'[^']*')*\bitem(?:prop|type)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>([^<]*)"
-    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(scope), F.lit(1)).alias("a"), F.regexp_extract_all(html, F.lit(scope), F.lit(2)).alias("text"))
-    told = F.transform(found, lambda x: F.struct(attribute(x["a"], "itemtype").alias("type"), attribute(x["a"], "itemprop").alias("name"), F.coalesce(attribute(x["a"], "content"), attribute(x["a"], "href"), attribute(x["a"], "src"), F.trim(F.regexp_replace(x["text"], r"\s", " "))).alias("value"), attribute(x["a"], "itemscope").isNotNull().alias("scope")))
+#: Elements without an end tag.
+VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
+OPEN = "struct<tag:string,scope:boolean,type:string,owner:string,name:string,given:string,at:int>"
+DONE = "struct<at:int,upto:int,owner:string,name:string,given:string>"
+
 
-    def flat(xs: Column) -> Column:
-        typed = F.transform(xs, lambda x, i: F.struct(F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(F.transform(F.slice(xs, 1, i + 1), lambda y: y["type"]), lambda t: t.isNotNull())), -1).alias("type"), x["name"].alias("name"), x["value"].alias("value"), x["scope"].alias("scope")))
-        props = F.filter(typed, lambda x: x["name"].isNotNull() & ~x["scope"])
-        return F.flatten(F.transform(props, lambda x: F.transform(F.split(x["name"], " "), lambda n: F.struct(x["type"].alias("type"), n.alias("name"), x["value"].alias("value")))))
+def item_properties(html: Column) -> Column:
+    """Array of (type, name, value) of microdata, in page order: each itemprop inside an item, with the itemtype of the nearest item around it.
 
-    return let(told, flat)
+    A stack of open elements is folded over the tags, so an end tag closes all
+    that stands open in its element. The value is a ``url``'s href, else the
+    content, else all text up to the element's end, tags left out, else the src.
+    An itemprop that is an item itself has no value of its own; its properties
+    are its own. Comments, scripts and styles hold nothing.
+    """
+    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    tag = r"(?is)<(/?)([a-z][a-z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>([^<]*(?:<(?![/a-z])[^<]*)*)"
+    get = lambda i: F.regexp_extract_all(bare, F.lit(tag), F.lit(i))
+    tags = F.arrays_zip(get(1).alias("end"), F.transform(get(2), F.lower).alias("tag"), get(3).alias("attrs"), F.transform(get(4), lambda _, i: i).alias("at"))
+    none = F.struct(F.array().cast(f"array<{OPEN}>").alias("open"), F.array().cast(f"array<{DONE}>").alias("done"))
+
+    def closed(items: Column, upto: Column) -> Column:
+        named = F.filter(items, lambda x: x["name"].isNotNull() & x["owner"].isNotNull() & ~x["scope"])
+        return F.transform(named, lambda x: F.struct(x["at"], upto.alias("upto"), x["owner"], x["name"], x["given"]).cast(DONE))
+
+    def step(st: Column, t: Column) -> Column:
+        def shut(_: Column) -> Column:
+            last = F.array_position(F.reverse(F.transform(st["open"], lambda x: x["tag"])), t["tag"]).cast("int")  # 0: no such element is open
+            keep = F.when(last > 0, F.size(st["open"]) - last).otherwise(F.size(st["open"]))
+            return let(keep, lambda n: F.struct(F.slice(st["open"], F.lit(1), n).alias("open"), F.concat(st["done"], closed(F.slice(st["open"], n + 1, F.size(st["open"])), t["at"])).alias("done")))
+
+        def start(_: Column) -> Column:
+            scope, owner = attribute(t["attrs"], "itemscope").isNotNull(), F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(st["open"], lambda x: x["scope"]), lambda x: x["type"])), -1)
+            name = attribute(t["attrs"], "itemprop")
+            given = F.coalesce(F.when(attribute(t["attrs"], "content") != "", attribute(t["attrs"], "content")), F.lit(None).cast("string"))
+            one = F.struct(t["tag"], scope.alias("scope"), F.coalesce(attribute(t["attrs"], "itemtype"), F.lit("")).alias("type"), owner.alias("owner"), name.alias("name"), given.alias("given"), t["at"]).cast(OPEN)
+            alone = t["tag"].isin(VOID) | t["attrs"].endswith("/")
+            return F.when(alone, F.struct(st["open"].alias("open"), F.concat(st["done"], closed(F.array(one), t["at"])).alias("done"))).otherwise(F.struct(F.array_append(st["open"], one).alias("open"), st["done"].alias("done")))
+
+        return F.when(t["end"] == "/", shut(t)).otherwise(start(t))
+
+    def told(x: Column) -> Column:
+        found = F.array_sort(F.aggregate(x["tags"], none, step, lambda st: F.concat(st["done"], closed(st["open"], F.size(x["tags"])))))
+
+        def value(d: Column) -> Column:
+            attrs = F.get(x["tags"], d["at"])["attrs"]
+            text = strip(F.regexp_replace(F.array_join(F.slice(x["text"], d["at"] + 1, F.greatest(d["upto"] - d["at"], F.lit(0))), ""), r"(?U)\s", " "))
+            plain = F.coalesce(d["given"], F.when(text != "", text), attribute(attrs, "src"), F.lit(""))
+            names = F.filter(F.split(d["name"], r"\s+"), lambda n: n != "")
+            return F.transform(names, lambda n: F.struct(d["owner"].alias("type"), n.alias("name"), F.when(n == "url", attribute(attrs, "href")).otherwise(plain).alias("value")))
+
+        return F.flatten(F.transform(found, value))
+
+    return let(F.struct(tags.alias("tags"), get(4).alias("text")), told)
 
 
 def title(html: Column) -> Column:

@@ -136,8 +136,9 @@ def exact_set_match(gold: Column, pred: Column) -> Column:
 
 
 def final_answer(c: Column) -> Column:
-    """Text after the marker of a final answer; null without it."""
-    return F.when(c.contains("FINAL ANSWER:"), strip(F.regexp_extract(c, r"(?s)FINAL ANSWER:(.*)$", 1)))
+    """Of a message that begins with ``Final Answer:`` the text after its first ``FINAL ANSWER:``, up to a second one; null for other messages and without that marker."""
+    parts = F.split(F.substring(c, len("Final Answer:") + 1, 1 << 30), "FINAL ANSWER:", -1)
+    return F.when(c.startswith("Final Answer:") & (F.size(parts) > 1), strip(F.get(parts, F.lit(1))))
 
 
 def verdict(c: Column) -> Column:
@@ -191,11 +192,14 @@ def url_safe_id(c: Column) -> Column:
     return F.regexp_replace(F.translate(raw, "+/", "-_"), "=+$", "")
 
 
-def page_lines(c: Column, lines: int = 50) -> Column:
-    """First lines of a page's text without scripts, styles and tags; blank ones go after the cut."""
+def page_lines(c: Column, lines: int = 50, words: int | None = None) -> Column:
+    """First lines of a page's text without scripts, styles and tags; blank ones go after the cut. At most ``words`` words of them, if given."""
     bare = F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"(?s)<[^>]*>", "\n")
     cut = F.slice(F.split(F.regexp_replace(bare, "[ \t]+", " "), "\n"), 1, lines)
-    return F.array_join(F.filter(F.transform(cut, strip), lambda x: x != ""), "\n")
+    text = F.array_join(F.filter(F.transform(cut, strip), lambda x: x != ""), "\n")
+    if words is None:
+        return text
+    return F.regexp_replace(F.array_join(F.slice(F.split(text, r"(?U)(?<=\s)(?=\S)"), 1, words), ""), r"(?U)\s+$", "")
 
 
 def strict_json(c: Column) -> Column:

@@ -14,10 +14,12 @@ def filter_eq(df: DataFrame, equal: dict, order: list[Column] | None = None) ->
     return out.orderBy(*order) if order else out
 
 
-def upsert(target: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
-    """Target rows without a change, and the latest change of each key (its largest ``version``)."""
+def upsert(target: DataFrame, changes: DataFrame, key: str, version: str, updated: str = "updated_at", now: Column | None = None) -> DataFrame:
+    """Target rows without a change, and the latest change of each key (its largest ``version``), whose ``updated`` is ``now`` (the time of the query) if the target has that column."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))
     newest = changes.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    if updated in target.columns:
+        newest = newest.withColumn(updated, F.current_timestamp() if now is None else now)
     return target.join(newest.select(key), key, "left_anti").unionByName(newest)
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def score_summary(scores: DataFrame, score: str = "score") -> DataFrame:
-    """mean_score, max_score, num_tasks. No rows give nulls and 0."""
-    return scores.agg(F.round(F.avg(score), 6).alias("mean_score"), F.max(score).cast("double").alias("max_score"), F.count(score).alias("num_tasks"))
+    """mean_score, max_score, num_tasks; an error where there is no score."""
+    n = F.count(score)
+    return scores.agg(F.round(F.when(n > 0, F.avg(score)).otherwise(F.raise_error(F.lit("no scores to sum up"))), 6).alias("mean_score"), F.max(score).cast("double").alias("max_score"), n.alias("num_tasks"))
 
 
 def score_summary_by_key(scores: DataFrame, score: str = "score") -> DataFrame:

@@ -33,8 +33,10 @@ def subsample(df: DataFrame, fraction: float, seed: int, key: str, bits: int = 1
     """Exactly int(n * fraction) rows: those with the least seeded hashes of the key, ties by the key.
 
     Rows are counted by the hash's first bits; only the bucket that the limit
-    falls into is sorted.
+    falls into is sorted. A fraction outside (0, 1] is an error.
     """
+    if not 0 < fraction <= 1:
+        raise ValueError(f"a fraction in (0, 1], not {fraction}")
     h = F.sha2(F.concat_ws("-", F.lit(seed), F.col(key)), 256)
     rows = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, bits // 4), 16, 10).cast("int"))
     counts = sorted((r._b, r["count"]) for r in rows.groupBy("_b").count().collect())  # at most 2**bits
@@ -124,7 +126,7 @@ def first_references(refs: DataFrame, key: str, answer: str, order: str) -> Data
 def complete_submission(answers: DataFrame, asked: DataFrame, key: str, answer: str) -> DataFrame:
     """key, answer of every answered and every asked task; blank where there is none, or where it says that it can't be told."""
     out = answers.select(key, answer).join(asked.select(key).distinct(), key, "full_outer")
-    return out.select(key, F.when(F.col(answer) == "Unable to determine", "").otherwise(F.coalesce(answer, F.lit(""))).alias("answer"))
+    return out.select(key, F.when(F.col(answer).isin("Unable to determine", "None"), "").otherwise(F.coalesce(answer, F.lit(""))).alias("answer"))
 
 
 def unscored(tasks: DataFrame, scores: DataFrame, key: str, redo: bool = False) -> DataFrame:

@@ -49,9 +49,18 @@ def run_progress(df: DataFrame, run: str, seq: str, final: Column, step: Column,
     return out.select(run, F.when(F.col("_live"), F.coalesce("_step", F.lit(-1))).otherwise(-1).alias("step"), F.when(F.col("_live"), F.coalesce("_length", F.lit(0))).otherwise(-1).alias("plan_length"), (F.col("_ended") & ~F.col("_after")).alias("has_final"), planning.alias("planning"), "steps_after")
 
 
-def monitor_state(df: DataFrame, run: str, order: list[str], state: Column) -> DataFrame:
-    """The latest state of each run; rows of other kinds have a null one."""
-    return df.groupBy(run).agg(F.max_by(state, F.when(state.isNotNull(), F.struct(*order))).alias("state"))
+def monitor_state(df: DataFrame, run: str, order: list[str], state: Column, active: Column | None = None) -> DataFrame:
+    """The latest state of each run and whether its monitor sleeps: that state is ``sleeping`` and the run is active by its last row. Rows of other kinds have a null state."""
+    last = F.max_by(state, F.when(state.isNotNull(), F.struct(*order)))
+    live = F.lit(True) if active is None else F.coalesce(F.max_by(active, F.struct(*order)), F.lit(False))
+    return df.groupBy(run).agg(last.alias("state"), (live & F.coalesce(last == "sleeping", F.lit(False))).alias("sleeping"))
+
+
+def monitor_totals(df: DataFrame, run: str, order: str, state: Column, checks: Column, runtime: Column) -> DataFrame:
+    """Per monitor, by its latest row with a state: that state, the number of checks and the seconds it has run, 0 where the row doesn't tell."""
+    known = F.when(state.isNotNull(), F.col(order))
+    last = lambda c: F.max_by(c, known)
+    return df.groupBy(run).agg(last(state).alias("state"), F.coalesce(last(checks), F.lit(0)).cast("long").alias("total_checks"), F.coalesce(last(runtime), F.lit(0)).cast("long").alias("runtime")).where("state is not null")
 
 
 def sentinel_rollup(df: DataFrame, keys: list[str], order: str, reason: Column, wait: Column, message: Column, kind: Column) -> DataFrame:

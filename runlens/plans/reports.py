@@ -113,6 +113,12 @@ def a15(t):
     return out.withColumn("next_check_in", F.round("next_check_in", 6)).withColumn("kinds", F.array_join("kinds", ","))
 
 
+@query("A15_monitor_totals", "SELECT user_id, event_type AS state, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS total_checks, CAST(floor(coalesce(value, 0)) AS BIGINT) AS runtime FROM events WHERE event_type IN ('view', 'click', 'error') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def a15_totals(t):
+    state = F.when(F.col("event_type").isin("view", "click", "error"), F.col("event_type"))
+    return S.monitor_totals(events(t), "user_id", "event_id", state, F.get_json_object("props", "$.k").cast("long"), F.floor("value"))
+
+
 @query("A16_screenshot_index", "SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS part, i = len(p) AND turn = max(turn) OVER (PARTITION BY conv_id) AS current FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS p, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations)")
 def a16(t):
     return S.part_index(t("conversations").select("conv_id", "turn", F.split("text", "\n").alias("p")), "conv_id", "turn", "p").select("conv_id", "turn", "part", "current")
@@ -137,7 +143,7 @@ def j3(t):
     return t("nation").join(first, "n_nationkey", "left").select("n_nationkey", "n_name", F.coalesce("answer", F.lit("")).alias("answer"))
 
 
-@query("J4_complete_submission", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN text = 'Unable to determine' THEN '' ELSE coalesce(text, '') END AS text FROM documents d FULL JOIN (SELECT doc_id + 3 AS doc_id FROM labels) l ON d.doc_id = l.doc_id")
+@query("J4_complete_submission", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN text IN ('Unable to determine', 'None') THEN '' ELSE coalesce(text, '') END AS text FROM documents d FULL JOIN (SELECT doc_id + 3 AS doc_id FROM labels) l ON d.doc_id = l.doc_id")
 def j4(t):
     asked = t("labels").select((F.col("doc_id") + 3).alias("doc_id"))
     return Q.complete_submission(t("documents"), asked, "doc_id", "text").withColumnRenamed("answer", "text")
@@ -186,12 +192,13 @@ def j12(t):
     return H.get_or_create(t("customer").where("c_custkey % 2 = 0"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", {"c_mktsegment": "new"})
 
 
-@query("K4_upsert", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, 'X' FROM orders WHERE o_orderkey % 7 = 0")
+@query("K4_upsert", "SELECT o_orderkey, o_orderstatus, '2000-01-01' AS updated FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, 'X', '2024-05-06' FROM orders WHERE o_orderkey % 7 = 0")
 def k4(t):
-    o = t("orders").select("o_orderkey", "o_orderstatus", F.lit(0).alias("version"))
+    o = t("orders").select("o_orderkey", "o_orderstatus", F.lit(0).alias("version"), F.lit("2000-01-01").cast("timestamp").alias("updated_at"))
     fresh = o.where("o_orderkey % 7 = 0")
     changes = fresh.withColumn("o_orderstatus", F.lit("W")).withColumn("version", F.lit(1)).unionByName(fresh.withColumn("o_orderstatus", F.lit("X")).withColumn("version", F.lit(2)))
-    return H.upsert(o, changes, "o_orderkey", "version").drop("version")
+    stored = H.upsert(o, changes, "o_orderkey", "version", now=F.lit("2024-05-06").cast("timestamp"))
+    return stored.select("o_orderkey", "o_orderstatus", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
 @query("K5_delete_cascade", "SELECT 'customer' AS name, count(*) AS n FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0))")
@@ -245,9 +252,12 @@ def w4(t):
     return S.run_progress(e, "user_id", "seq", kind == "purchase", F.when(kind == "click", F.col("event_id")), F.when((kind == "click") & (length > 0), length), kind == "signup", kind != "error")
 
 
-@query("W5_monitor_state", "SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) FILTER (event_type IN ('view', 'click', 'error')) AS state FROM events GROUP BY user_id")
+@query("W5_monitor_state", "SELECT user_id, state, state IS NOT NULL AND state = 'sleeping' AND last <> 'error' AS sleeping FROM (SELECT user_id, arg_max(CASE event_type WHEN 'view' THEN 'sleeping' ELSE event_type END, struct_pack(a := ts, b := event_id)) FILTER (event_type IN ('view', 'click', 'signup')) AS state, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS last FROM events GROUP BY user_id)")
 def w5(t):
-    return S.monitor_state(events(t), "user_id", ORD, F.when(F.col("event_type").isin("view", "click", "error"), F.col("event_type")))
+    """Views are sleeps, clicks checks, signups ends; a run whose last event is an error isn't active."""
+    kind = F.col("event_type")
+    state = F.when(kind == "view", "sleeping").when(kind.isin("click", "signup"), kind)
+    return S.monitor_state(events(t), "user_id", ORD, state, kind != "error")
 
 
 @query("W6_page_changed", "SELECT user_id, event_id FROM (SELECT *, md5(props) AS h, lag(md5(props)) OVER w AS p, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE r = 1 OR h IS DISTINCT FROM p")

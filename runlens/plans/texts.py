@@ -11,8 +11,9 @@ from ..functions import records as C
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import history as H
+from ..operators import scoring as S
 from ..operators import search as Q
-from .base import query
+from .base import SQL, query
 
 J = "(SELECT b.item_id, d.doc_id, b.text AS gold, d.text AS pred FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark))"
 
@@ -51,7 +52,9 @@ SPLITS = {"romance": ["fr", "es"], "germanic": ["en", "de"]}
 
 
 def split_tasks(tasks: DataFrame, split: str, col: str = "set", groups: dict[str, list[str]] | None = None) -> DataFrame:
-    """Tasks of a split; a group's name stands for its members."""
+    """Tasks of a split; a group's name stands for its members. With groups, a split that is neither a group nor a member is an error."""
+    if groups is not None and split not in groups and not any(split in members for members in groups.values()):
+        raise ValueError(f"no split {split!r}; there are {', '.join(sorted({*groups, *(m for ms in groups.values() for m in ms)}))}")
     return tasks.where(F.col(col).isin((groups or {}).get(split, [split])))
 
 
@@ -136,10 +139,13 @@ def p13(t):
     return t("conversations").select("conv_id", "turn", X.reply_accepted(said).alias("accepted"), X.action_approved(said, True).alias("approved"))
 
 
-@query("P14_final_answer", "SELECT conv_id, turn, CASE WHEN contains(x, 'FINAL ANSWER:') THEN regexp_replace(regexp_extract(x, '(?s)FINAL ANSWER:(.*)$', 1), '^\\s+|\\s+$', '', 'g') END AS answer FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN concat('Final Answer: FINAL ANSWER: ', text) ELSE text END AS x FROM conversations)")
+SAID = "CASE turn % 4 WHEN 0 THEN concat('Final Answer: FINAL ANSWER: ', text, ' FINAL ANSWER: ', role) WHEN 1 THEN concat('Final Answer: so FINAL ANSWER:', text) WHEN 2 THEN concat('Final Answer: ', text) ELSE concat('I think FINAL ANSWER: ', text) END"
+
+
+@query("P14_final_answer", f"SELECT conv_id, turn, CASE WHEN starts_with(x, 'Final Answer:') AND contains(x, 'FINAL ANSWER:') THEN regexp_replace(string_split(x, 'FINAL ANSWER:')[2], '^\\s+|\\s+$', '', 'g') END AS answer FROM (SELECT conv_id, turn, {SAID} AS x FROM conversations)")
 def p14(t):
-    x = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("Final Answer: FINAL ANSWER: "), "text")).otherwise(F.col("text"))
-    return t("conversations").select("conv_id", "turn", X.final_answer(x).alias("answer"))
+    """Turns with the markers twice, once, half and not at the start."""
+    return t("conversations").select("conv_id", "turn", X.final_answer(F.expr(SAID)).alias("answer"))
 
 
 @query("P15_unable_flag", "SELECT doc_id, contains(text, 'The') AS reported, text = 'The' AS blanked, lower(trim(text)) = 'the' AS simulated FROM documents")
@@ -318,14 +324,20 @@ def l4(t):
     return Q.fuzzy_find(t("part"), t("part").where("p_partkey % 20 = 0"), "p_name").withColumn("similarity", F.round("similarity", 6))
 
 
-LINK = G.LINK
+#: A page with links of other kinds before its own: upper case, single quotes, markup in the label; relative, other schemes, no href.
+BEFORE = ["<A class=x HREF='http://a.org/", """'>one <b>two</b> \n three</A><a href=/rel>no</a><a href="ftp://f.org">f</a><a name=n>no</a>"""]
+HREF = """regexp_extract(x[1], '(?i)\\shref\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', {})"""
+LINK = """(?is)<a(\\s(?:[^>"'']|"[^"]*"|''[^'']*'')*)>(.*?)</a\\s*>"""
 
 
 def links(t) -> DataFrame:
-    return t("pages").select("page_id", F.posexplode(G.html_links(F.col("html"))).alias("pos", "l")).select("page_id", "pos", "l.url", "l.label")
+    page = F.concat(F.lit(BEFORE[0]), "page_id", F.lit(BEFORE[1]), "html")
+    return t("pages").select("page_id", F.posexplode(G.html_links(page)).alias("pos", "l")).select("page_id", "pos", "l.url", "l.label")
 
 
-LINKS = f"(SELECT page_id, unnest(range(len(regexp_extract_all(html, '{LINK}', 1)))) AS pos, unnest(regexp_extract_all(html, '{LINK}', 1)) AS url, unnest(regexp_extract_all(html, '{LINK}', 2)) AS label FROM pages)"
+LINKS = f"""(SELECT page_id, unnest(range(len(l))) AS pos, unnest(list_transform(l, lambda y: y.url)) AS url, unnest(list_transform(l, lambda y: y.label)) AS label FROM (
+  SELECT page_id, list_filter(list_transform(list_zip(regexp_extract_all(h, '{LINK}', 1), regexp_extract_all(h, '{LINK}', 2)), lambda x: struct_pack(url := concat({HREF.format(1)}, {HREF.format(2)}, {HREF.format(3)}), label := trim(regexp_replace(regexp_replace(x[2], '(?s)<[^>]*>', '', 'g'), '\\s+', ' ', 'g')))), lambda x: regexp_matches(x.url, '^(?i)https?://[^/?#\\s]')) AS l
+  FROM (SELECT page_id, concat({sql_list(BEFORE)}[1], page_id, {sql_list(BEFORE)}[2], html) AS h FROM pages)))"""
 
 
 @query("L5_top_links", f"SELECT page_id, CAST(pos AS INTEGER) AS pos, url FROM {LINKS} WHERE pos < 3")
@@ -393,6 +405,12 @@ def t9(t):
     return t("pages").select("page_id", X.page_lines(F.col("html")).alias("text"))
 
 
+@query("T9_page_words", f"SELECT page_id, regexp_extract(text, '^(?:\\S+\\s+){{0,29}}\\S*') AS text FROM ({SQL['T9_page_text']})")
+def t9_words(t):
+    """At most 30 words of the page's lines."""
+    return t("pages").select("page_id", X.page_lines(F.col("html"), words=30).alias("text"))
+
+
 FORM = '<form><input><input type="checkbox" disabled><select name=s><option>a<option disabled>b</select><textarea></textarea><div role="slider"></div><p tabindex="-1">x</p><b tabindex=0 onclick="f()">y</b><!-- <button>z</button> --></form>'
 
 
@@ -418,13 +436,15 @@ def t12(t):
     return t("pages").select("page_id", G.title(F.col("html")).alias("title"))
 
 
-HEAD = """<META name="a" content="one"><meta property='og:x' content='two > 1'><meta name="a" content="three"><meta name=bare><meta charset="utf-8"><script type="application/ld+json"> {"k": 1} </script><div itemscope itemtype="T"><span itemprop="name also">Ann</span><a itemprop=url href="/u">u</a><meta itemprop="n" content="5"></div>"""
+HEAD = """<META name="a" content="one"><meta property='og:x' content='two > 1'><meta name="a" content="three"><meta name=bare><meta charset="utf-8"><script type="application/ld+json"> {"k": 1} </script>"""
+ITEM = """<div itemscope itemtype="T"><span itemprop="name also">Page <b>%s</b>!</span><a itemprop=url href="/u/%s">u</a><meta itemprop="n" content="5"><div itemprop=by itemscope itemtype="P"><i itemprop=name>By %s</i></div><em itemprop=after>end <p>of %s</em></div><b itemprop=lost>x</b>"""
 
 
-@query("T12_page_metadata", "SELECT page_id, 'meta' AS kind, unnest(['a', 'og:x', 'page']) AS key, unnest(['three', 'two > 1', CAST(page_id AS VARCHAR)]) AS value FROM pages UNION ALL SELECT page_id, 'json-ld', '', '{\"k\": 1}' FROM pages UNION ALL SELECT page_id, 'T', unnest(['name', 'also', 'url', 'n']), unnest(['Ann', 'Ann', '/u', '5']) FROM pages")
+@query("T12_page_metadata", "SELECT page_id, 'meta' AS kind, unnest(['a', 'og:x', 'page']) AS key, unnest(['three', 'two > 1', CAST(page_id AS VARCHAR)]) AS value FROM pages UNION ALL SELECT page_id, 'json-ld', '', '{\"k\": 1}' FROM pages UNION ALL SELECT page_id, unnest(['T', 'T', 'T', 'T', 'P', 'T']), unnest(['name', 'also', 'url', 'n', 'name', 'after']), unnest([concat('Page ', page_id, '!'), concat('Page ', page_id, '!'), concat('/u/', page_id), '5', concat('By ', page_id), concat('end of ', page_id)]) FROM pages")
 def t12_metadata(t):
-    """The pages hold no metadata of their own: each gets a head with some."""
-    html = F.concat(F.lit(HEAD), F.lit('<meta content="'), "page_id", F.lit('" name="page">'), "html")
+    """The pages hold no metadata of their own: each gets a head and an item with some, of its own number."""
+    item = F.format_string(ITEM, *[F.col("page_id").cast("string")] * 4)
+    html = F.concat(F.lit(HEAD), item, F.lit('<meta content="'), "page_id", F.lit('" name="page">'), "html")
     p = t("pages").select("page_id", G.meta_map(html).alias("m"), G.json_ld(html).alias("j"), G.item_properties(html).alias("i"))
     triple = lambda kind, key, value: F.struct(kind.alias("kind"), key.alias("key"), value.alias("value"))
     rows = F.concat(
@@ -457,17 +477,13 @@ def t16(t):
     return c.select("doc_id", X.find_in_chunks(F.col("chunks"), "TH* of!", F.lit(1)).alias("found")).where("found is not null")
 
 
-#: User scorers by name: gold and prediction columns to a score column.
-SCORERS = {"exact": X.score_exact, "token_f1": X.score_token_f1, "normalised": X.score_normalised}
-
-
 @query("X1_register_scorer", f"SELECT doc_id, round(CASE WHEN len(list_intersect(a, b)) > 0 THEN 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) ELSE 0 END, 6) AS token_f1, CAST(gold = pred AS DOUBLE) AS same FROM (SELECT doc_id, gold, pred, {TOK.format('gold')} AS a, {TOK.format('pred')} AS b FROM {J})")
 def x1(t):
-    chosen = SCORERS | {"same": lambda g, p: (g == p).cast("double")}
-    return pairs(t).select("doc_id", *(F.round(chosen[n](F.col("gold"), F.col("pred")), 6).alias(n) for n in ("token_f1", "same")))
+    S.register_scorer("same", lambda g, p: (g == p).cast("double"))
+    return S.score_by(pairs(t), F.col("gold"), F.col("pred"), "token_f1", "same").select("doc_id", F.round("token_f1", 6).alias("token_f1"), "same")
 
 
 @query("X2_register_metric", "SELECT doc_id % 4 AS run, round(avg(quality), 6) AS mean, round(stddev_pop(quality), 6) AS spread FROM labels GROUP BY 1")
 def x2(t):
-    metrics = {"mean": lambda c: F.avg(c), "spread": lambda c: F.stddev_pop(c)}
-    return t("labels").groupBy((F.col("doc_id") % 4).alias("run")).agg(*(F.round(fn(F.col("quality")), 6).alias(n) for n, fn in metrics.items()))
+    S.register_metric("spread", lambda s: {"mean": F.round(F.avg(s), 6), "spread": F.round(F.stddev_pop(s), 6)})
+    return S.summarise(t("labels"), "quality", "spread", by=((F.col("doc_id") % 4).alias("run"),))
