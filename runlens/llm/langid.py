@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, chosen, numbered, stored, table, text_rows
+from .common import ROW, chosen, numbered, sliced, stored, table, text_rows
 
-#: Training texts and n-grams for each language (on average, at most), filter bits as a power of two, hash functions.
-SAMPLE, GRAMS, BITS, HASHES = 1500, 300_000, 22, 2
+#: Training texts for each language (on average, at most), filter bits as a power of two, hash functions.
+SAMPLE, BITS, HASHES = 1500, 22, 2
+#: Filter positions that one row of the written filters has, as a power of two.
+CHUNK = 12
 #: A language has an n-gram if its share there is at least this part of the largest share in any language.
 SHARE = 0.35
 #: Characters of texts taken together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 19
 
 
 class Letters:
@@ -76,12 +78,7 @@ class Filters:
     false: np.ndarray
 
     @classmethod
-    def of(cls, languages: list[str], codes: np.ndarray, masks: np.ndarray) -> Filters:
-        bits = np.zeros((masks.shape[1], 1 << BITS), np.uint64)
-        for k in range(HASHES):
-            at = mixed(codes, k)
-            for plane, mask in zip(bits, masks.T):
-                np.bitwise_or.at(plane, at, mask)
+    def of(cls, languages: list[str], bits: np.ndarray) -> Filters:
         filled = np.array([np.count_nonzero(bits[i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(len(languages))])
         return cls(languages, bits, (filled / (1 << BITS)) ** HASHES)
 
@@ -108,10 +105,11 @@ class Filters:
 def fit(train: DataFrame) -> Filters:
     """Filters from rows (text, lang): trigram counts of at most about SAMPLE texts a language, chosen by a hash of doc_id.
 
-    Every language is learned; 64 of them take one mask of 8 bytes for each
-    filter position. Counting is distributed; the driver gets the GRAMS most
-    frequent n-grams of each language, without those whose share there is that
-    of one or two in the language with the most text.
+    Every language is learned with all n-grams of its sample, but for those
+    whose share there is that of one or two in the language with the most text.
+    Counts, masks and filters are made by tasks; the driver gets a count for
+    each language and the finished filters, 32 MB for each 64 languages
+    whatever the texts.
     """
     counts = train.groupBy("lang").count().collect()
     languages = sorted(r.lang for r in counts)
@@ -121,7 +119,7 @@ def fit(train: DataFrame) -> Filters:
     sample = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, lang = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
             for at, some in together(texts):
                 codes, owner, _ = grams(some)
@@ -132,34 +130,33 @@ def fit(train: DataFrame) -> Filters:
 
     each = sample.select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     each = stored(each, "grams")
-    often: dict[str, dict[int, int]] = {x: {} for x in languages}  # n-grams by count
-    for r in each.groupBy("lang", "n").count().collect():
-        often[r.lang][r.n] = r["count"]
-    total = {x: sum(n * many for n, many in by.items()) for x, by in often.items()}
-    least = {x: least_count(by, 2 * total[x] / max(1, *total.values())) for x, by in often.items()}
-    at = F.create_map(*(F.lit(x) for i, name in enumerate(languages) for x in (name, i)))[F.col("lang")]
-    floor = F.create_map(*(F.lit(x) for name in languages for x in (name, least[name])))[F.col("lang")]
-    top = each.where(F.col("n") >= floor).select(at.alias("at"), "code", "n").toArrow()
-    lang, n = top["at"].to_numpy().astype(np.int64), top["n"].to_numpy().astype(float)
-    codes, place = np.unique(top["code"].to_numpy().astype(np.int64), return_inverse=True)
-    shares, most = n / np.array([max(1, total[x]) for x in languages], float)[lang], np.zeros(len(codes))
-    np.maximum.at(most, place, shares)
-    has = shares >= SHARE * most[place]
-    masks = np.zeros((len(codes), -(-len(languages) // 64)), np.uint64)
-    np.bitwise_or.at(masks, (place[has], lang[has] // 64), np.uint64(1) << (lang[has] % 64).astype(np.uint64))
-    return Filters.of(languages, codes.astype(np.uint64), masks)
-
-
-def least_count(often: dict[int, int], over: float) -> int:
-    """The least count above ``over`` that at most GRAMS n-grams have or exceed; the greatest count where even that has more."""
-    most = least = max(often, default=1)
-    held = 0
-    for n in sorted(often, reverse=True):
-        held += often[n]
-        if n <= over or held > GRAMS:
-            break
-        least = n
-    return min(most, least)
+    sums = each.groupBy("lang").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()
+    largest = max((r.n for r in sums), default=1)
+    learned = [(r.lang, languages.index(r.lang), r.n, min(r.most, 2 * r.n // largest + 1)) for r in sums]
+    of = train.sparkSession.createDataFrame(learned, "lang string, at int, total long, least long")
+    top = each.join(F.broadcast(of), "lang").where(F.col("n") >= F.col("least")).select("code", "at", (F.col("n") / F.col("total")).alias("share"))
+    held = top.groupBy("code").agg(F.max("share").alias("most"), F.collect_list(F.struct("at", "share")).alias("by"))  # no more than languages
+    held = held.select("code", F.transform(F.filter("by", lambda x: x["share"] >= SHARE * F.col("most")), lambda x: x["at"]).alias("has"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, many = batch.column(0).to_numpy().astype(np.int64).view(np.uint64), np.diff(batch.column(1).offsets.to_numpy())
+            at = batch.column(1).flatten().to_numpy().astype(np.int64)
+            for k in range(HASHES):
+                to = np.repeat(mixed(codes, k).astype(np.int64), many)
+                bit = (np.uint64(1) << (at % 64).astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at // 64, to >> CHUNK, to & ((1 << CHUNK) - 1), bit)], ["plane", "chunk", "cell", "bit"])
+
+    def chunk(group: pa.Table) -> pa.Table:
+        out = np.zeros(1 << CHUNK, np.uint64)
+        np.bitwise_or.at(out, group["cell"].to_numpy(), group["bit"].to_numpy().view(np.uint64))
+        return pa.table({"plane": group["plane"][:1].combine_chunks(), "chunk": group["chunk"][:1].combine_chunks(), "words": pa.array([out.tobytes()], pa.binary())})
+
+    bits = np.zeros((-(-len(languages) // 64), 1 << (BITS - CHUNK), 1 << CHUNK), np.uint64)
+    cells = held.mapInArrow(place, "plane long, chunk long, cell long, bit long")
+    for r in stored(cells.groupBy("plane", "chunk").applyInArrow(chunk, "plane long, chunk long, words binary"), "filters").toLocalIterator():
+        bits[r.plane, r.chunk] = np.frombuffer(r.words, np.uint64)
+    return Filters.of(languages, bits.reshape(len(bits), -1))
 
 
 def identify(df: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +171,7 @@ def identify(df: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     shared = df.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             names: list[str] = []
             scores: list[float] = []
             shares: list[float] = []
