@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, chosen, join_sized, numbered, stored, table, text_rows
+from .common import ROW, chosen, join_sized, numbered, sliced, stored, table, text_rows
 from .graph import components
 
 #: Shingles in a block of documents on average, and the fewest and most documents for that.
@@ -21,7 +21,7 @@ BLOCK, FEWEST, MOST = 1 << 20, 8, 256
 #: N-grams that each task proposes as frequent, and the power of two of buckets for their counts.
 PROPOSED, BUCKETS = 1 << 16, 24
 #: Hashes counted together in a task, columns of the incidence matrix multiplied together.
-TOGETHER, COLUMNS = 1 << 22, 4096
+TOGETHER, COLUMNS = 1 << 20, 4096
 #: Rows in a task that multiplies blocks, on average at most.
 DEALT = 4096
 PRIME = 0x9E3779B97F4A7C15
@@ -38,7 +38,7 @@ class WordHashes(dict):
 
     @classmethod
     def of(cls) -> WordHashes:
-        if cls.held is None or len(cls.held) > 600_000:
+        if cls.held is None or len(cls.held) > 300_000:
             cls.held = cls()
         return cls.held
 
@@ -79,7 +79,7 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
             top = np.argsort(-n, kind="stable")[: 4 * PROPOSED]
             return keys[top], n[top]
 
-        for batch in batches:
+        for batch in sliced(batches):
             n, sigs = [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, width)
@@ -123,7 +123,7 @@ def prefixes(docs: DataFrame, width: int, share: tuple[int, int], levels: np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, mask = ranked.value, np.uint64((1 << BUCKETS) - 1)
-        for batch in batches:
+        for batch in sliced(batches):
             sigs, flat, ends, sizes = [], [], [0], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, width)
@@ -144,7 +144,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in sliced(batches):
             words = [press.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["doc_id", "words"])
 

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, chosen, join_sized, numbered, stored, table, text_rows
+from .common import ROW, chosen, join_sized, numbered, sliced, stored, table, text_rows
 
 #: Labelled rows that fit the document classifier on average, chosen by a hash of doc_id.
 SAMPLE = 50_000
@@ -47,7 +47,7 @@ def feature_table(df: DataFrame, id_col: str, text_col: str, host: Column, path:
     docs = text_rows(df, id_col, text_col, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = pa.array([features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], x], ["doc_id", "host", "path", *more, "x"])
 
@@ -106,7 +106,8 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for i, w in enumerate(weights):
         z = z + F.col("x")[i] * w
     scored = x.select("doc_id", "host", "path", *more, F.greatest(F.lit(-12.0), F.least(F.lit(12.0), z)).alias("z"))
-    known = scored.join(y.hint("merge"), "doc_id", "left").withColumn("p", F.coalesce("y", logistic(F.col("z"))))
+    named = scored.where("doc_id is not null").join(y.hint("merge"), "doc_id", "left")  # rows without an id have no label, and would all meet in one task
+    known = named.unionByName(scored.where("doc_id is null").withColumn("y", F.lit(None).cast("double"))).withColumn("p", F.coalesce("y", logistic(F.col("z"))))
     paths = stored(known.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n")), "paths")
     whole = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mean = min(1 - 1e-4, max(1e-4, (whole.s + 1) / (whole.n + 2))) if whole.n else 0.5

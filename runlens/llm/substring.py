@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, join_sized, numbered, stored, table, text_rows
+from .common import ROW, join_sized, numbered, sliced, stored, table, text_rows
 from .jaccard import PRIME, WordHashes
 
 #: Words of an anchor, at most; the power of two of bits in the filter of anchors that repeat (16 MB, whatever the input).
@@ -24,7 +24,7 @@ ANCHOR, FILTER = 8, 27
 #: Stretches in a shard on average, and of one anchor at most before its windows go each to a shard of its own.
 SHARD, HOT = 1024, 1024
 #: Characters of texts taken together in a task, and the bits that the place of a window there has.
-TOGETHER, PLACES = 1 << 21, 24
+TOGETHER, PLACES = 1 << 20, 24
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -94,7 +94,7 @@ def anchors(docs: DataFrame, width: int) -> DataFrame:
     """(anchor) of every stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for _, words, ends in grouped(batch.column(0).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(stretches(words, ends, width)[0].view(np.int64))], ["anchor"])
 
@@ -174,7 +174,7 @@ def spans(docs: DataFrame, width: int, bits: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, rows = batch.column(0), batch.column(1)
             for at, words, ends in grouped(batch.column(2).to_pylist()):
                 anchor, first, n = stretches(words, ends, width)
@@ -274,7 +274,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = known.groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("fresh").alias("fresh"))  # a row has no more of them than words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, starts, fresh = batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for at, words, ends in grouped(batch.column(1).to_pylist()):
                 anchor, first, n = stretches(words, ends, width)

@@ -88,6 +88,26 @@ def test_rows_of_files_are_numbered_without_a_copy(spark, tmp_path, monkeypatch)
     assert {(r.row, r[common.ROW]) for r in common.numbered(read.select("row", "text")).repartition(2).collect()} == first
 
 
+def test_rows_given_twice_have_numbers_of_their_own(spark, tmp_path):
+    docs(spark).where("row < 2").repartition(2).write.parquet(f"{tmp_path}/d")
+    read = spark.read.parquet(f"{tmp_path}/d")
+    for twice in (read.selectExpr("*", "explode(array(1, 2)) AS k"), spark.read.parquet(f"{tmp_path}/d", f"{tmp_path}/d")):
+        assert common.numbered(twice).select(common.ROW).distinct().count() == 4
+        assert dedup.keep_first(twice).count() == jaccard.keep_first_of_each(twice).count() == 2
+
+
+@pytest.mark.parametrize("bitmaps", [0, 1 << 14])
+def test_chosen_rows_by_bitmap_and_by_join(spark, tmp_path, monkeypatch, bitmaps):
+    monkeypatch.setattr(common, "BITMAPS", bitmaps)
+    spark.range(100_000).selectExpr("id", "'x' AS text").repartition(3).write.parquet(f"{tmp_path}/d")
+    rows = common.numbered(spark.read.parquet(f"{tmp_path}/d"))
+    for rule in ("id % 7 = 3", "id < 40000", "id = 99999", "id < 0", "true"):
+        out = common.chosen(rows, rows.where(rule))
+        assert out.columns == ["id", "text"]
+        want = spark.range(100_000).where(rule)
+        assert out.count() == want.count() and out.select("id").exceptAll(want).isEmpty()
+
+
 def test_stages_on_an_empty_table_and_clashing_names(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     for df in (docs(spark).limit(0), docs(spark).selectExpr("doc_id", "text", "lang", "source", "row", "1 AS h", "'x' AS component_id", "2.0 AS quality", "3 AS n", "4 AS _metadata")):
