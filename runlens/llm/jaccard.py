@@ -38,7 +38,7 @@ class WordHashes(dict):
 
     @classmethod
     def of(cls) -> WordHashes:
-        if cls.held is None or len(cls.held) > 300_000:
+        if cls.held is None or len(cls.held) > 1 << 17:
             cls.held = cls()
         return cls.held
 
