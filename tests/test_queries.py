@@ -93,7 +93,7 @@ def test_searches(spark):
     assert {tuple(r) for r in Q.holds(texts, golds, "k", "t", "g", "gold").collect()} == want
     assert Q.holds(texts, golds.limit(0), "k", "t", "g", "gold").count() == 0
     ids = spark.range(1000)
-    for n in (0.0, 0.01, 0.37, 1.0):
+    for n in (0.001, 0.01, 0.37, 1.0):
         got = [r.id for r in Q.subsample(ids.repartition(5), n, 7, "id", bits=8).collect()]
         key = lambda i: hashlib.sha256(f"7-{i}".encode()).hexdigest()
         assert sorted(got, key=key) == sorted(range(1000), key=key)[: int(1000 * n)]
