@@ -12,8 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.text import score_token_f1
 from ..operators.metrics import latest
@@ -23,15 +22,29 @@ LATE = "10 minutes"
 MOST_ERRORS, ERROR_WAIT = 3, 30
 
 
+#: The state store of every query: off the heap, with changes alone in a checkpoint; the setting for it.
+STORE, STORE_CLASS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.providerClass"
+
+
+def started(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """The query, started with STORE; one that is started again keeps the store of its checkpoint."""
+    was = spark.conf.get(STORE_CLASS)
+    spark.conf.set(STORE_CLASS, STORE)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(STORE_CLASS, was)
+
+
 def appended(stream: DataFrame, path: str) -> StreamingQuery:
     """Available rows of a stream, each written once, as Parquet under ``path``."""
-    return stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/_progress").outputMode("append").trigger(availableNow=True).start(f"{path}/rows")
+    return started(stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/_progress").outputMode("append").trigger(availableNow=True), stream.sparkSession)
 
 
 def updated(stream: DataFrame, path: str) -> StreamingQuery:
     """Changed rows of each batch under ``path/rows/batch=N``; a batch that is run again replaces its own folder."""
     save = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
-    return stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/_progress").outputMode("update").trigger(availableNow=True).start()
+    return started(stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/_progress").outputMode("update").trigger(availableNow=True), stream.sparkSession)
 
 
 def newest(spark: SparkSession, path: str, schema, *keys: str) -> DataFrame:
@@ -84,62 +97,97 @@ def monitor(stream: DataFrame, run: str, ts: str, met: Column, error: Column, mo
     A check completes the monitor when ``met`` holds or it is number
     ``most_checks``; the third error aborts it; else it sleeps, after an error at
     most 30 seconds. Rows after the end are ignored. Null flags count as false.
-    Within a batch rows run by event time and ``order``.
+    Within a batch rows run by event time and ``order``; they are read in chunks,
+    and no more of a run than the checks it has left are held. The state needs
+    the RocksDB store, which ``appended`` and ``updated`` use.
     """
     rows = stream.select(F.col(run).cast("long").alias("run"), F.col(ts).alias("ts"), F.col(order).cast("long").alias("at"), F.coalesce(met, F.lit(False)).alias("met"), F.coalesce(error, F.lit(False)).alias("error"))
 
-    def check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        checks, errors, over = state.get if state.exists else (0, 0, False)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "at"]).itertuples():
-            if over:
-                break
-            checks, errors = checks + 1, errors + bool(r.error)
-            if r.error:
-                status = "aborted" if errors >= MOST_ERRORS else "error"
-            else:
-                status = "complete" if r.met or checks >= most_checks else "sleeping"
-            over = status in ("aborted", "complete")
-            out.append((key[0], r.at, checks, errors, status, 0 if over else min(sleep, ERROR_WAIT) if r.error else sleep))
-        state.update((checks, errors, over))
-        yield pd.DataFrame(out, columns=["run", "at", "check_number", "errors", "status", "next_check"])
-
-    return rows.groupBy("run").applyInPandasWithState(check, "run long, at long, check_number long, errors long, status string, next_check long", "checks long, errors long, over boolean", "append", GroupStateTimeout.NoTimeout)
+    class Checks(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("checks", "checks long, errors long, over boolean")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            checks, errors, over = self.state.get() or (0, 0, False)
+            first, left = None, 0 if over else most_checks - checks
+            for chunk in rows:
+                first = (chunk if first is None else pd.concat([first, chunk])).sort_values(["ts", "at"], kind="stable").head(left)
+            out = []
+            for r in first.itertuples():
+                checks, errors = checks + 1, errors + bool(r.error)
+                if r.error:
+                    status = "aborted" if errors >= MOST_ERRORS else "error"
+                else:
+                    status = "complete" if r.met or checks >= most_checks else "sleeping"
+                over = status in ("aborted", "complete")
+                out.append((key[0], r.at, checks, errors, status, 0 if over else min(sleep, ERROR_WAIT) if r.error else sleep))
+                if over:
+                    break
+            self.state.update((checks, errors, over))
+            yield pd.DataFrame(out, columns=["run", "at", "check_number", "errors", "status", "next_check"])
+
+    return rows.groupBy("run").transformWithStateInPandas(Checks(), "run long, at long, check_number long, errors long, status string, next_check long", "append", "none")
 
 
 def input_timeout(stream: DataFrame, run: str, ts: str, order: str, waiting: Column, seconds: int = 3600, late: str = LATE) -> DataFrame:
-    """run, at, stopped_at: waits for input that lasted over ``seconds``, told by the next row of the run or by the watermark.
+    """run, at, stopped_at: waits for input that lasted over ``seconds``, told by the next row of the run or by a timer on the watermark.
 
     Whether the very last row of a run has waited too long is known once the
-    watermark has passed its limit.
+    watermark has passed its limit. Rows without a time are left out. A run's
+    rows are read in chunks, each reduced to its stretches without a gap over
+    ``seconds``, so what is held grows with the hours a batch covers, not with
+    its rows. The state is the run's last row, kept until the watermark has
+    passed it; it needs the RocksDB store, which ``appended`` and ``updated`` use.
     """
-    rows = stream.select(F.col(run).cast("long").alias("run"), F.col(ts).cast("timestamp").alias("ts"), F.col(order).cast("long").alias("at"), F.coalesce(waiting, F.lit(False)).alias("waits")).withWatermark("ts", late)
-    names = ["run", "at", "stopped_at"]
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, at = state.get if state.exists else (-1, -1)
-        limit = seconds * 1_000_000
-        if state.hasTimedOut:
-            yield pd.DataFrame([(key[0], at, pd.Timestamp(since + limit, unit="us"))], columns=names)
-            state.remove()
-            return
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "at"]).itertuples():
-            now = r.ts.value // 1000
-            if since >= 0 and now - since > limit:
-                out.append((key[0], at, pd.Timestamp(since + limit, unit="us")))
-            since, at = (now, r.at) if r.waits else (-1, -1)
-        state.update((since, at))
-        if since >= 0:
-            state.setTimeoutTimestamp(max((since + limit) // 1000, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=names)
-
-    return rows.groupBy("run").applyInPandasWithState(watch, "run long, at long, stopped_at timestamp", "since long, at long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = stream.select(F.col(run).cast("long").alias("run"), F.col(ts).cast("timestamp").alias("ts"), F.col(order).cast("long").alias("at"), F.coalesce(waiting, F.lit(False)).alias("waits"))
+    rows = rows.where("ts is not null").withWatermark("ts", late).select("run", "ts", F.unix_micros("ts").alias("start"), F.unix_micros("ts").alias("end"), "at", "waits")
+    limit, names, state = seconds * 1_000_000, ["run", "at", "stopped_at"], ["start", "end", "at", "waits"]
+
+    class Waits(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle, self.last = handle, handle.getValueState("last", "end long, at long, waits boolean")
+
+        def stretches(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
+            """Stretches in order of time, each with its first time and its last row."""
+            r = pd.concat(parts, ignore_index=True).sort_values(["start", "end", "at"], kind="stable")
+            n = (r["start"] - r["end"].cummax().shift() > limit).cumsum()
+            r = r.assign(n=n, start=r["start"].groupby(n).transform("min")).sort_values(["n", "end", "at"], kind="stable")
+            return r.drop_duplicates("n", keep="last")[state]
+
+        def stopped(self, run: int, ends: Iterator[tuple]) -> pd.DataFrame:
+            return pd.DataFrame([(run, at, pd.Timestamp(end + limit, unit="us")) for end, at, waits in ends if waits], columns=names)
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            held = None
+            if self.last.exists():
+                end, at, waits = self.last.get()
+                held = pd.DataFrame([(end, end, at, waits)], columns=state)
+            for chunk in rows:
+                held = self.stretches([chunk[state]] if held is None else [held, chunk[state]])
+            ends = list(held[state[1:]].itertuples(index=False, name=None))
+            end, at, waits = ends[-1]
+            self.last.update((int(end), int(at), bool(waits)))
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(max((int(end) + (limit if waits else 0)) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+            yield self.stopped(key[0], ends[:-1])
+
+        def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            last = self.last.get()
+            self.last.clear()
+            yield self.stopped(key[0], [last])
+
+    return rows.groupBy("run").transformWithStateInPandas(Waits(), "run long, at long, stopped_at timestamp", "append", "eventTime")
 
 
 def input_timeout_batch(rows: DataFrame, run: str, ts: str, order: str, waiting: Column, seconds: int = 3600) -> DataFrame:
-    """The same over a table for waits that a later row of the run ended."""
-    w = Window.partitionBy(run).orderBy(ts, order)
-    gap = F.unix_micros(F.lead(F.col(ts).cast("timestamp")).over(w)) - F.unix_micros(F.col(ts).cast("timestamp"))
-    return rows.withColumn("_gap", gap).where(F.coalesce(waiting, F.lit(False)) & (F.col("_gap") > seconds * 1_000_000)).drop("_gap")
+    """The same over a table for waits that a later row of the run ended.
+
+    Rows fall into session windows of a run; such a wait is the last row of a
+    session that isn't the run's last. Only sessions, over ``seconds`` apart, are
+    put in order, not the rows.
+    """
+    at = F.struct(F.col(ts), F.col(order))
+    last = rows.groupBy(run, F.session_window(ts, f"{seconds} seconds 1 microsecond").alias("_s")).agg(F.max_by(F.struct(*rows.columns, F.coalesce(waiting, F.lit(False)).alias("_waits")), at).alias("_r"))
+    later = F.lead("_s").over(Window.partitionBy(run).orderBy("_s.start"))
+    return last.withColumn("_later", later).where("_r._waits and _later is not null").select("_r.*").drop("_waits")

@@ -202,6 +202,33 @@ def test_input_timeout(spark, tmp_path):
     assert sorted((r.run, r.at) for r in got.collect()) == [(1, 1), (3, 5)]
 
 
+def test_long_runs_in_chunks(spark, tmp_path):
+    """A run of many chunks a batch in any order, its state taken up in a second batch, against the rules row by row."""
+    draw = random.Random(7)
+    whole = [(r, 10_000 * (n + 1) + draw.choice([0, 10, 3600, 3601, 5000]), 2 * n + r, draw.choice(["wait", "error", "x", "x", "x"])) for r in (1, 2) for n in range(150)]
+    parts = [[x for x in whole if x[1] < 900_000], [x for x in whole if x[1] >= 900_000]]
+    for p in parts:
+        draw.shuffle(p)
+    keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = replay(spark, f"{tmp_path}/m", parts, lambda s: R.monitor(s, "run", "ts", F.lit(False), F.lit(None).cast("boolean"), 140, 60, "at"))
+        assert sorted((r.run, r.check_number, r.at, r.status) for r in got.collect()) == [(r, n + 1, 2 * n + r, "complete" if n == 139 else "sleeping") for r in (1, 2) for n in range(140)]
+        got = replay(spark, f"{tmp_path}/t", [*parts, [(9, 9_000_000, 1, "x")]], lambda s: R.input_timeout(s, "run", "ts", "at", F.col("kind") == "wait"))
+        assert len(got.collect()) == len(set(got.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
+    want = set()
+    for run in (1, 2):
+        own = sorted((s, a, k) for r, s, a, k in whole if r == run)
+        want |= {(run, a, s + 3600) for (s, a, k), (later, _, _) in zip(own, [*own[1:], (9_000_000, 0, "")]) if k == "wait" and later - s > 3600}
+    assert {(r.run, r.at, int(r.stopped_at.timestamp())) for r in got.collect()} == want
+    rows = spark.createDataFrame([(r, s, a, k) for r, s, a, k in whole], "run long, s long, at long, kind string").withColumn("ts", F.timestamp_seconds("s"))
+    batch = R.input_timeout_batch(rows, "run", "ts", "at", F.col("kind") == "wait")
+    last = {max((s, a) for r, s, a, _ in whole if r == run)[1] for run in (1, 2)}
+    assert batch.columns == rows.columns and {(r.run, r.at) for r in batch.collect()} == {(r, a) for r, a, _ in want if a not in last}
+
+
 def test_late_and_repeated_rows(spark, tmp_path):
     got = replay(spark, f"{tmp_path}/d", [[(1, 10_000, 1, "a")], [(1, 10_060, 2, "a"), (1, 10_060, 3, "b")], [(9, 80_000, 9, "z")], [(1, 90_000, 4, "a")]], lambda s: R.event_dedupe(s, "ts", ["run", "kind"]))
     assert sorted((r.at) for r in got.collect()) == [1, 3, 4, 9]
