@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from ..sources.sinks import scratch
 
 #: A side is broadcast only if it was counted and holds at most this many rows.
 BROADCAST_ROWS = 50_000
+#: Characters of gold texts (and 64 for each) in one automaton.
+GOLD_CHARS = 4_000_000
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,29 +57,56 @@ def subsample(df: DataFrame, fraction: float, seed: int, key: str, bits: int = 1
     return rows.where(F.col("_b") < edge).unionByName(last).drop("_h", "_b")
 
 
-def holds(texts: DataFrame, golds: DataFrame, key: str, text: str, gold_key: str, gold: str) -> DataFrame:
-    """(key, gold_key) for every text that has a gold text as a part.
+def holds(texts: DataFrame, golds: DataFrame, key: str, text: str, gold_key: str, gold: str, head: int = 32) -> DataFrame:
+    """(key, gold_key) for every text that has a gold text as a part; a null text or gold is part of nothing, an empty gold of every text.
 
-    A gold text's inner words are whole words of any text that holds it, so the
-    hash of its second to sixth word (as many as it has but for its last) is
-    looked for at every word of the texts; what meets is tested. The golds are
-    broadcast if counted few, else the hashes shuffled. Gold texts of one or two words
-    have no inner word: they are tested against all texts, in blocks.
+    Each task runs an automaton of the golds' first ``head`` characters once over
+    each of its whole texts; where a head ends, the golds that begin with it
+    are looked up by the text that follows, once for each of their lengths.
+    Golds are broadcast in blocks of about GOLD_CHARS characters, whatever their
+    number, and the texts are read once for each block; neither side is shuffled
+    but to drop repeated pairs.
     """
-    words = F.split(F.col(gold), " ")
-    g = written(golds.where(F.col(gold).isNotNull()).select(F.col(gold_key), F.col(gold).alias("_gold"), F.greatest(F.least(F.size(words) - 2, F.lit(5)), F.lit(0)).alias("_n"), F.xxhash64(F.array_join(F.slice(words, 2, F.greatest(F.least(F.size(words) - 2, F.lit(5)), F.lit(0))), " ")).alias("_h")), "golds")
-    counts = {r._n: r["count"] for r in g.groupBy("_n").count().collect()}  # at most six
-    out = []
-    wide = sum(n for k, n in counts.items() if k)
-    if wide:
-        at_each_word = lambda k: F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.struct(F.lit(k).alias("_n"), F.xxhash64(F.array_join(F.slice("_w", i, F.lit(k)), " ")).alias("_h")))
-        heads = F.flatten(F.array(*(at_each_word(k) for k in sorted(counts) if k)))
-        heads = texts.where(F.col(text).isNotNull()).select(key, F.split(text, " ").alias("_w")).select(key, F.explode(heads).alias("_x")).select(key, "_x._n", "_x._h")
-        hits = written(heads.join(sized(g.where("_n > 0"), wide), ["_n", "_h"]).select(key, gold_key, "_gold").distinct(), "hits")
-        out.append(texts.join(sized(hits, hits.count()), key).where(F.col(text).contains(F.col("_gold"))).select(key, gold_key).distinct())
-    if counts.get(0):
-        out += [texts.join(F.broadcast(some), F.col(text).contains(F.col("_gold"))).select(key, gold_key).distinct() for some in blocks(g.where("_n = 0"), counts[0], gold_key)]
-    return reduce(DataFrame.unionByName, out) if out else texts.select(key).join(golds.select(gold_key).limit(0).hint("merge"), F.lit(False))
+    texts, golds = texts.select(F.col(key).alias("key"), F.col(text).alias("text")), golds.select(F.col(gold_key).alias("gold_key"), F.col(gold).alias("gold")).where("gold is not null")
+    out = StructType([StructField(key, texts.schema["key"].dataType), StructField(gold_key, golds.schema["gold_key"].dataType)])
+    g = written(golds, "golds")
+    n = max(1, -(-(g.agg(F.sum(F.length("gold") + F.lit(64))).first()[0] or 0) // GOLD_CHARS))
+
+    def over(block: DataFrame) -> DataFrame:
+        held = block.toPandas()  # about GOLD_CHARS characters
+        shared = block.sparkSession.sparkContext.broadcast((held["gold"].tolist(), held["gold_key"].tolist()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by_text: dict[str, list] = {}
+            lengths: dict[str, set[int]] = {}
+            for one, its in zip(*shared.value):
+                by_text.setdefault(one, []).append(its)
+                lengths.setdefault(one[:head], set()).add(len(one))
+            heads = ahocorasick.Automaton()
+            for word in lengths:
+                if word:
+                    heads.add_word(word, word)
+            heads.make_automaton()
+            for batch in batches:
+                keys, found = batch.column(0).to_pylist(), ([], [])
+                for i, t in enumerate(batch.column(1)):
+                    t = t.as_py()
+                    if t is None:
+                        continue
+                    met = {""} & by_text.keys()
+                    for end, word in heads.iter(t) if heads else ():
+                        at = end + 1 - len(word)
+                        met.update(p for p in (t[at : at + k] for k in lengths[word]) if p in by_text)
+                    for p in met:
+                        found[0].extend([keys[i]] * len(by_text[p]))
+                        found[1].extend(by_text[p])
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, arrow)], schema=arrow)
+
+        return texts.mapInArrow(run, out)
+
+    arrow = to_arrow_schema(out)
+    parts = [over(g.where(F.pmod(F.xxhash64("gold"), F.lit(n)) == i)) for i in range(n)]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def relevant(rows: DataFrame, asks: DataFrame, key: str, vector: str, least: float) -> DataFrame:

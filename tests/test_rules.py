@@ -1,5 +1,6 @@
 """Rules of single operators on hand-worked rows: answers, links, microdata, splits, summaries, registered scorers."""
 
+import random
 from html.parser import HTMLParser
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import pages as G
 from runlens.functions import text as X
+from runlens.functions import urls as U
 from runlens.operators import history as H
 from runlens.operators import metrics as M
 from runlens.operators import scoring as S
@@ -129,3 +131,39 @@ def test_monitors_sleep_only_in_active_runs(spark):
     assert got == {1: ("sleeping", True), 2: ("sleeping", False), 3: ("complete", False), 4: (None, False)}
     totals = W.monitor_totals(df, "run", "at", F.col("state"), F.col("at"), F.col("at") * 10).collect()
     assert sorted(tuple(r) for r in totals) == [(1, "sleeping", 2, 20), (2, "sleeping", 1, 10), (3, "complete", 2, 20)]
+
+
+def test_public_suffix_rules(spark, tmp_path):
+    """Plain, wildcard and exception rules from a file, the longest first; hosts without a rule, of one label, of an address."""
+    (tmp_path / "rules.dat").write_text("// a comment\n\ncom\nuk\nCO.uk  // said after\n*.ck\n!www.ck\n*.kawasaki.jp\n!city.kawasaki.jp\njp\n*\n")
+    want = {
+        "http://a.b.com/x": ("a", "b", "com"), "b.com": ("", "b", "com"), "com": ("", "", "com"), "x.y.co.uk": ("x", "y", "co.uk"), "y.uk": ("", "y", "uk"), "co.uk": ("", "", "co.uk"), "a.b.c.ck": ("a", "b", "c.ck"),
+        "www.ck": ("", "www", "ck"), "z.www.ck": ("z", "www", "ck"), "c.ck": ("", "", "c.ck"), "ck": ("", "ck", ""), "a.b.c.kawasaki.jp": ("a", "b", "c.kawasaki.jp"), "city.kawasaki.jp": ("", "city", "kawasaki.jp"),
+        "m.city.kawasaki.jp": ("m", "city", "kawasaki.jp"), "kawasaki.jp": ("", "kawasaki", "jp"), "one.two.none": ("one", "two", "none"), "localhost:80": ("", "localhost", ""), "http://10.0.0.7:8/x": ("", "10.0.0.7", ""), "A.B.COM.": ("a", "b", "com"),
+    }
+    df = spark.createDataFrame([(u,) for u in want], "url string")
+    got = U.host_parts(df, "url", spark.read.text(f"{tmp_path}/rules.dat"))
+    assert {r.url: (r.subdomain, r.domain, r.suffix) for r in got.collect()} == want and got.columns == ["url", "suffix", "domain", "subdomain", "scheme", "path"]
+    few = U.host_parts(df, "url", ["com", "*.ck", "!www.ck"]).where("url in ('www.ck', 'a.b.c.ck', 'y.uk')")
+    assert {(r.url, r.suffix) for r in few.collect()} == {("www.ck", "ck"), ("a.b.c.ck", "c.ck"), ("y.uk", "uk")}
+    none = U.host_parts(df, "url", spark.createDataFrame([], "value string"))
+    assert {r.suffix for r in none.where("url like '%b.com/x' or url = 'localhost:80'").collect()} == {"com", ""}
+    assert U.host_parts(spark.createDataFrame([(None,)], "url string"), "url").first().domain is None
+    rules = spark.createDataFrame([("b.co.uk", "blocked"), ("c.co.uk", "allowed")], "pattern string, status string")
+    urls = spark.createDataFrame([("http://b.co.uk",), ("http://x.b.co.uk",), ("http://b.uk",), ("http://c.co.uk/1",)], "url string")
+    assert {r.url for r in U.url_policy(urls, rules).where("allowed").collect()} == {"http://c.co.uk/1"}
+
+
+def test_parts_of_texts_by_automaton(spark, monkeypatch):
+    """Golds of all lengths, with shared heads, inside each other, repeated, in one automaton or in many, against all pairs."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab é") for _ in range(n))
+    texts = [(i, word(rng.choice([0, 1, 40, 300]))) for i in range(60)] + [(60, None), (61, texts_end := "x" * 40 + "tail"), (61, texts_end)]
+    golds = [(i, word(rng.choice([1, 2, 3, 5, 7]))) for i in range(40)] + [(40, ""), (41, None), (42, "x" * 36 + "tail"), (43, "x" * 36 + "tale"), (44, "x" * 32), (45, "x" * 33), (46, "tail"), (47, "tail"), (48, "\U0001f600")]
+    texts.append((62, "say \U0001f600!"))
+    want = {(k, g) for k, t in texts for g, x in golds if t is not None and x is not None and x in t}
+    t, g = spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame(golds, "g int, x string")
+    for chars in (4_000_000, 600):
+        monkeypatch.setattr(Q, "GOLD_CHARS", chars)
+        got = Q.holds(t, g, "k", "t", "g", "x", head=4 if chars == 600 else 32)
+        assert got.columns == ["k", "g"] and sorted(map(tuple, got.collect())) == sorted(want)
