@@ -1,31 +1,88 @@
-"""Window functions over message sequences."""
+"""Window functions over message sequences.
+
+A run of more than RUN_ROWS rows is cut by its order into parts, each a window
+of its own; what earlier or later parts of the run add is summed up by part and
+joined. Results are the same however runs are cut. Rows of a run are told apart
+by their order columns.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import sized, written
+
+#: Rows of a run in one window, and the column that numbers the parts of longer runs (0 in others).
+RUN_ROWS, PART = 5_000_000, "_part"
+
+
+def cut(df: DataFrame, run: str, order: list[str]) -> tuple[DataFrame, bool]:
+    """``df`` with PART, and whether any run is cut: rows of long runs are put in ranges of the run and its order, and written, so that parts stay as they are."""
+    long = df.groupBy(F.col(run).alias("_run")).count().where(F.col("count") > RUN_ROWS)
+    runs, rows = long.agg(F.count("*"), F.sum("count")).first()  # one row
+    if not runs:
+        return df.withColumn(PART, F.lit(0)), False
+    side, same = sized(written(long.select("_run"), "long"), runs), F.col(run).eqNullSafe(F.col("_run"))
+    ranges = df.join(side, same, "left_semi").repartitionByRange(-(-rows // RUN_ROWS) + 1, run, *order)
+    parts = written(ranges.withColumn(PART, F.spark_partition_id() + 1), "parts")
+    return df.join(side, same, "left_anti").withColumn(PART, F.lit(0)).unionByName(parts), True
+
+
+def carry(df: DataFrame, some: bool, keys: list[str], later: bool = False, **of: tuple[Column, Callable[[str], Column]]) -> DataFrame:
+    """``df`` with a column for each aggregate: its value over each part, put together over all earlier (or later) parts of the keys; null where there is none."""
+    if not some:
+        return df.withColumns({name: F.lit(None) for name in of})
+    w = Window.partitionBy(*keys).orderBy(PART)
+    w = w.rowsBetween(1, Window.unboundedFollowing) if later else w.rowsBetween(Window.unboundedPreceding, -1)
+    each = df.where(F.col(PART) > 0).groupBy(*keys, PART).agg(*(value.alias(name) for name, (value, _) in of.items()))
+    each = written(each.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, PART])), *(join(name).over(w).alias(name) for name, (_, join) in of.items())), "carry")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*keys, PART])]
+    return df.join(sized(each, each.count()), same, "left").drop(*(f"_k{i}" for i in range(len(same))))
+
+
+def plus(a: Column, b: Column) -> Column:
+    return F.coalesce(a + b, a, b)
+
+
+def lagged(df: DataFrame, some: bool, run: str, order: list[str], **of: Column) -> DataFrame:
+    """``df`` with the value of each column in the run's row before, null in the first."""
+    last = lambda c: (F.max_by(F.struct(c.alias("v")), F.struct(*order)), lambda n: F.last(n, ignorenulls=True))
+    out = carry(df, some, [run], **{f"{name}_was": last(c) for name, c in of.items()})
+    before = {name: F.lag(F.struct(c.alias("v"))).over(Window.partitionBy(run, PART).orderBy(*order)) for name, c in of.items()}
+    return out.withColumns({name: F.coalesce(b, F.col(f"{name}_was"))["v"] if some else b["v"] for name, b in before.items()}).drop(*(f"{name}_was" for name in of))
+
 
-def by(run: str, *order: str) -> Window:
-    return Window.partitionBy(run).orderBy(*order)
+def numbered_rows(df: DataFrame, some: bool, run: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with the row's number in its run."""
+    out = carry(df, some, [run], _before=(F.count("*"), F.sum))
+    at = F.row_number().over(Window.partitionBy(run, PART).orderBy(*order)).cast("long")
+    return out.withColumn(name, plus(at, F.col("_before").cast("long"))).drop("_before")
 
 
 def message_seq(df: DataFrame, run: str, *order: str) -> DataFrame:
-    return df.withColumn("seq", F.row_number().over(by(run, *order)))
+    return numbered_rows(*cut(df, run, [*order]), run, [*order], "seq").drop(PART)
 
 
 def repeated_steps(df: DataFrame, run: str, order: list[str], step: Column, separator: Column) -> DataFrame:
     """Adds ``repeated``: the same step came before, with no separator since its latest time."""
-    w = by(run, *order)
-    seps = df.withColumn("_seps", F.sum(separator.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_step", step)
-    before = F.lag("_seps").over(Window.partitionBy(run, "_step").orderBy(*order))
-    return seps.withColumn("repeated", F.coalesce(before == F.col("_seps"), F.lit(False)) & F.col("_step").isNotNull() & ~separator).drop("_seps", "_step")
+    rows, some = cut(df, run, order)
+    rows = carry(rows.withColumn("_sep", separator.cast("long")).withColumn("_step", step), some, [run], _earlier=(F.sum("_sep"), F.sum))
+    within = F.sum("_sep").over(Window.partitionBy(run, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    seps = carry(rows.withColumn("_seps", plus(within, F.col("_earlier").cast("long"))), some, [run, "_step"], _met=(F.max("_seps"), F.max))
+    before = F.lag("_seps").over(Window.partitionBy(run, "_step", PART).orderBy(*order))
+    same = F.coalesce(F.coalesce(before, F.col("_met").cast("long")) == F.col("_seps"), F.lit(False))
+    return seps.withColumn("repeated", same & F.col("_step").isNotNull() & ~separator).drop("_sep", "_seps", "_step", "_earlier", "_met", PART)
 
 
 def failed_steps(df: DataFrame, run: str, order: list[str], signal: Column, bad: str) -> DataFrame:
     """Adds ``failed``: the next non-null signal after the row is ``bad``."""
-    nxt = F.first(signal, ignorenulls=True).over(by(run, *order).rowsBetween(1, Window.unboundedFollowing))
-    return df.withColumn("failed", F.coalesce(nxt == bad, F.lit(False)))
+    rows, some = cut(df.withColumn("_signal", signal), run, order)
+    rows = carry(rows, some, [run], later=True, _later=(F.min_by("_signal", F.when(F.col("_signal").isNotNull(), F.struct(*order))), lambda n: F.first(n, ignorenulls=True)))
+    nxt = F.first("_signal", ignorenulls=True).over(Window.partitionBy(run, PART).orderBy(*order).rowsBetween(1, Window.unboundedFollowing))
+    return rows.withColumn("failed", F.coalesce(F.coalesce(nxt, F.col("_later")) == bad, F.lit(False))).drop("_signal", "_later", PART)
 
 
 def run_progress(df: DataFrame, run: str, seq: str, final: Column, step: Column, length: Column, plan: Column, live: Column) -> DataFrame:
@@ -78,14 +135,20 @@ def part_index(df: DataFrame, run: str, seq: str, parts: str) -> DataFrame:
 
 def changed(df: DataFrame, run: str, order: list[str], value: Column) -> DataFrame:
     """Rows whose value differs from the one before in the run; the first row always."""
-    h = F.md5(value)
-    return df.withColumn("_h", h).withColumn("_was", F.lag("_h").over(by(run, *order))).withColumn("_n", F.row_number().over(by(run, *order))).where((F.col("_n") == 1) | ~F.col("_h").eqNullSafe(F.col("_was"))).drop("_h", "_was", "_n")
+    rows, some = cut(df.withColumn("_h", F.md5(value)), run, order)
+    rows = lagged(rows, some, run, order, _was=F.struct("_h"))
+    return rows.where(F.col("_was").isNull() | ~F.col("_h").eqNullSafe(F.col("_was._h"))).drop("_h", "_was", PART)
 
 
 def check_timing(df: DataFrame, run: str, order: list[str], seconds: Column) -> DataFrame:
     """Check number, seconds since the first check and since the one before (0 for the first)."""
-    w = by(run, *order)
-    return df.withColumn("_s", seconds).withColumns({"check_number": F.row_number().over(w), "since_start": F.col("_s") - F.first("_s").over(w), "since_last": F.coalesce(F.col("_s") - F.lag("_s").over(w), F.lit(0.0))}).drop("_s")
+    rows, some = cut(df.withColumn("_s", seconds), run, order)
+    rows = lagged(numbered_rows(rows, some, run, order, "check_number"), some, run, order, _was=F.col("_s"))
+    rows = carry(rows, some, [run], _start=(F.min_by(F.struct("_s"), F.struct(*order)), F.first))
+    first = F.first("_s").over(Window.partitionBy(run, PART).orderBy(*order))
+    if some:
+        first = F.when(F.col("_start").isNull(), first).otherwise(F.col("_start._s"))
+    return rows.withColumns({"since_start": F.col("_s") - first, "since_last": F.coalesce(F.col("_s") - F.col("_was"), F.lit(0.0))}).drop("_s", "_was", "_start", PART)
 
 
 def last_n(df: DataFrame, run: str, order: list[str], n: int) -> DataFrame:
@@ -95,19 +158,25 @@ def last_n(df: DataFrame, run: str, order: list[str], n: int) -> DataFrame:
 
 def token_budget(df: DataFrame, run: str, order: list[str], tokens: Column, limit: int) -> DataFrame:
     """Newest rows of each run whose tokens together stay within the limit."""
-    w = Window.partitionBy(run).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("tokens", tokens).withColumn("running", F.sum("tokens").over(w)).where(F.col("running") <= limit)
+    rows, some = cut(df.withColumn("tokens", tokens), run, order)
+    rows = carry(rows, some, [run], later=True, _newer=(F.sum("tokens"), F.sum))
+    within = F.sum("tokens").over(Window.partitionBy(run, PART).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("running", plus(within, F.col("_newer")) if some else within).where(F.col("running") <= limit).drop("_newer", PART)
 
 
 def phase_tag(df: DataFrame, run: str, order: list[str], plan: Column) -> DataFrame:
     """planning until a plan was seen and the current row is none."""
-    seen = F.max(plan.cast("int")).over(by(run, *order).rowsBetween(Window.unboundedPreceding, 0)) == 1
-    return df.withColumn("phase", F.when(seen & ~plan, "execution").otherwise("planning"))
+    rows, some = cut(df.withColumn("_plan", plan.cast("int")), run, order)
+    rows = carry(rows, some, [run], _earlier=(F.max("_plan"), F.max))
+    within = F.max("_plan").over(Window.partitionBy(run, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    seen = F.greatest(within, F.col("_earlier").cast("int")) == 1
+    return rows.withColumn("phase", F.when(seen & ~plan, "execution").otherwise("planning")).drop("_plan", "_earlier", PART)
 
 
 def derived_status(df: DataFrame, run: str, order: list[str], status: Column, final: Column) -> DataFrame:
     """Status, which is final_answer_awaiting_input where input is awaited and one of the last two rows is a final answer; only changes."""
-    w = by(run, *order)
-    near = F.coalesce(F.lag(final).over(w), F.lit(False)) | final
-    out = df.withColumn("status", F.when((status == "awaiting_input") & near, "final_answer_awaiting_input").otherwise(status))
-    return out.withColumn("_was", F.lag("status").over(w)).where(~F.col("status").eqNullSafe(F.col("_was"))).drop("_was")
+    rows, some = cut(df.withColumn("_final", final), run, order)
+    rows = lagged(rows, some, run, order, _near=F.col("_final"))
+    near = F.coalesce("_near", F.lit(False)) | F.col("_final")
+    out = rows.withColumn("status", F.when((status == "awaiting_input") & near, "final_answer_awaiting_input").otherwise(status))
+    return lagged(out, some, run, order, _was=F.col("status")).where(~F.col("status").eqNullSafe(F.col("_was"))).drop("_was", "_near", "_final", PART)

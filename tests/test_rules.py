@@ -167,3 +167,36 @@ def test_parts_of_texts_by_automaton(spark, monkeypatch):
         monkeypatch.setattr(Q, "GOLD_CHARS", chars)
         got = Q.holds(t, g, "k", "t", "g", "x", head=4 if chars == 600 else 32)
         assert got.columns == ["k", "g"] and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_cut_runs_give_the_rows_of_whole_runs(spark, monkeypatch):
+    """One run with most rows, a null run, nulls in values: every window function over runs that are cut, against runs in one window each."""
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3, None]), n, rng.choice(["a", "b", "b", "end", "plan", "wait", None]), rng.choice([None, 1.5, 2.0, 7.0]), rng.choice([None, True, False])) for n in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "run long, at long, kind string, x double, flag boolean").repartition(3)
+    kind = F.col("kind")
+    jobs = {
+        "seq": lambda d: W.message_seq(d, "run", "at"),
+        "repeated": lambda d: W.repeated_steps(d, "run", ["at"], F.when(kind != "wait", kind), F.coalesce(kind == "end", F.lit(False))),
+        "unknown separators": lambda d: W.repeated_steps(d, "run", ["at"], kind, F.col("flag")),
+        "failed": lambda d: W.failed_steps(d, "run", ["at"], F.when(kind.isin("plan", "end"), kind), "plan"),
+        "changed": lambda d: W.changed(d, "run", ["at"], F.when(F.col("at") % 50 > 20, kind)),
+        "timing": lambda d: W.check_timing(d, "run", ["at"], F.col("x")),
+        "budget": lambda d: W.token_budget(d, "run", ["at"], F.col("at") % 7, 400),
+        "phase": lambda d: W.phase_tag(d, "run", ["at"], kind == "plan"),
+        "status": lambda d: W.derived_status(d.withColumnRenamed("kind", "status"), "run", ["at"], F.when(F.col("status") == "wait", "awaiting_input").otherwise(F.col("status")), F.col("flag")),
+    }
+    whole = {name: job(df) for name, job in jobs.items()}
+    want = {name: sorted(map(str, d.collect())) for name, d in whole.items()}
+    monkeypatch.setattr(W, "RUN_ROWS", 40)
+    parts = W.cut(df, "run", ["at"])[0]
+    held = {(r.run, r[W.PART]): r["count"] for r in parts.groupBy("run", W.PART).count().collect()}
+    assert len([1 for run, part in held if run == 1 and part]) >= 4 and {part for run, part in held if run == 2} and max(held.values()) < 150
+    for name, job in jobs.items():
+        got = job(df)
+        assert got.columns == whole[name].columns and [f.dataType for f in got.schema] == [f.dataType for f in whole[name].schema], name
+        assert sorted(map(str, got.collect())) == want[name], name
+    own = sorted(r[1] for r in rows if r[0] == 1)
+    assert {r.at: r.seq for r in jobs["seq"](df).where("run = 1").collect()} == {at: n + 1 for n, at in enumerate(own)}
+    assert jobs["timing"](df.limit(0)).count() == 0
