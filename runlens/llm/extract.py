@@ -2,9 +2,11 @@
 
 A page is labelled by its own article or main element. What labelled pages of a
 sample hold inside and outside it gives log odds to each kind of tag (tag and
-class, id or role token): the scan's weights come from them, and so do the marks
-of elements whose words count against a run and are left out of it. A list of
-elements and tokens is only a prior for kinds that the sample tells little of.
+class, id or role token). The scan's weights are these log odds: tags score
+negative, words positive, but negative by the log odds of a boilerplate element
+around them, so that the run's borders are the scan's alone. Elements marked as
+boilerplate are left out only where the run goes on before and after them. A list
+of elements and tokens is only a prior for kinds that the sample tells little of.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from .common import importable, table
 
 #: Labelled pages that fit the weights on average, chosen by a hash of page_id, and the times that a kind must be met in them.
 SAMPLE, LEAST_MET = 4000, 3
-#: Weights of tags lie between these; elements with log odds below MARKED are boilerplate.
+#: Weights of tags lie between these; elements with log odds below MARKED are boilerplate, and their words weigh as much, without a bound.
 LEAST, MOST, MARKED = -3.0, -0.02, -1.0
 #: Pseudo-counts (inside, outside) of kinds on the list below, and of others.
 LISTED, PLAIN = (0.5, 4.5), (0.5, 0.5)
@@ -51,12 +53,20 @@ def names(attrs: str) -> list[str]:
 
 @dataclass
 class Element:
-    """``words``: all in it; ``plain``: without those in marked elements inside; ``off``: marked as boilerplate, alone or by what holds it."""
+    """``words``: all in it; ``plain``: without those in marked elements inside; ``off``: marked as boilerplate, alone or by what holds it.
+
+    ``pro`` and ``con``: log odds of its own kind, and the least of those that tell against it; ``inner``: within
+    an article or main element; ``weight``: the scan's weight of one of its words.
+    """
 
     tag: str
     up: int
     kinds: tuple[str, ...] = ()
     marked: bool = False
+    pro: float = 0.0
+    con: float = 0.0
+    inner: bool = False
+    weight: float = 1.0
     words: int = 0
     plain: int = 0
     off: bool = False
@@ -93,21 +103,25 @@ class Weights:
         kind = kind.lstrip("/")
         return min(MOST, max(LEAST, self.of(kind if kind in self.counts or listed(kind) else kind.split(".")[0])))
 
-    def marks(self, e: Element, in_main: bool) -> bool:
-        """Whether an element is boilerplate: by any token of its class, id or role, or by its tag if that is one of PARTS; a header in the main element isn't."""
+    def weigh(self, e: Element) -> None:
+        """Set ``pro``, ``con`` and ``marked``: by any token of its class, id or role, or by its tag if that is one of PARTS; a header in the main element isn't boilerplate."""
+        e.pro = self.of(e.kinds[0])
         if e.tag in ("html", "body", "article", "main"):
-            return False
-        named = [k for k in e.kinds if "." in k and not (in_main and k.endswith(".header"))]
-        bare = e.tag in PARTS and not (in_main and e.tag == "header")
-        return min([*map(self.of, named), self.of(e.tag) if bare else 0.0]) < MARKED
+            return
+        named = [k for k in e.kinds if "." in k and not (e.inner and k.endswith(".header"))]
+        bare = e.tag in PARTS and not (e.inner and e.tag == "header")
+        e.con = min([*map(self.of, named), self.of(e.tag) if bare else 0.0])
+        e.marked = e.con < MARKED
 
 
 def settle(elements: list[Element]) -> None:
-    """Set ``off``: marks fall from what holds the main element, the greatest article or, on a page of neither, over half of the words.
+    """Set ``off`` and ``weight``: marks fall from what holds the main element, the greatest article or, on a page of neither, over half of the words.
 
     An article lifts the mark of an element only with half or more of its plain
     words, so that one of many comments doesn't. Nav, footer and the like keep
-    theirs on a page of neither.
+    theirs on a page of neither. Words of a marked element weigh its log odds,
+    or nothing inside an article or main element, where they don't tell that it
+    has ended; others weigh the log odds of their element, 1 at least.
     """
     total = sum(e.words for e in elements)
     for e in reversed(elements):
@@ -126,7 +140,14 @@ def settle(elements: list[Element]) -> None:
     for e in elements:
         if not cores and e.marked and (e.tag == "form" or e.tag not in ASIDE) and 2 * e.plain > total:
             e.marked = False
-        e.off = e.marked or e.up >= 0 and elements[e.up].off
+        up = elements[e.up] if e.up >= 0 else None
+        e.off = e.marked or up is not None and up.off
+        if up is not None and up.off:
+            e.weight = up.weight
+        elif e.marked:
+            e.weight = 0.0 if e.inner else e.con
+        else:
+            e.weight = max(1.0, e.pro)
 
 
 def parse(page: str, weights: Weights) -> tuple[list[tuple[str, str, int, bool]], list[Element]]:
@@ -162,8 +183,8 @@ def parse(page: str, weights: Weights) -> tuple[list[tuple[str, str, int, bool]]
         if tag == "p" and stack and stack[-1][0] == "p":
             stack.pop()
             here = stack[-1][2] if stack else 0
-        e = Element(tag, here, tuple(f"{tag}.{w}" for w in words) or (tag,))
-        e.marked = weights.marks(e, mains > 0)
+        e = Element(tag, here, tuple(f"{tag}.{w}" for w in words) or (tag,), inner=mains > 0)
+        weights.weigh(e)
         elements.append(e)
         stack.append((tag, kind, len(elements) - 1))
         mains += tag in ("article", "main")
@@ -197,21 +218,25 @@ def counted(page: str) -> Counter[tuple[str, bool]]:
 
 
 def main_text(page: str, weights: Weights) -> str:
-    """Text of the best run: words count 1 (-1 in boilerplate), tags their weight; one scan finds the run with the greatest sum, the first of equal ones."""
-    parsed, elements = parse(page, weights)
+    """Text of the best run: one scan over the weights of words and tags finds the run with the greatest sum, the first of equal ones.
+
+    Marked elements are left out of it only between words that score above 0.
+    """
+    items, elements = parse(page, weights)
     settle(elements)
-    items = [(kind, text, elements[at].off, block) for kind, text, at, block in parsed]
-    start, stop = best_run([weights.tag(kind) if kind else len(text.split()) * (-1 if aside else 1) for kind, text, aside, _ in items])
+    scores = [len(text.split()) * elements[at].weight if not kind else MOST if elements[at].off and not elements[at].weight else weights.tag(kind) for kind, text, at, _ in items]
+    start, stop = best_run(scores)
+    above = [i for i in range(start, stop) if scores[i] > 0] or [start]
     blocks: list[str] = []
     held: list[str] = []
-    for kind, text, aside, block in [*items[start:stop], ("p", "", False, True)]:
+    for i, (kind, text, at, block) in [*enumerate(items[start:stop], start), (stop, ("p", "", 0, True))]:
         if block:
             if joined := " ".join("".join(held).split()):
                 blocks.append(joined)
             held = []
         elif kind.startswith("br"):
             held.append(" ")
-        elif not kind and not aside:
+        elif not kind and not (elements[at].off and above[0] < i < above[-1]):
             held.append(html.unescape(text))
     return "\n".join(blocks)
 
@@ -249,10 +274,10 @@ def fit(pages: DataFrame) -> dict[str, tuple[int, int]]:
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row.
 
-    The text is that of the best run, without the elements inside it that are
-    marked as boilerplate (menus, headers and footers of the page, sidebars,
-    notices, adverts, forms, comments), but not without the article that such an
-    element itself wraps. Without labelled pages the prior alone decides.
+    The text is that of the best run, without the elements that are marked as
+    boilerplate (menus, headers and footers of the page, sidebars, notices,
+    adverts, forms, comments) between its words, but not without the article that
+    such an element itself wraps. Without labelled pages the prior alone decides.
     Null or empty html, and pages without words, give an empty text. Unclosed
     tags end with what holds them; a stray '<' is text. Repeated rows stay.
     """

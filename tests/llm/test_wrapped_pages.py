@@ -49,6 +49,49 @@ def test_learned_kinds_override_the_list_and_are_marked_without_it():
     assert "buy it now" not in extract.main_text(body, learned) and "people say" in extract.main_text(body, learned)
 
 
+def learned_pages(n):
+    """Pages like the given table's: title, menu, advert, article, footer; the counts are learned from all of them."""
+    rng = random.Random(5)
+    words = lambda least, most: " ".join(rng.choice(["ab", "cd", "efg", "hi&amp;"]) for _ in range(rng.randrange(least, most)))
+    out, counts = [], {}
+    for _ in range(n):
+        title, paragraphs = words(3, 9), [words(1, 60) for _ in range(rng.randrange(1, 9))]
+        menu = "".join(f"<li><a href='/x'>{words(1, 3)}</a></li>" for _ in range(6))
+        article = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+        page = f"<html><head><title>{title}</title></head><body><nav><ul>{menu}</ul></nav><div class='ad'>{words(4, 40)}</div><article>{article}</article><footer>{words(4, 40)}</footer></body></html>"
+        out.append((page, "\n".join([title, *paragraphs]).replace("&amp;", "&")))
+        for (kind, inside), m in extract.counted(page).items():
+            a, b = counts.get(kind, (0, 0))
+            counts[kind] = (a + m, b) if inside else (a, b + m)
+    return out, counts
+
+
+def test_the_scan_alone_finds_the_borders(monkeypatch):
+    pages, counts = learned_pages(60)
+    monkeypatch.setattr(extract, "listed", lambda kind: False)  # weights as learned, no prior
+    weights, settle = extract.Weights(counts), extract.settle
+    assert all(extract.main_text(page, weights) == text for page, text in pages)
+
+    def unmarked(elements):
+        settle(elements)
+        for e in elements:
+            e.off = False
+
+    with monkeypatch.context() as patch:  # nothing is left out by a mark: the run is the article
+        patch.setattr(extract, "settle", unmarked)
+        assert all(extract.main_text(page, weights) == text for page, text in pages)
+    with monkeypatch.context() as patch:  # without the scan no page comes out right
+        patch.setattr(extract, "best_run", lambda scores: (0, len(scores)))
+        assert not any(extract.main_text(page, weights) == text for page, text in pages)
+
+
+def test_marks_cut_only_between_words_of_the_run():
+    _, counts = learned_pages(60)
+    weights = extract.Weights(counts)
+    page = f"<body><div class='ad'>buy one</div><article><p>first part</p><div class='ad'>{'buy two now ' * 40}</div><p>second</p><div class='ad'>buy three</div></article><footer>f</footer></body>"
+    assert extract.main_text(page, weights) == "first part\nsecond"
+
+
 def test_counts_of_a_labelled_page():
     page = "<html><body><nav class=top><a>m</a></nav><div id=w><article><p>x</p><div class=ad><p>y</p></div></article></div></body></html>"
     got = extract.counted(page)
