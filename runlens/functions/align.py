@@ -134,8 +134,8 @@ def without_repeats(xs: Column) -> Column:
     return F.filter(xs, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(xs, i - 1)))
 
 
-def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays."""
+def common_lengths(a: Column, b: Column) -> Column:
+    """Lengths of the longest common subsequence of an array with each prefix of ``b``, from its first item on."""
     none = F.transform(b, lambda _: F.lit(0))
 
     def step(row: Column, x: Column) -> Column:
@@ -146,7 +146,31 @@ def common_length(a: Column, b: Column) -> Column:
 
         return F.aggregate(F.transform(b, lambda _, j: j), F.array().cast("array<int>"), cell)
 
-    return F.coalesce(F.array_max(F.aggregate(a, none, step)), F.lit(0))
+    return F.aggregate(a, none, step)
+
+
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays."""
+    return F.coalesce(F.array_max(common_lengths(a, b)), F.lit(0))
+
+
+def path_summary(gold: Column, steps: Column) -> Column:
+    """The common length of ``steps`` with every stretch of the gold path, as the rows of a square array<int>: place (i, j) is that of gold[i:j], 0 unless i < j.
+
+    Summaries of two stretches of a run give that of both, see ``joined_summary``.
+    """
+    m = F.size(gold)
+    return F.flatten(F.transform(F.sequence(F.lit(0), m), lambda i: F.concat(F.array_repeat(F.lit(0), i + 1), common_lengths(steps, F.slice(gold, i + 1, m - i)))))
+
+
+def joined_summary(first: Column, then: Column, m: Column) -> Column:
+    """The summary of a stretch and the one after it: the gold path is cut where both parts together are longest."""
+
+    def cell(p: Column) -> Column:
+        i, j = F.floor(p / (m + 1)).cast("int"), p % (m + 1)
+        return F.when(j <= i, 0).otherwise(F.array_max(F.transform(F.sequence(i, F.greatest(i, j)), lambda k: F.get(first, i * (m + 1) + k) + F.get(then, k * (m + 1) + j))))
+
+    return F.transform(F.sequence(F.lit(0), (m + 1) * (m + 1) - 1), cell)
 
 
 def path_score(gold: Column, pred: Column) -> Column:

@@ -13,10 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.align import joined_summary, path_summary, without_repeats
 from .search import sized, written
 
 #: Rows of a run in one window, and the column that numbers the parts of longer runs (0 in others).
 RUN_ROWS, PART = 5_000_000, "_part"
+#: Steps of a path in one array, and summaries that are joined at once.
+STEPS, SUMMARIES = 4096, 64
 
 
 def cut(df: DataFrame, run: str, order: list[str]) -> tuple[DataFrame, bool]:
@@ -164,6 +167,32 @@ def token_budget(df: DataFrame, run: str, order: list[str], tokens: Column, limi
     return rows.withColumn("running", plus(within, F.col("_newer")) if some else within).where(F.col("running") <= limit).drop("_newer", PART)
 
 
+def path_scores(df: DataFrame, run: str, order: list[str], step: Column, gold: Column) -> DataFrame:
+    """run, score, last of every run: steps of the gold path that the run walks in order, both without immediate repeats, and the run's last step.
+
+    The gold path is an array, the same in all rows of a run; the score is null
+    where it is null or empty. A run is never one array: stretches of STEPS steps
+    are summed up by their common lengths with every part of the gold path, and
+    SUMMARIES neighbours become one in each round, until each run has one.
+    """
+    most = df.groupBy(run).count().agg(F.max("count")).first()[0] or 0
+    rows, some = cut(df.select(run, *order, F.struct(step.alias("v")).alias("_step"), gold.alias("_gold")), run, order)
+    rows = lagged(rows, some, run, order, _was=F.col("_step")).where(~F.col("_step").eqNullSafe(F.col("_was")))
+    at = F.row_number().over(Window.partitionBy(run, PART).orderBy(*order))
+    path = F.transform(F.sort_array(F.collect_list(F.struct(*order, "_step"))), lambda x: x["_step"]["v"])
+    held = rows.withColumn("_at", F.floor((at - 1) / STEPS)).groupBy(run, PART, "_at").agg(path.alias("_path"), F.first("_gold").alias("_gold"))
+    held = held.withColumn("_gold", without_repeats(F.coalesce("_gold", F.array().cast(df.select(gold).schema[0].dataType))))
+    out = held.select(run, PART, "_at", "_gold", path_summary(F.col("_gold"), F.col("_path")).alias("_sum"), F.struct(F.element_at("_path", -1).alias("v")).alias("_last"))
+    stretches = 1 if most <= STEPS else -(-most // STEPS) + -(-most // RUN_ROWS) + 1  # at most
+    while stretches > 1:
+        out = out.withColumn("_n", F.row_number().over(Window.partitionBy(run).orderBy(PART, "_at")) - 1).withColumn("_at", F.floor(F.col("_n") / SUMMARIES))
+        out = out.groupBy(run, "_at").agg(F.sort_array(F.collect_list(F.struct("_n", "_sum"))).alias("_sums"), F.first("_gold").alias("_gold"), F.max_by("_last", "_n").alias("_last"))
+        sums = F.transform("_sums", lambda x: x["_sum"])
+        out = out.withColumn("_sum", F.aggregate(F.slice(sums, 2, SUMMARIES), F.get(sums, F.lit(0)), lambda a, b: joined_summary(a, b, F.size("_gold")))).withColumn(PART, F.lit(0))
+        stretches = -(-stretches // SUMMARIES)
+    return out.select(run, F.when(F.size("_gold") > 0, F.get("_sum", F.size("_gold"))).cast("double").alias("score"), F.col("_last.v").alias("last"))
+
+
 def phase_tag(df: DataFrame, run: str, order: list[str], plan: Column) -> DataFrame:
     """planning until a plan was seen and the current row is none."""
     rows, some = cut(df.withColumn("_plan", plan.cast("int")), run, order)

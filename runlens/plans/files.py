@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import align as A
 from ..functions import plans as P
+from ..operators import sequences as W
 from ..sources import runs, sinks, tasks
 from .base import query
 
@@ -129,7 +130,7 @@ FUNNEL = ["signup", "view", "click", "purchase"]
 
 
 def paths(t):
-    return t("events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("path"))
+    return W.path_scores(t("events"), "user_id", ["ts", "event_id"], F.col("event_type"), F.array(*map(F.lit, FUNNEL)))
 
 
 def path_sql(select: str) -> str:
@@ -141,14 +142,13 @@ def path_sql(select: str) -> str:
 
 @query("F15_path_score", path_sql("SELECT user_id, score FROM s"))
 def f15(t):
-    return paths(t).select("user_id", A.path_score(F.array(*map(F.lit, FUNNEL)), F.col("path")).alias("score"))
+    return paths(t).select("user_id", "score")
 
 
 @query("F16_score_custom", path_sql("SELECT user_id, 'intermediate_url_list' AS key, score FROM s UNION ALL SELECT user_id, 'target_final_url', CAST(path LIKE '%purchase' AS DOUBLE) FROM s WHERE user_id % 2 = 0"))
 def f16(t):
-    path = A.path_score(F.array(*map(F.lit, FUNNEL)), F.col("path"))
-    last = F.when(F.col("user_id") % 2 == 0, (F.element_at("path", -1) == "purchase").cast("double"))
-    scores = A.score_custom(intermediate_url_list=path, target_final_url=last, answer=F.lit(None))
+    last = F.when(F.col("user_id") % 2 == 0, (F.col("last") == "purchase").cast("double"))
+    scores = A.score_custom(intermediate_url_list=F.col("score"), target_final_url=last, answer=F.lit(None))
     return paths(t).select("user_id", F.explode(scores).alias("key", "score"))
 
 

@@ -200,3 +200,30 @@ def test_cut_runs_give_the_rows_of_whole_runs(spark, monkeypatch):
     own = sorted(r[1] for r in rows if r[0] == 1)
     assert {r.at: r.seq for r in jobs["seq"](df).where("run = 1").collect()} == {at: n + 1 for n, at in enumerate(own)}
     assert jobs["timing"](df.limit(0)).count() == 0
+
+
+def walked(gold, steps):
+    """Longest common subsequence without immediate repeats, by its table."""
+    a, b = ([x for i, x in enumerate(xs) if i == 0 or x != xs[i - 1]] for xs in (gold or [], steps))
+    row = [0] * (len(a) + 1)
+    for y in b:
+        new = [0]
+        for j, x in enumerate(a):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return float(row[-1]) if a else None
+
+
+@pytest.mark.parametrize("steps, summaries, rows", [(4096, 64, 5_000_000), (7, 3, 5_000_000), (5, 2, 60)])
+def test_path_scores_of_cut_runs(spark, monkeypatch, steps, summaries, rows):
+    rng = random.Random(steps)
+    golds = {0: list("abcab"), 1: list("aabbc"), 2: ["d"], 3: [], 4: None, None: list("cba")}
+    runs = {run: [rng.choice(["a", "b", "c", "d", None]) for _ in range(n)] for run, n in zip(golds, (150, 33, 8, 5, 9, 1))}
+    data = [(run, at, x, golds[run], 0) for run, xs in runs.items() for at, x in enumerate(xs)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "run long, at int, step string, gold array<string>, _at int")
+    for name, value in (("STEPS", steps), ("SUMMARIES", summaries), ("RUN_ROWS", rows)):
+        monkeypatch.setattr(W, name, value)
+    got = W.path_scores(df, "run", ["at"], F.col("step"), F.col("gold"))
+    assert {r.run: (r.score, r.last) for r in got.collect()} == {run: (walked(golds[run], xs), xs[-1]) for run, xs in runs.items()}
+    assert W.path_scores(df.limit(0), "run", ["at"], F.col("step"), F.col("gold")).count() == 0
