@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +15,8 @@ from .common import ROW, chosen, join_sized, numbered, sliced, stored, table, te
 
 #: Labelled rows that fit the document classifier on average, chosen by a hash of doc_id.
 SAMPLE = 50_000
+#: Penalty on standardised weights, and rounds of its fit at most.
+PENALTY, ROUNDS = 1e-4, 40
 FEATURES = ["log_words", "mean_word", "upper", "digit", "mark", "run", "bang", "bar", "distinct", "top_word", "same_line", "repeat", "letter", "short_line"]
 RUNS = re.compile(rb"[!-/:-@\[-`{-~]{2,}")
 
@@ -73,16 +73,65 @@ def strength(groups: DataFrame, prior: Column) -> float:
     return float(min(10_000.0, max(1.0, v / between - 1 if between > 0 else 10_000.0)))
 
 
+def summed(train: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all rows (x, y) of ``of``, which gives ``size`` sums of a batch: by tasks, then by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["place", "value"])
+
+    out = np.zeros(size)
+    for r in train.select("x", "y").mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():
+        out[r.place] = r.value
+    return out
+
+
 def fit_score(x: DataFrame, labels: DataFrame) -> tuple[list[float], float]:
-    """Weights and intercept of a logistic regression on labelled rows (x, y)."""
+    """Weights and intercept of a logistic regression on labelled rows (x, y).
+
+    Newton's method on standardised features: tasks sum loss, gradient and
+    curvature, the driver gets one number for each pair of features.
+    """
     n = labels.count()
     rows = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, n)) * (1 << 30))
-    train = x.join(rows, "doc_id").select(array_to_vector("x").alias("x"), F.col("y").cast("double").alias("y"))
-    kinds = [r.y for r in train.select("y").distinct().collect()]
-    if len(kinds) < 2:  # nothing to tell apart
-        return [0.0] * len(FEATURES), (4.0 if kinds and kinds[0] > 0.5 else -4.0) if kinds else 0.0
-    model = LogisticRegression(featuresCol="x", labelCol="y", regParam=1e-4, maxIter=60).fit(train)
-    return [float(w) for w in model.coefficients], float(model.intercept)
+    train = stored(x.join(rows.hint("merge"), "doc_id").select("x", F.col("y").cast("double").alias("y")), "train")
+    m = len(FEATURES)
+    n, good, *moments = summed(train, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * m)
+    if good in (0, n):  # nothing to tell apart
+        return [0.0] * m, (4.0 if good else -4.0) if n else 0.0
+    mean = np.array(moments[:m]) / n
+    spread = np.sqrt(np.maximum(0, np.array(moments[m:]) / n - mean * mean))
+    spread[spread < 1e-9] = 1.0
+    bound = np.array([PENALTY] * m + [0.0])
+
+    def sums_at(at: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        def of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            x = np.hstack([(x - mean) / spread, np.ones((len(y), 1))])
+            z = x @ at
+            p = np.exp(-np.logaddexp(0, -z))
+            return np.concatenate([[(np.logaddexp(0, z) - y * z).sum()], x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+
+        return of
+
+    at = held = np.array([0.0] * m + [log(good / (n - good))])
+    step, least = np.zeros(m + 1), np.inf
+    for _ in range(ROUNDS):
+        loss, *rest = summed(train, sums_at(at), 1 + (m + 1) * (m + 2)) / n
+        loss += (bound * at * at).sum() / 2
+        if loss > least + 1e-12:  # too far
+            step = step / 2
+        else:
+            held, least = at, loss
+            slope, curve = np.array(rest[: m + 1]) + bound * at, np.array(rest[m + 1 :]).reshape(m + 1, m + 1)
+            step = -np.linalg.solve(curve + np.diag(bound + 1e-9), slope)
+        if np.abs(step).max() < 1e-5:
+            break
+        at = held + step
+    weights = held[:m] / spread
+    return weights.tolist(), float(held[m] - weights @ mean)
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, label: str = "quality", threshold: float = 0.3, more: tuple[str, ...] = ()) -> DataFrame:
