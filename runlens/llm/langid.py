@@ -69,6 +69,11 @@ def mixed(codes: np.ndarray, k: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)
 
 
+def mask_type(languages: int) -> type:
+    """The narrowest integer with a bit for each language, of 64 at most."""
+    return next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if languages <= 8 * np.dtype(t).itemsize or t is np.uint64)
+
+
 @dataclass
 class Filters:
     """``bits``: for each 64 languages and filter position, a mask of languages; ``false``: each language's rate of false positives."""
@@ -79,7 +84,7 @@ class Filters:
 
     @classmethod
     def of(cls, languages: list[str], bits: np.ndarray) -> Filters:
-        bits = bits.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * np.dtype(t).itemsize or t is np.uint64))
+        bits = bits.astype(mask_type(len(languages)), copy=False)
         filled = np.array([np.count_nonzero(bits[i // 64] >> bits.dtype.type(i % 64) & bits.dtype.type(1)) for i in range(len(languages))])
         return cls(languages, bits, (filled / (1 << BITS)) ** HASHES)
 
@@ -149,14 +154,15 @@ def fit(train: DataFrame) -> Filters:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at // 64, to >> CHUNK, to & ((1 << CHUNK) - 1), bit)], ["plane", "chunk", "cell", "bit"])
 
     def chunk(group: pa.Table) -> pa.Table:
-        out = np.zeros(1 << CHUNK, np.uint64)
-        np.bitwise_or.at(out, group["cell"].to_numpy(), group["bit"].to_numpy().view(np.uint64))
+        out = np.zeros(1 << CHUNK, kind)
+        np.bitwise_or.at(out, group["cell"].to_numpy(), group["bit"].to_numpy().view(np.uint64).astype(kind))
         return pa.table({"plane": group["plane"][:1].combine_chunks(), "chunk": group["chunk"][:1].combine_chunks(), "words": pa.array([out.tobytes()], pa.binary())})
 
-    bits = np.zeros((-(-len(languages) // 64), 1 << (BITS - CHUNK), 1 << CHUNK), np.uint64)
+    kind = mask_type(len(languages))
+    bits = np.zeros((-(-len(languages) // 64), 1 << (BITS - CHUNK), 1 << CHUNK), kind)
     cells = held.mapInArrow(place, "plane long, chunk long, cell long, bit long")
     for r in stored(cells.groupBy("plane", "chunk").applyInArrow(chunk, "plane long, chunk long, words binary"), "filters").toLocalIterator():
-        bits[r.plane, r.chunk] = np.frombuffer(r.words, np.uint64)
+        bits[r.plane, r.chunk] = np.frombuffer(r.words, kind)
     return Filters.of(languages, bits.reshape(len(bits), -1))
 
 
