@@ -154,15 +154,13 @@ def f16(t):
 
 @query("S4_read_run_dirs", "SELECT source AS benchmark, coalesce(lang, 'none') AS split, CAST(doc_id AS VARCHAR) AS task_id, coalesce(text, '') AS answer, CAST(quality AS DOUBLE) AS score, CAST(doc_id AS DOUBLE) / 10 AS duration FROM documents JOIN labels USING (doc_id)")
 def s4(t):
-    """Answers, scores and times of each labelled document, written as run directories and read again."""
+    """Answers, scores and times of each labelled document, written as one file in a run directory, from which each of the three is read again."""
     root = sinks.scratch(t.spark, "runs")
     d = t("documents").select("doc_id", "text", "source", "lang").join(t("labels"), "doc_id")
     level = [F.lit("runlens").alias("system"), F.col("source").alias("benchmark"), F.coalesce("lang", F.lit("none")).alias("split"), F.lit("0").alias("run_id"), F.col("doc_id").cast("string").alias("task_id")]
-    kinds = {"answers": F.coalesce("text", F.lit("")).alias("answer"), "scores": F.col("quality").cast("double").alias("score"), "times": (F.col("doc_id") / 10).alias("duration")}
-    out = {}
-    for name, value in kinds.items():
-        runs.write_run_dirs(d.select(*level, value), f"{root}/{name}")
-        out |= runs.read_run_dirs(t.spark, f"{root}/{name}", {name: "part-*.json"})
+    values = [F.coalesce("text", F.lit("")).alias("answer"), F.col("quality").cast("double").alias("score"), (F.col("doc_id") / 10).alias("duration")]
+    runs.write_run_dirs(d.select(*level, *values), root)
+    out = runs.read_run_dirs(t.spark, root, {name: "part-*.json" for name in ("answers", "scores", "times")})
     scores = out["scores"].select(*runs.LEVELS, F.col("score")["score"].alias("score"))
     whole = out["answers"].select(*runs.LEVELS, "answer").join(scores, runs.LEVELS, "left").join(out["times"].select(*runs.LEVELS, "duration"), runs.LEVELS, "left")
     return whole.drop("system", "run_id")

@@ -26,17 +26,23 @@ def read_run_dirs(spark: SparkSession, root: str, files: dict[str, str] | None =
     The path's last five levels become columns (without a leading ``name=``). A
     score is a map always: a number is ``{"score": x}``. Usage has a row a client.
     Files that don't parse give nulls. ``files`` names the tables to read, and
-    their files where those are called otherwise.
+    their files where those are called otherwise. Folders are listed by tasks;
+    the driver looks for those of runs, and for folders of tasks that Spark
+    takes for hidden ones.
     """
-    out = {}
+    out, root = {}, root.rstrip("/")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    depth = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).depth() + len(LEVELS) + 1
     for name, file in (files or {n: f for n, (f, _) in RUN_FILES.items()}).items():
         schema = RUN_FILES[name][1]
-        paths = f"{root.rstrip('/')}/*/*/*/*/*/{file}"
+        files_of = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file)
+        paths = f"{root}/*/*/*/{{*,*/[_.]*}}"
         if name == "usage":
-            df = spark.read.text(paths, wholetext=True).select(F.from_json("value", schema.split(" ", 1)[1]).alias("value"), F.col("_metadata.file_path").alias("path"))
+            df = files_of.text(paths, wholetext=True).select(F.from_json("value", schema.split(" ", 1)[1]).alias("value"), F.col("_metadata.file_path").alias("path"))
             df = df.select(F.explode("value").alias("client", "use"), "path").select("client", "use.*", "path")
         else:
-            df = spark.read.schema(schema).json(paths, multiLine=True).select("*", F.col("_metadata.file_path").alias("path"))
+            df = files_of.schema(schema).json(paths, multiLine=True).select("*", F.col("_metadata.file_path").alias("path"))
+        df = df.where(F.size(F.split(F.regexp_replace("path", "^[^:/]+:(//[^/]*)?", ""), "/")) == depth + 1)  # files of the tasks' folders alone
         if name == "scores":
             number = F.col("score").try_cast("double")
             df = df.withColumn("score", F.when(number.isNotNull(), F.create_map(F.lit("score"), number)).otherwise(F.from_json("score", "map<string,double>")))
@@ -47,8 +53,18 @@ def read_run_dirs(spark: SparkSession, root: str, files: dict[str, str] | None =
 
 
 def write_run_dirs(rows: DataFrame, root: str) -> None:
-    """A folder ``root/system=…/benchmark=…/split=…/run_id=…/task_id=…`` of JSON for each task, of the columns besides LEVELS."""
-    rows.repartition(*LEVELS).write.partitionBy(*LEVELS).json(root)
+    """A folder ``root/system=…/benchmark=…/split=…/run_id=…/task_id=…`` of JSON for each task, of the columns besides LEVELS.
+
+    ``root`` is new. Tasks are dealt over all cores, few bytes or many, and each
+    moves its own files in; moving all of them at the end is the driver's work
+    alone, and far slower.
+    """
+    spread(rows, *LEVELS).write.partitionBy(*LEVELS).option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(root)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to a few tasks for each core: for work that goes by files or rows, not by bytes."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def list_modified_files(spark: SparkSession, root: str, start: str, end: str) -> DataFrame:

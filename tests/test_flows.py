@@ -56,6 +56,19 @@ def test_run_dirs(spark, tmp_path):
     assert out["usage"].select("split", "run_id", "client", "prompt_tokens").first() == ("dev", "0", "web", 10)
 
 
+def test_run_dirs_of_odd_names_and_depths(spark, tmp_path):
+    """Tasks whose names look hidden are read, files above and below a task's folder aren't; few bytes are still dealt over many tasks."""
+    for task in ("t1", "_t2", ".t3", "t4/deep", ".."):
+        put(f"{tmp_path}/r/sys/bench/dev/0/{task}/times.json", '{"duration": 1.0}')
+    out = runs.read_run_dirs(spark, f"{tmp_path}/r/")
+    assert sorted(r.task_id for r in out["times"].collect()) == [".t3", "_t2", "t1"]
+    assert [out[name].count() for name in ("answers", "scores", "messages", "usage")] == [0, 0, 0, 0]
+    rows = spark.range(64).select(*(F.lit("x").alias(c) for c in runs.LEVELS[:-1]), F.col("id").cast("string").alias("task_id"), F.col("id").alias("duration"))
+    assert runs.spread(rows, *runs.LEVELS).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    runs.write_run_dirs(rows, f"{tmp_path}/w")
+    assert {r.task_id: r.duration for r in runs.read_run_dirs(spark, f"{tmp_path}/w", {"times": "part-*.json"})["times"].collect()} == {str(i): float(i) for i in range(64)}
+
+
 def test_modified_files(spark, tmp_path):
     for name, at in (("b.py", 1000), ("a.txt", 2000), ("late.txt", 9000), ("x.pyc", 1500), ("sub/c.py", 1000), ("y.cache", 1500), ("my__init__.py", 1200), ("__init__.py", 1200), ("__pycache__/z.py", 1200), ("a.cached/d.py", 1200)):
         put(f"{tmp_path}/{name}", "x")
