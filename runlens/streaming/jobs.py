@@ -96,9 +96,11 @@ def monitor(stream: DataFrame, run: str, ts: str, met: Column, error: Column, mo
 
     A check completes the monitor when ``met`` holds or it is number
     ``most_checks``; the third error aborts it; else it sleeps, after an error at
-    most 30 seconds. Rows after the end are ignored. Null flags count as false.
+    most 30 seconds, so one that fails as number ``most_checks`` or later leaves
+    the end to the next. Rows after the end are ignored. Null flags count as false.
     Within a batch rows run by event time and ``order``; they are read in chunks,
-    and no more of a run than the checks it has left are held. The state needs
+    and no more of a run than the checks it has left are held, errors beyond
+    ``most_checks`` among them. The state needs
     the RocksDB store, which ``appended`` and ``updated`` use.
     """
     rows = stream.select(F.col(run).cast("long").alias("run"), F.col(ts).alias("ts"), F.col(order).cast("long").alias("at"), F.coalesce(met, F.lit(False)).alias("met"), F.coalesce(error, F.lit(False)).alias("error"))
@@ -109,7 +111,7 @@ def monitor(stream: DataFrame, run: str, ts: str, met: Column, error: Column, mo
 
         def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             checks, errors, over = self.state.get() or (0, 0, False)
-            first, left = None, 0 if over else most_checks - checks
+            first, left = None, 0 if over else most_checks + MOST_ERRORS - 1 - checks
             for chunk in rows:
                 first = (chunk if first is None else pd.concat([first, chunk])).sort_values(["ts", "at"], kind="stable").head(left)
             out = []

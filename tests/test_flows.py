@@ -209,6 +209,16 @@ def test_monitor(spark, tmp_path):
     assert out == {1: [("sleeping", 60), ("sleeping", 60), ("complete", 0)], 2: [("error", 30), ("error", 30), ("aborted", 0)], 3: [("complete", 0)]}
 
 
+def test_monitor_goes_on_after_an_error_at_its_last_check(spark, tmp_path):
+    job = lambda s: R.monitor(s, "run", "ts", F.lit(False), F.col("kind") == "error", 2, 60, "at")
+    kinds = {1: "x error x x", 2: "x error error error x", 3: "error error x x", 4: "x x error"}
+    rows = [(run, n + 1, n + 1, kind) for run, said in kinds.items() for n, kind in enumerate(said.split())]
+    want = {1: ["sleeping", "error", "complete"], 2: ["sleeping", "error", "error", "aborted"], 3: ["error", "error", "complete"], 4: ["sleeping", "complete"]}
+    for name, parts in (("once", [rows]), ("twice", [[r for r in rows if r[1] <= 2], [r for r in rows if r[1] > 2]])):
+        got = replay(spark, f"{tmp_path}/{name}", parts, job).orderBy("run", "check_number").collect()
+        assert {run: [r.status for r in got if r.run == run] for run in kinds} == want
+
+
 def test_input_timeout(spark, tmp_path):
     job = lambda s: R.input_timeout(s, "run", "ts", "at", F.col("kind") == "wait")
     got = replay(spark, tmp_path, [[(r, 10_000, a, "wait") for r, a in ((1, 1), (2, 2), (3, 5))], [(2, 10_060, 3, "reply"), (1, 13_700, 4, "reply")], [(9, 99_000, 9, "reply")]], job)
