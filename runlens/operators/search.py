@@ -6,8 +6,10 @@ from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -18,6 +20,8 @@ from ..sources.sinks import scratch
 BROADCAST_ROWS = 50_000
 #: Characters of gold texts (and 64 for each) in one automaton.
 GOLD_CHARS = 4_000_000
+#: Products in a matrix of similarities.
+CELLS = 1 << 21
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -112,16 +116,88 @@ def holds(texts: DataFrame, golds: DataFrame, key: str, text: str, gold_key: str
 def relevant(rows: DataFrame, asks: DataFrame, key: str, vector: str, least: float) -> DataFrame:
     """query_id, key, similarity: for every asking row the most similar other row by cosine, if it reaches ``least``; ties to the smaller key.
 
-    Asking rows are a stated query set, broadcast in blocks.
+    Asking rows are a stated query set, broadcast in blocks; keys are whole
+    numbers. Vectors that are null, hold a null or have no length take no part,
+    nor do pairs of different sizes. Each task multiplies matrices of at most
+    CELLS products and works out exactly, item by item, what may be a query's
+    best by those; it sends one row a query.
     """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     v = F.transform(vector, lambda x: x.cast("double"))
-    e = rows.select(key, v.alias("_v")).withColumn("_n", norm(F.col("_v")))
-    q = written(asks.select(F.col(key).alias("query_id"), v.alias("_qv")).withColumn("_qn", norm(F.col("_qv"))), "asks")
-    dot = F.aggregate(F.zip_with("_v", "_qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    met = (e.join(F.broadcast(some), F.col(key) != F.col("query_id")).select("query_id", key, (dot / (F.col("_n") * F.col("_qn"))).alias("s")).where(F.col("s") >= least) for some in blocks(q, q.count(), "query_id"))
-    best = reduce(DataFrame.unionByName, met).groupBy("query_id").agg(F.max_by(F.struct(key, "s"), F.struct("s", -F.col(key))).alias("b"))
-    return best.select("query_id", f"b.{key}", F.col("b.s").alias("similarity"))
+    e = rows.select(F.col(key).cast("long").alias("key"), v.alias("v")).where(F.col("key").isNotNull()).withColumn("n", norm(F.col("v"))).where("n <> 0")
+    q = written(asks.select(F.col(key).cast("long").alias("key"), v.alias("v")).where(F.col("key").isNotNull()).withColumn("n", norm(F.col("v"))).where("n <> 0"), "asks")
+    parts = [e.mapInArrow(most_similar(some.toArrow(), q.sparkSession, least), "query_id long, key long, s double") for some in blocks(q, q.count(), "key")]
+    best = reduce(DataFrame.unionByName, parts).groupBy("query_id").agg(F.max_by(F.struct("key", "s"), F.struct("s", -F.col("key"))).alias("b"))
+    return best.select(F.col("query_id").cast(asks.schema[key].dataType).alias("query_id"), F.col("b.key").cast(rows.schema[key].dataType).alias(key), F.col("b.s").alias("similarity"))
+
+
+def most_similar(asks: pa.Table, spark: SparkSession, least: float):
+    """A function of batches (key, v, n) that gives the best (query_id, key, s) of its task for each row of ``asks``."""
+
+    def taken(table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(keys, vectors, lengths) of the rows of each size of vectors."""
+        size = pc.list_value_length(table.column("v"))
+        out = []
+        for d in pc.unique(size).to_pylist():
+            some = table.filter(pc.equal(size, d))
+            flat = pa.concat_arrays([c.flatten() for c in some.column("v").chunks]).to_numpy(zero_copy_only=False)
+            out.append((some.column("key").to_numpy(), flat.reshape(-1, d).astype(float), some.column("n").to_numpy()))
+        return out
+
+    def once(keys: np.ndarray, v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Without copies but the two with the least keys, as a query may be one of them."""
+        order = np.argsort(keys, kind="stable")
+        keys, v, n = keys[order], np.ascontiguousarray(v[order]), n[order]
+        numbers: dict[bytes, int] = {}
+        same = np.array([numbers.setdefault(x.tobytes(), len(numbers)) for x in v])
+        by = np.argsort(same, kind="stable")
+        kept = np.sort(by[np.concatenate([[True, True], same[by][2:] != same[by][:-2]])[: len(by)]])
+        return keys[kept], v[kept], n[kept]
+
+    cells, slack = CELLS, 1e-10  # far over what rounding makes of cosines
+    shared = spark.sparkContext.broadcast({v.shape[1]: (k[o], v[o], n[o]) for k, v, n in taken(asks) for o in [np.argsort(k, kind="stable")]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {d: (np.full(len(k), -np.inf), np.zeros(len(k), np.int64)) for d, (k, _, _) in shared.value.items()}
+        for batch in batches:
+            for keys, v, n in taken(pa.Table.from_batches([batch])):
+                d = v.shape[1]
+                if d not in found:
+                    continue
+                asked, w, m = shared.value[d]
+                score, its = found[d]
+                keys, v, n = once(keys, v, n)
+                unit = v / n[:, None]
+                step = max(1, cells // len(keys))
+                for at in range(0, len(asked), step):
+                    own = slice(at, at + step)
+                    s = (w[own] / m[own, None]) @ unit.T
+                    s[np.isnan(s)] = np.inf
+                    place = np.searchsorted(keys, asked[own])
+                    held = np.minimum(place, len(keys) - 1)
+                    for i in np.flatnonzero(keys[held] == asked[own]):
+                        s[i, held[i] : np.searchsorted(keys, asked[at + i], "right")] = -np.inf
+                    limit = np.maximum(np.maximum(s.max(1), score[own]) - slack, least - slack)
+                    i, j = np.nonzero(s >= limit[:, None])
+                    i += at
+                    exact = np.zeros(len(i))
+                    for x in range(d):
+                        exact += v[j, x] * w[i, x]
+                    exact /= n[j] * m[i]
+                    exact[np.isnan(exact)] = np.inf
+                    good = exact >= least
+                    i, j, exact = i[good], j[good], exact[good]
+                    order = np.lexsort((keys[j], -exact, i))
+                    i, j, exact = i[order], j[order], exact[order]
+                    first = np.flatnonzero(np.diff(i, prepend=-1))
+                    i, k, exact = i[first], keys[j[first]], exact[first]
+                    better = (exact > score[i]) | (exact == score[i]) & (k < its[i])
+                    score[i[better]], its[i[better]] = exact[better], k[better]
+        for d, (score, its) in found.items():
+            met = score > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[d][0][met]), pa.array(its[met]), pa.array(np.where(score == np.inf, np.nan, score)[met])], ["query_id", "key", "s"])
+
+    return run
 
 
 def fuzzy_find(names: DataFrame, asks: DataFrame, name: str, least: float = 0.2, top: int = 20) -> DataFrame:

@@ -1,7 +1,9 @@
 """Hand-worked cases of scorers, sequences, aggregates and URLs."""
 
+import functools
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,28 @@ def test_metrics(spark):
     assert ci.first()[0] == pytest.approx(0.0707, abs=1e-4)
     times = spark.createDataFrame([(1, -1.0), (1, 10.0), (1, 20.0)], "run int, d double")
     assert M.average_time(times, "run", "d").first()[1] == 15.0
+
+
+def test_relevant_by_matrices_equals_pairs(spark):
+    """Against every pair: copies, ties to the smaller key, own row left out, null and zero vectors, sizes that differ; matrices of at most CELLS products."""
+    rng = np.random.default_rng(4)
+    plain = [[float(x) for x in np.round(rng.normal(size=6), 1)] for _ in range(120)]
+    rows = dict(enumerate([*plain, *plain[:40], *[plain[0]] * 30, None, [1.0, None, 0.0, 0.0, 0.0, 0.0], [0.0] * 6, [1.0, 2.0], [2.0, 4.0], [-1.0, -2.0]]))
+    df = spark.createDataFrame([*rows.items()], "id int, v array<float>").repartition(5)
+
+    def cosine(a, b):
+        total = lambda p, q: functools.reduce(lambda s, x: s + x[0] * x[1], zip(p, q), 0.0)
+        return total(a, b) / (total(a, a) ** 0.5 * total(b, b) ** 0.5)
+
+    able = {i: [float(np.float32(x)) for x in v] for i, v in rows.items() if v and None not in v and any(v)}
+    want = {}
+    for i, v in able.items():
+        others = [(-cosine(v, u), j) for j, u in able.items() if j != i and len(u) == len(v)]
+        s, j = min(others)
+        if -s >= 0.5:
+            want[i] = (j, -s)
+    found = Q.relevant(df, df, "id", "v", 0.5)
+    assert found.dtypes == [("query_id", "int"), ("id", "int"), ("similarity", "double")]
+    assert {r.query_id: (r.id, r.similarity) for r in found.collect()} == {i: (j, pytest.approx(s, abs=1e-12)) for i, (j, s) in want.items()}
+    # a plan of pairs would have a join; the work goes to matrices, which few products bound
+    assert "Join" not in found._jdf.queryExecution().toString()
