@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strict_json
+from .text import let, strict_variant
 
 #: Sources and types of messages that a plan is learned from.
 LEARNABLE_SOURCES = ["user", "user_proxy", "web_surfer", "file_surfer", "orchestrator", "Orchestrator", "coder_agent-llm", "coder_agent-executor"]
@@ -66,7 +66,7 @@ def message_kind(type_: Column) -> Column:
 
 def parse_user_content(c: Column) -> Column:
     """struct(content, accepted, plan): of a JSON object, else the plain text as content."""
-    v = F.when(c.rlike(r"^\s*\{") & strict_json(c), F.try_parse_json(c))
+    v = F.when(c.rlike(r"^\s*\{"), strict_variant(c))
     get = lambda path, kind: F.try_variant_get(v, path, kind)
     return F.struct(F.coalesce(get("$.content", "string"), c).alias("content"), F.coalesce(get("$.accepted", "boolean"), F.lit(False)).alias("accepted"), F.to_json(get("$.plan", "variant")).alias("plan"))
 
@@ -97,7 +97,10 @@ def record_fault(c: Column, kind: str, agents: list[str] | None = None, monitors
     Steps need title, details and agent; with ``monitors`` one typed as a monitor
     needs a sleep and a condition too, and one of another type nothing.
     """
-    v = F.when(strict_json(c), F.try_parse_json(c))
+    return let(F.struct(strict_variant(c).alias("v")), lambda x: fault(x["v"], kind, agents, monitors))
+
+
+def fault(v: Column, kind: str, agents: list[str] | None, monitors: bool) -> Column:
     head = F.when(v.isNull(), "not json").when(~F.schema_of_variant(v).startswith("OBJECT"), "not an object")
     if kind == "check":
         return head.when(lacks(v, CHECK_KEYS), "missing keys")

@@ -70,14 +70,18 @@ def clean_number(c: Column) -> Column:
     """Number in a text without units; a comma is a decimal point; null if it isn't one."""
     bare = reduce(lambda out, m: F.replace(out, F.lit(m), F.lit("")), ["$", "%", "sqft", " square kilometers"], c)
     bare = strip(F.replace(bare, F.lit(","), F.lit(".")))
-    return F.when(bare.rlike(NUMBER), bare.cast("double"))
+    return let(bare, lambda b: F.when(b.rlike(NUMBER), b.cast("double")))
 
 
 def score_number(gold: Column, pred: Column) -> Column:
     """1 - ln(larger / smaller), at least 0; zeros count as 1e-4, other signs score 0; null if either is."""
     small = lambda x: F.when(x == 0, 1e-4).otherwise(x)
-    g, p = small(gold), small(pred)
-    return F.when(gold.isNull() | pred.isNull(), None).when((gold == 0) & (pred == 0), 1.0).when(g * p <= 0, 0.0).when(g < 0, F.when(g == p, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.ln(F.greatest(g, p) / F.least(g, p))))
+
+    def score(x: Column) -> Column:
+        gold, pred, g, p = x["gold"], x["pred"], small(x["gold"]), small(x["pred"])
+        return F.when(gold.isNull() | pred.isNull(), None).when((gold == 0) & (pred == 0), 1.0).when(g * p <= 0, 0.0).when(g < 0, F.when(g == p, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.ln(F.greatest(g, p) / F.least(g, p))))
+
+    return let(F.struct(gold.alias("gold"), pred.alias("pred")), score)
 
 
 def python_float(x: Column) -> Column:
@@ -92,15 +96,20 @@ def python_float(x: Column) -> Column:
         short = F.concat(part(1), part(2), F.when(more == "", "").otherwise(F.concat(F.lit("."), more)), F.lit("e"), power)
         return F.when(exp.between(7, 15), whole).when(exp == -4, F.concat(part(1), F.lit("0.000"), digits)).otherwise(short)
 
-    java = x.cast("string")
-    return F.when(F.isnan(x), "nan").when(java == "Infinity", "inf").when(java == "-Infinity", "-inf").when(java.contains("E"), scientific(java)).otherwise(java)
+    def told(java: Column) -> Column:
+        return F.when(java == "NaN", "nan").when(java == "Infinity", "inf").when(java == "-Infinity", "-inf").when(java.contains("E"), scientific(java)).otherwise(java)
+
+    return let(x.cast("string"), told)
 
 
 def as_float(c: Column) -> Column:
     """The number that a text is to Python, null if it is none."""
-    bare = F.lower(F.replace(strip(c), F.lit("_"), F.lit("")))
-    sign = F.when(bare.startswith("-"), -1.0).otherwise(1.0)
-    return F.when(c.rlike(FLOAT), F.when(bare.rlike("nan"), float("nan")).when(bare.rlike("inf"), sign * float("inf")).otherwise(bare.try_cast("double")))
+
+    def number(bare: Column) -> Column:
+        sign = F.when(bare.startswith("-"), -1.0).otherwise(1.0)
+        return F.when(bare.contains("nan"), float("nan")).when(bare.contains("inf"), sign * float("inf")).otherwise(bare.try_cast("double"))
+
+    return let(c, lambda x: F.when(x.rlike(FLOAT), let(F.lower(F.replace(strip(x), F.lit("_"), F.lit(""))), number)))
 
 
 def span_words(c: Column) -> Column:
@@ -153,7 +162,7 @@ def success(c: Column) -> Column:
 
 def judgement(c: Column) -> Column:
     """struct(score, success, reasoning) of a judge's JSON reply: the score over 10; 0, false and a fixed text for what is missing; null if it is no JSON object."""
-    v = F.when(c.rlike(r"^\s*\{") & strict_json(c), F.try_parse_json(c))
+    v = F.when(c.rlike(r"^\s*\{"), strict_variant(c))
     get = lambda path, kind: F.try_variant_get(v, path, kind)
     return F.when(v.isNotNull(), F.struct((F.coalesce(get("$.score", "double"), F.lit(0.0)) / 10).alias("score"), F.coalesce(get("$.success", "boolean"), F.lit(False)).alias("success"), F.coalesce(get("$.reasoning", "string"), F.lit("No reasoning provided.")).alias("reasoning")))
 
@@ -203,18 +212,24 @@ def page_lines(c: Column, lines: int = 50, words: int | None = None) -> Column:
 
 
 def strict_json(c: Column) -> Column:
-    """Whether a text is one JSON value and nothing else.
+    """Whether a text is one JSON value and nothing else."""
+    return strict_variant(c).isNotNull()
+
+
+def strict_variant(c: Column) -> Column:
+    """The JSON value that a text is, null if it isn't one value and nothing else; it is parsed once.
 
     The parser takes text after the first value, so the value is wrapped in two
     lists with a hash of the text behind it, which must come out again.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("[["), c, F.lit('],"'), F.md5(c), F.lit('"]')))
 
     def whole(x: Column) -> Column:
         get = lambda path, kind: F.try_variant_get(x["v"], path, kind)
-        return F.coalesce((F.size(get("$", "array<variant>")) == 2) & (F.size(get("$[0]", "array<variant>")) == 1) & (get("$[1]", "string") == x["h"]), F.lit(False))
+        good = (F.size(get("$", "array<variant>")) == 2) & (F.size(get("$[0]", "array<variant>")) == 1) & (get("$[1]", "string") == x["h"])
+        return F.when(good, get("$[0][0]", "variant"))
 
-    return let(F.struct(wrapped.alias("v"), F.md5(c).alias("h")), whole)
+    wrapped = lambda x: F.struct(F.try_parse_json(F.concat(F.lit("[["), x["c"], F.lit('],"'), x["h"], F.lit('"]'))).alias("v"), x["h"].alias("h"))
+    return let(let(F.struct(c.alias("c"), F.md5(c).alias("h")), wrapped), whole)
 
 
 def first_json(c: Column) -> Column:

@@ -162,3 +162,10 @@ def test_relevant_by_matrices_equals_pairs(spark):
     assert {r.query_id: (r.id, r.similarity) for r in found.collect()} == {i: (j, pytest.approx(s, abs=1e-12)) for i, (j, s) in want.items()}
     # a plan of pairs would have a join; the work goes to matrices, which few products bound
     assert "Join" not in found._jdf.queryExecution().toString()
+
+
+def test_texts_are_parsed_once(spark):
+    for col in (C.record_fault(F.col("x"), "plan", monitors=True), C.record_fault(F.col("x"), "ledger", ["web"]), C.record_fault(F.col("x"), "check")):
+        assert str(col).count("try_parse_json") == 1
+    rows = [(x,) for x in ('{"a": 1}', '{"a": 1} x', '[1', "1", '],"x', "null", "", None)]
+    assert [r.s for r in spark.createDataFrame(rows, "x string").select(X.strict_json(F.col("x")).alias("s")).collect()] == [True, False, False, True, False, True, False, False]
