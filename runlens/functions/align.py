@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .assignment import map_alignment, span_alignment
-from .text import as_float, clean_number, let, python_float, score_number, span_words, strict_json, strip
+from .text import as_float, clean_number, let, python_float, score_number, span_words, strict_json, strict_variant, strip
 
 
 def align_spans(df: DataFrame, gold: Column, pred: Column, score: str = "score") -> DataFrame:
@@ -36,18 +36,23 @@ def value_number(c: Column) -> Column:
 def typed_values(c: Column) -> Column:
     """A JSON object's entries as array<struct(key, kind, number, words)>: the words of a text (a list of one) or of each text of a list. Null if it is no object."""
 
-    def one(v: Column) -> Column:
-        schema = F.schema_of_variant(v)
+    def parts(x: Column) -> Column:
+        """A value's text, flag and list, of which at most one isn't null, and its plain number."""
+        v, schema = x["v"], x["schema"]
         text = F.when(schema == "STRING", F.try_variant_get(v, "$", "string"))
         flag = F.when(schema == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
-        number = F.coalesce(flag, value_number(text), F.when(~schema.isin("STRING", "BOOLEAN") & ~schema.rlike("^(ARRAY|OBJECT)"), F.try_variant_get(v, "$", "double")))
+        plain = F.when(~schema.isin("STRING", "BOOLEAN") & ~schema.rlike("^(ARRAY|OBJECT)"), F.try_variant_get(v, "$", "double"))
         items = F.when(schema.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
-        texts = F.transform(items, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
-        kind = F.when(number.isNotNull(), NUMBER).when(text.isNotNull(), TEXT).when(items.isNotNull(), LIST).otherwise(OTHER)
-        return F.struct(kind.alias("kind"), number.alias("number"), F.transform(F.coalesce(texts, F.array(text)), span_words).alias("words")).cast(VALUE)
+        return let(text, lambda t: F.struct(t.alias("text"), F.coalesce(flag, value_number(t), plain).alias("number"), items.alias("items")))
 
-    entries = F.map_entries(F.when(c.rlike(r"^\s*\{") & strict_json(c), F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")))
-    return F.transform(entries, lambda e: let(one(e["value"]), lambda v: F.struct(e["key"].alias("key"), v["kind"].alias("kind"), v["number"].alias("number"), v["words"].alias("words"))))
+    def one(x: Column) -> Column:
+        kind = F.when(x["number"].isNotNull(), NUMBER).when(x["text"].isNotNull(), TEXT).when(x["items"].isNotNull(), LIST).otherwise(OTHER)
+        texts = F.transform(x["items"], lambda i: F.when(F.schema_of_variant(i) == "STRING", F.try_variant_get(i, "$", "string")))
+        return F.struct(kind.alias("kind"), x["number"].alias("number"), F.transform(F.coalesce(texts, F.array(x["text"])), span_words).alias("words")).cast(VALUE)
+
+    value = lambda v: let(let(F.struct(v.alias("v"), F.schema_of_variant(v).alias("schema")), parts), one)
+    entries = F.map_entries(F.when(c.rlike(r"^\s*\{"), F.try_variant_get(strict_variant(c), "$", "map<string,variant>")))
+    return F.transform(entries, lambda e: let(value(e["value"]), lambda v: F.struct(e["key"].alias("key"), v["kind"].alias("kind"), v["number"].alias("number"), v["words"].alias("words"))))
 
 
 def score_dict(df: DataFrame, gold: Column, pred: Column, score: str = "score") -> DataFrame:
@@ -103,7 +108,7 @@ def predicted(c: Column) -> Column:
         spans = F.coalesce(texts, F.array(F.coalesce(python_float(x["number"]), x["text"])))
         return F.struct(F.when(x["items"].isNull(), x["number"]).alias("number"), spans.alias("spans"), objects.alias("objects"), x["items"].isNotNull().alias("list")).cast(PREDICTED)
 
-    parsed = let(F.struct(F.when(strict_json(c), F.try_parse_json(c)).alias("v"), c.alias("c")), lambda x: F.struct(x["v"].alias("v"), F.schema_of_variant(x["v"]).alias("kind"), x["c"].alias("c")))
+    parsed = let(F.struct(strict_variant(c).alias("v"), c.alias("c")), lambda x: F.struct(x["v"].alias("v"), F.schema_of_variant(x["v"]).alias("kind"), x["c"].alias("c")))
     return let(parsed, of)
 
 
