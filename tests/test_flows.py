@@ -4,13 +4,15 @@ import itertools
 import json
 import os
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from runlens.functions import align as A
-from runlens.functions.assignment import sums_of
+from runlens.functions.assignment import _span_scores, sums_of
 from runlens.functions import plans as P
 from runlens.sources import runs, sinks, tasks
 from runlens.streaming import jobs as R
@@ -148,6 +150,23 @@ def test_assignment_of_many_matrices_at_once():
         assert total == pytest.approx(best_sum(rows.tolist()) if c.size else 0.0)
 
 
+def test_memory_of_alignment_does_not_grow_with_rows():
+    spans = lambda n: [[f"w{(i * j) % 97}" for j in range(12)] for i in range(n)]
+    some = pa.array([spans(20), None, [], spans(7), [None], spans(20)], pa.list_(pa.list_(pa.string())))
+    peaks = []
+    for n in (100, 1000):
+        rows = pa.concat_arrays([some] * n)
+        tracemalloc.start()
+        got = _span_scores(rows, rows)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert got.to_pylist() == [1.0, None, None, 1.0, None, 1.0] * n
+    assert peaks[1] < 3 * peaks[0]
+    assert _span_scores(some[:0], some[:0]).to_pylist() == []
+    one = pa.array([spans(300)], some.type)
+    assert _span_scores(one, one).to_pylist() == [1.0]
+
+
 @pytest.mark.parametrize("n", [11, 60, 200])
 def test_assignment_beyond_brute_force_has_its_bound(n):
     rng = np.random.default_rng(n)
