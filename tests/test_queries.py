@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from runlens.functions import align as A
 from runlens.functions import pages as G
 from runlens.functions import records as C
 from runlens.functions import text as X
@@ -167,5 +168,7 @@ def test_relevant_by_matrices_equals_pairs(spark):
 def test_texts_are_parsed_once(spark):
     for col in (C.record_fault(F.col("x"), "plan", monitors=True), C.record_fault(F.col("x"), "ledger", ["web"]), C.record_fault(F.col("x"), "check")):
         assert str(col).count("try_parse_json") == 1
+    values = str(A.typed_values(F.col("x")))
+    assert values.count("try_parse_json") == 1 and values.count("schema_of_variant") == 2  # of the value and of a list's items
     rows = [(x,) for x in ('{"a": 1}', '{"a": 1} x', '[1', "1", '],"x', "null", "", None)]
     assert [r.s for r in spark.createDataFrame(rows, "x string").select(X.strict_json(F.col("x")).alias("s")).collect()] == [True, False, False, True, False, True, False, False]
