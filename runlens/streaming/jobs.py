@@ -7,12 +7,14 @@ than the watermark are dropped by Spark, which counts them in the progress.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions.text import score_token_f1
 from ..operators.metrics import latest
@@ -20,7 +22,9 @@ from ..operators.metrics import latest
 LATE = "10 minutes"
 #: Errors that abort a monitor, longest wait in seconds after an error.
 MOST_ERRORS, ERROR_WAIT = 3, 30
-
+#: Buckets of runs whose state is kept together; columns that are flags.
+BUCKETS = 4096
+FLAGS = {"null_run", "null_at", "null_time", "met", "error", "waits", "over"}
 
 #: The state store of every query: off the heap, with changes alone in a checkpoint; the setting for it.
 STORE, STORE_CLASS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.providerClass"
@@ -91,6 +95,60 @@ def score_on_arrival(answers: DataFrame, tasks: DataFrame, key: str, gold: str,
     return answers.join(tasks, key).withColumn("score", score_token_f1(F.col(gold), F.col(pred)))
 
 
+def bucketed(stream: DataFrame, run: str, order: str, *cols: Column) -> DataFrame:
+    """``cols`` beside run and at (0 for null, which null_run and null_at tell), and the run's bucket.
+
+    The state of a bucket's runs is kept together, so that Python is called for
+    each bucket of a batch, not for each run. BUCKETS is part of a checkpoint.
+    """
+    key, at = F.col(run).cast("long"), F.col(order).cast("long")
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")
+    return stream.select(bucket, key.isNull().alias("null_run"), F.coalesce(key, F.lit(0)).alias("run"), at.isNull().alias("null_at"), F.coalesce(at, F.lit(0)).alias("at"), *cols)
+
+
+def fields(*names: str) -> np.dtype:
+    return np.dtype([(n, bool if n in FLAGS else np.int64) for n in names])
+
+
+def schema_of(kind: np.dtype) -> str:
+    return f"runs array<struct<{', '.join(f'{n}: {"boolean" if n in FLAGS else "long"}' for n in kind.names)}>>"
+
+
+def runs_of(group: GroupState, kind: np.dtype) -> np.ndarray:
+    """The state of a bucket, one element a run."""
+    return np.array([tuple(r) for r in group.getOption[0]] if group.exists else [], kind)
+
+
+def ordered(rows: np.ndarray, *names: str) -> np.ndarray:
+    return rows[np.lexsort([rows[n] for n in reversed(names)])]
+
+
+def firsts(rows: np.ndarray) -> np.ndarray:
+    """Whether a row is the first of its run, in rows ordered by run."""
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows["run"][1:] != rows["run"][:-1]) | (rows["null_run"][1:] != rows["null_run"][:-1])
+    return first
+
+
+def folded(held: np.ndarray, chunks: Iterator[pd.DataFrame], fold: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Chunks folded into what is held, whenever they have as many rows as that, so that rows held are not folded anew with every chunk."""
+    parts, more = [held], 0
+    for chunk in chunks:
+        rows = np.empty(len(chunk), held.dtype)
+        for n in held.dtype.names:
+            rows[n] = chunk[n].to_numpy()
+        parts.append(rows)
+        more += len(rows)
+        if more >= len(parts[0]):
+            parts, more = [fold(np.concatenate(parts))], 0
+    return fold(np.concatenate(parts)) if more else parts[0]
+
+
+def nullable(rows: np.ndarray, name: str) -> pd.api.extensions.ExtensionArray:
+    """A column with its nulls; never as floats, which would round long ids."""
+    return pd.arrays.IntegerArray(rows[name].copy(), rows[f"null_{name}"].copy())
+
+
 def monitor(stream: DataFrame, run: str, ts: str, met: Column, error: Column, most_checks: int, sleep: int, order: str) -> DataFrame:
     """A row for each check of a run until it completes or aborts: check_number, errors, status, next_check.
 
@@ -100,86 +158,95 @@ def monitor(stream: DataFrame, run: str, ts: str, met: Column, error: Column, mo
     the end to the next. Rows after the end are ignored. Null flags count as false.
     Within a batch rows run by event time and ``order``; they are read in chunks,
     and no more of a run than the checks it has left are held, errors beyond
-    ``most_checks`` among them. The state needs
-    the RocksDB store, which ``appended`` and ``updated`` use.
+    ``most_checks`` among them. The state is kept by buckets of runs.
     """
-    rows = stream.select(F.col(run).cast("long").alias("run"), F.col(ts).alias("ts"), F.col(order).cast("long").alias("at"), F.coalesce(met, F.lit(False)).alias("met"), F.coalesce(error, F.lit(False)).alias("error"))
-
-    class Checks(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("checks", "checks long, errors long, over boolean")
-
-        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            checks, errors, over = self.state.get() or (0, 0, False)
-            first, left = None, 0 if over else most_checks + MOST_ERRORS - 1 - checks
-            for chunk in rows:
-                first = (chunk if first is None else pd.concat([first, chunk])).sort_values(["ts", "at"], kind="stable").head(left)
-            out = []
-            for r in first.itertuples():
-                checks, errors = checks + 1, errors + bool(r.error)
-                if r.error:
-                    status = "aborted" if errors >= MOST_ERRORS else "error"
-                else:
-                    status = "complete" if r.met or checks >= most_checks else "sleeping"
-                over = status in ("aborted", "complete")
-                out.append((key[0], r.at, checks, errors, status, 0 if over else min(sleep, ERROR_WAIT) if r.error else sleep))
-                if over:
-                    break
-            self.state.update((checks, errors, over))
-            yield pd.DataFrame(out, columns=["run", "at", "check_number", "errors", "status", "next_check"])
-
-    return rows.groupBy("run").transformWithStateInPandas(Checks(), "run long, at long, check_number long, errors long, status string, next_check long", "append", "none")
+    time = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = bucketed(stream, run, order, time.isNull().alias("null_time"), F.coalesce(time, F.lit(0)).alias("time"), F.coalesce(met, F.lit(False)).alias("met"), F.coalesce(error, F.lit(False)).alias("error"))
+    kept, read = fields("null_run", "run", "checks", "errors", "over"), fields("null_run", "run", "null_at", "at", "null_time", "time", "met", "error")
+    most = most_checks + MOST_ERRORS - 1
+
+    def checked(key: tuple, chunks: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        runs = {(null, run): (checks, errors, over) for null, run, checks, errors, over in runs_of(group, kept).tolist()}
+
+        def left(run: tuple) -> int:
+            checks, _, over = runs.get(run, (0, 0, False))
+            return 0 if over else most - checks
+
+        def soonest(rows: np.ndarray) -> np.ndarray:
+            rows = ordered(rows, "null_run", "run", "null_time", "time", "null_at", "at")
+            start = np.flatnonzero(firsts(rows))
+            size = np.diff(start, append=len(rows))
+            lefts = np.array([left(r) for r in rows[["null_run", "run"]][start].tolist()], np.int64)
+            return rows[np.arange(len(rows)) - np.repeat(start, size) < np.repeat(lefts, size)]
+
+        held, out = folded(np.empty(0, read), chunks, soonest), []
+        keep = np.zeros(len(held), bool)
+        for n, (null, run, _, _, _, _, met, error) in enumerate(held.tolist()):
+            checks, errors, over = runs.get((null, run), (0, 0, False))
+            if over:
+                continue
+            checks, errors, keep[n] = checks + 1, errors + error, True
+            if error:
+                status = "aborted" if errors >= MOST_ERRORS else "error"
+            else:
+                status = "complete" if met or checks >= most_checks else "sleeping"
+            over = status in ("aborted", "complete")
+            runs[null, run] = checks, errors, over
+            out.append((checks, errors, status, 0 if over else min(sleep, ERROR_WAIT) if error else sleep))
+        group.update(([(*k, *v) for k, v in runs.items()],))
+        if out:
+            number, errors, status, wait = zip(*out)
+            yield pd.DataFrame({"run": nullable(held[keep], "run"), "at": nullable(held[keep], "at"), "check_number": number, "errors": errors, "status": status, "next_check": wait})
+
+    return rows.groupBy("bucket").applyInPandasWithState(checked, "run long, at long, check_number long, errors long, status string, next_check long", schema_of(kept), "append", "NoTimeout")
 
 
 def input_timeout(stream: DataFrame, run: str, ts: str, order: str, waiting: Column, seconds: int = 3600, late: str = LATE) -> DataFrame:
     """run, at, stopped_at: waits for input that lasted over ``seconds``, told by the next row of the run or by a timer on the watermark.
 
     Whether the very last row of a run has waited too long is known once the
-    watermark has passed its limit. Rows without a time are left out. A run's
-    rows are read in chunks, each reduced to its stretches without a gap over
-    ``seconds``, so what is held grows with the hours a batch covers, not with
-    its rows. The state is the run's last row, kept until the watermark has
-    passed it; it needs the RocksDB store, which ``appended`` and ``updated`` use.
+    watermark has passed its limit. Rows without a time are left out. Rows are
+    read in chunks, each reduced to its runs' stretches without a gap over
+    ``seconds``, so what is held grows with the runs of a bucket and the hours a
+    batch covers, not with its rows. The state is the last row of each run, kept
+    by buckets of runs until the watermark has passed it.
     """
-    rows = stream.select(F.col(run).cast("long").alias("run"), F.col(ts).cast("timestamp").alias("ts"), F.col(order).cast("long").alias("at"), F.coalesce(waiting, F.lit(False)).alias("waits"))
-    rows = rows.where("ts is not null").withWatermark("ts", late).select("run", "ts", F.unix_micros("ts").alias("start"), F.unix_micros("ts").alias("end"), "at", "waits")
-    limit, names, state = seconds * 1_000_000, ["run", "at", "stopped_at"], ["start", "end", "at", "waits"]
-
-    class Waits(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle, self.last = handle, handle.getValueState("last", "end long, at long, waits boolean")
-
-        def stretches(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
-            """Stretches in order of time, each with its first time and its last row."""
-            r = pd.concat(parts, ignore_index=True).sort_values(["start", "end", "at"], kind="stable")
-            n = (r["start"] - r["end"].cummax().shift() > limit).cumsum()
-            r = r.assign(n=n, start=r["start"].groupby(n).transform("min")).sort_values(["n", "end", "at"], kind="stable")
-            return r.drop_duplicates("n", keep="last")[state]
-
-        def stopped(self, run: int, ends: Iterator[tuple]) -> pd.DataFrame:
-            return pd.DataFrame([(run, at, pd.Timestamp(end + limit, unit="us")) for end, at, waits in ends if waits], columns=names)
-
-        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            held = None
-            if self.last.exists():
-                end, at, waits = self.last.get()
-                held = pd.DataFrame([(end, end, at, waits)], columns=state)
-            for chunk in rows:
-                held = self.stretches([chunk[state]] if held is None else [held, chunk[state]])
-            ends = list(held[state[1:]].itertuples(index=False, name=None))
-            end, at, waits = ends[-1]
-            self.last.update((int(end), int(at), bool(waits)))
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(max((int(end) + (limit if waits else 0)) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
-            yield self.stopped(key[0], ends[:-1])
-
-        def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            last = self.last.get()
-            self.last.clear()
-            yield self.stopped(key[0], [last])
-
-    return rows.groupBy("run").transformWithStateInPandas(Waits(), "run long, at long, stopped_at timestamp", "append", "eventTime")
+    rows = stream.withColumn("_ts", F.col(ts).cast("timestamp")).where("_ts is not null").withWatermark("_ts", late)
+    rows = bucketed(rows, run, order, F.col("_ts"), F.unix_micros("_ts").alias("start"), F.unix_micros("_ts").alias("end"), F.coalesce(waiting, F.lit(False)).alias("waits"))
+    limit, kept = seconds * 1_000_000, fields("null_run", "run", "null_at", "at", "start", "end", "waits")
+
+    def stretches(rows: np.ndarray) -> np.ndarray:
+        """Stretches of each run in order of time, each with its first time and its last row."""
+        rows = ordered(rows, "null_run", "run", "start", "end")
+        new = firsts(rows)
+        base, ends = new.cumsum() * len(rows), np.sort(rows["end"])
+        latest_end = ends[np.maximum.accumulate(base + np.searchsorted(ends, rows["end"])) - base]  # within the run
+        new[1:] |= rows["start"][1:] - latest_end[:-1] > limit
+        n = new.cumsum()
+        rows["start"] = rows["start"][new][n - 1]
+        by_end = np.lexsort([rows["at"], rows["null_at"], rows["end"], n])
+        return rows[by_end[np.append(np.flatnonzero(new)[1:], len(rows)) - 1]]
+
+    def waited(key: tuple, chunks: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        held = runs_of(group, kept)
+        if not group.hasTimedOut:
+            held = folded(held, chunks, stretches)
+        mark = group.getCurrentWatermarkMs()
+        passed = (held["end"] + limit * held["waits"]) // 1000
+        stays = np.append(firsts(held)[1:], True) & (passed >= mark)
+        if stays.any():
+            last = held[stays]
+            last["start"] = last["end"]
+            group.update((last.tolist(),))
+            group.setTimeoutTimestamp(max(int(passed[stays].min()), mark + 1))
+        elif group.exists:
+            group.remove()
+        out = held[~stays & held["waits"]]
+        if len(out):
+            yield pd.DataFrame({"run": nullable(out, "run"), "at": nullable(out, "at"), "stopped_at": pd.array(out["end"] + limit, "Int64")})
+
+    out = rows.groupBy("bucket").applyInPandasWithState(waited, "run long, at long, stopped_at long", schema_of(kept), "append", "EventTimeTimeout")
+    return out.withColumn("stopped_at", F.timestamp_micros("stopped_at"))
 
 
 def input_timeout_batch(rows: DataFrame, run: str, ts: str, order: str, waiting: Column, seconds: int = 3600) -> DataFrame:

@@ -271,6 +271,41 @@ def test_long_runs_in_chunks(spark, tmp_path):
     assert batch.columns == rows.columns and {(r.run, r.at) for r in batch.collect()} == {(r, a) for r, a, _ in want if a not in last}
 
 
+def test_many_runs_share_the_state_of_a_bucket(spark, tmp_path, monkeypatch):
+    """Runs and ids null or beyond the reach of floats, four batches, runs that end while others of their bucket go on: against the rules row by row."""
+    appended, queries = R.appended, []
+    monkeypatch.setattr(R, "appended", lambda *a: queries.append(appended(*a)) or queries[-1])
+    monkeypatch.setattr(R, "BUCKETS", 3, raising=False)
+    draw, big = random.Random(3), 2**60
+    names = [None, big, big + 1, *range(30)]
+    whole = [(r, draw.randrange(10_000, 190_000, 600), None if n == 5 else big + draw.randrange(10**6), draw.choice(["wait", "error", "x"])) for r in names for n in range(draw.randrange(1, 25))]
+    whole = list({x[:2]: x for x in whole}.values()) + [(r, 10_000, a, k) for r in names for a, k in ((None, "wait"), (3, "x"))]
+    whole = [x for x in whole if x[1] > 10_000 or x[2] in (None, 3)]
+    parts = [[x for x in whole if low <= x[1] < low + 60_000] for low in (0, 60_000, 120_000, 180_000)] + [[(99, 9_000_000, 1, "wait")], [(99, 9_000_001, 2, "wait")]]
+    own = {r: sorted((x[1:] for x in whole if x[0] == r), key=lambda x: (x[0], x[1] is None, x[1] or 0)) for r in names}
+    want = sorted(f"{r} {a} {s + 3600}" for r in names for (s, a, k), (later, _, _) in zip(own[r], [*own[r][1:], (9_000_000, 0, "")]) if k == "wait" and later - s > 3600)
+    for no_data in ("true", "false"):  # without such batches a run times out while its bucket has rows
+        keep = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", no_data)
+        try:
+            got = replay(spark, f"{tmp_path}/{no_data}", parts, lambda s: R.input_timeout(s, "run", "ts", "at", F.col("kind") == "wait")).collect()
+        finally:
+            spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", keep)
+        assert sorted(f"{r.run} {r.at} {int(r.stopped_at.timestamp())}" for r in got) == want
+    want = []
+    for r in names:
+        errors = 0
+        for n, (_, a, k) in enumerate(own[r], 1):
+            errors += k == "error"
+            status = ("aborted" if errors == 3 else "error") if k == "error" else "complete" if n >= 8 else "sleeping"
+            want.append(f"{r} {a} {n} {errors} {status}")
+            if status in ("aborted", "complete"):
+                break
+    got = replay(spark, f"{tmp_path}/m", parts[:-2], lambda s: R.monitor(s, "run", "ts", F.lit(False), F.col("kind") == "error", 8, 60, "at")).collect()
+    assert sorted(f"{r.run} {r.at} {r.check_number} {r.errors} {r.status}" for r in got) == sorted(want)
+    assert 0 < max(s.numRowsTotal for q in queries for p in q.recentProgress for s in p.stateOperators) <= 3  # a state a bucket, not a run
+
+
 def test_late_and_repeated_rows(spark, tmp_path):
     got = replay(spark, f"{tmp_path}/d", [[(1, 10_000, 1, "a")], [(1, 10_060, 2, "a"), (1, 10_060, 3, "b")], [(9, 80_000, 9, "z")], [(1, 90_000, 4, "a")]], lambda s: R.event_dedupe(s, "ts", ["run", "kind"]))
     assert sorted((r.at) for r in got.collect()) == [1, 3, 4, 9]
