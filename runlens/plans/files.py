@@ -156,10 +156,10 @@ def f16(t):
 def s4(t):
     """Answers, scores and times of each labelled document, written as one file in a run directory, from which each of the three is read again."""
     root = sinks.scratch(t.spark, "runs")
-    d = t("documents").select("doc_id", "text", "source", "lang").join(t("labels"), "doc_id")
+    d = runs.spread(t("documents").select("doc_id", "text", "source", "lang"), "doc_id").join(runs.spread(t("labels"), "doc_id"), "doc_id")
     level = [F.lit("runlens").alias("system"), F.col("source").alias("benchmark"), F.coalesce("lang", F.lit("none")).alias("split"), F.lit("0").alias("run_id"), F.col("doc_id").cast("string").alias("task_id")]
     values = [F.coalesce("text", F.lit("")).alias("answer"), F.col("quality").cast("double").alias("score"), (F.col("doc_id") / 10).alias("duration")]
-    runs.write_run_dirs(d.select(*level, *values), root)
+    runs.write_run_dirs(d.select(*level, *values), root, dealt=True)
     out = runs.read_run_dirs(t.spark, root, {name: "part-*.json" for name in ("answers", "scores", "times")})
     scores = out["scores"].select(*runs.LEVELS, F.col("score")["score"].alias("score"))
     whole = out["answers"].select(*runs.LEVELS, "answer").join(scores, runs.LEVELS, "left").join(out["times"].select(*runs.LEVELS, "duration"), runs.LEVELS, "left")

@@ -71,6 +71,73 @@ def test_run_dirs_of_odd_names_and_depths(spark, tmp_path):
     assert {r.task_id: r.duration for r in runs.read_run_dirs(spark, f"{tmp_path}/w", {"times": "part-*.json"})["times"].collect()} == {str(i): float(i) for i in range(64)}
 
 
+def test_run_dirs_are_opened_by_tasks(spark, tmp_path):
+    """Tasks make their own files, without checksums beside them, and no list of files stands in the plan; names and values come back, and no rows are no error."""
+    names = ["a/b", "1+1", "50%", "x=y", "_t", ".t", "é {2}", "%41", "", "t"]
+    rows = spark.createDataFrame([("s", "b", "d", "0", n, f"say {n}\n", 0.5) for n in names], "system string, benchmark string, split string, run_id string, task_id string, answer string, score double")
+    runs.write_run_dirs(rows, f"{tmp_path}/w")
+    assert sorted(f for _, _, found in os.walk(f"{tmp_path}/w") for f in found) == ["part-00000.json"] * len(names)
+    out = runs.read_run_dirs(spark, f"{tmp_path}/w", {"answers": "part-*.json", "scores": "{part,x}-*.json"})
+    assert out["answers"].inputFiles() == []
+    assert {r.task_id: r.answer for r in out["answers"].collect()} == {n: f"say {n}\n" for n in names}
+    assert [(r.system, r.score) for r in out["scores"].collect()] == [("s", {"score": 0.5})] * len(names)
+    with pytest.raises(FileExistsError):
+        runs.write_run_dirs(rows, f"{tmp_path}/w")
+    runs.write_run_dirs(rows.limit(0), f"{tmp_path}/none")
+    assert [d.count() for d in runs.read_run_dirs(spark, f"{tmp_path}/none").values()] == [0] * 5
+    put(f"{tmp_path}/h/s/b/d/0/_t/_t_answer.json", '{"answer": "hidden"}')
+    put(f"{tmp_path}/h/s/b/d/0/_t/._t_answer.json", "left by a file manager")
+    assert [r.answer for r in runs.read_run_dirs(spark, f"{tmp_path}/h")["answers"].collect()] == ["hidden"]
+
+
+def test_tasks_of_a_run_are_written_once_each(spark, tmp_path):
+    """Rows of a task stand in one file whichever task meets them, and many runs with many tasks come back whole."""
+    rows = spark.range(3000).select(F.lit("s").alias("system"), (F.col("id") % 7).cast("string").alias("benchmark"), F.lit("d").alias("split"), (F.col("id") % 3).cast("string").alias("run_id"), F.col("id").cast("string").alias("task_id"), F.col("id").cast("double").alias("duration"))
+    runs.write_run_dirs(rows.union(rows), f"{tmp_path}/w")
+    runs.write_run_dirs(runs.spread(rows.withColumn("answer", F.lit("x")), "task_id"), f"{tmp_path}/dealt", dealt=True)
+    assert runs.read_run_dirs(spark, f"{tmp_path}/dealt", {"answers": "part-*.json"})["answers"].where("answer = 'x'").count() == 3000
+    files = [f"{at}/{f}" for at, _, found in os.walk(f"{tmp_path}/w") for f in found]
+    with open(files[0]) as f:
+        assert len(files) == 3000 and len(set(f.read().splitlines())) == 1
+    got = runs.read_run_dirs(spark, f"{tmp_path}/w", {"times": "part-*.json"})["times"].select("benchmark", "run_id", "task_id", "duration").collect()
+    assert sorted(map(tuple, got)) == sorted((str(i % 7), str(i % 3), str(i), float(i)) for i in range(3000))
+
+
+def test_spread_follows_the_number_of_shuffle_partitions(spark):
+    """Large tables, for which shuffles have many partitions, aren't dealt over the cores alone."""
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert runs.spread(spark.range(9), "id").rdd.getNumPartitions() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_run_dirs_read_alike_by_tasks_and_by_spark(spark, tmp_path, monkeypatch):
+    """Odd JSON gives the same rows whether tasks open the files or Spark's reader does, as in stores that only it reaches."""
+    odd = {
+        "n": '{"X": 2.5}', "empty": "", "blank": " \n\t", "cut": '{"X": 2.5', "type": '{"start_time": "abc", "X": 1.5}', "scalar": "42", "null": "null", "rows": ' \n[{"X": 1}, {"X": 2.50}]', "none": "[]", "bad": '[{"X": 1}, {"X": "x", "end_time": 4}]',
+        "two": '{"X": 1}\n{"X": 2}', "dup": '{"X": 1, "X": 2}', "nan": '{"X": NaN}', "big": '{"X": 1e400}', "map": '{"X": {"a": 1, "b" : 0.250}}', "list": '{"X": [1, 2.50, null, "s"]}', "text": '{"X": "\\ud83d\\ude00 \\" é"}', "other": '{"y": [1.50], "X": true, "metadata": {"k": [ 1.0 ], "l": null}}',
+        "nbsp": "\u00a0", "more": '{"X": 3} more', "bom": '\ufeff{"X": 7}', "a b+c%20d": '{"X": 11}', "task_id=x%2Fy": '{"X": 12}',
+    }
+    at = f"{tmp_path}/r/sys/bench/dev/0"
+    for task, text in odd.items():
+        for name, field in (("score.json", "score"), ("times.json", "duration"), (f"{task}_messages.json", "content"), (f"{task}_answer.json", "answer"), ("model_tokens_usage.json", "web")):
+            put(f"{at}/{task}/{name}", text.replace("X", field))
+    put(f"{at}/used/model_tokens_usage.json", '{"web": {"prompt_tokens": 10}, "x": null}')
+    for task, raw in (("utf16", '{"duration": 8}'.encode("utf-16")), ("invalid", b'{"duration": 5, "y": "\xff"}')):
+        os.makedirs(f"{at}/{task}")
+        with open(f"{at}/{task}/times.json", "wb") as f:
+            f.write(raw)
+    read = lambda: {name: (d.dtypes, sorted(map(str, d.collect()))) for name, d in runs.read_run_dirs(spark, f"{tmp_path}/r").items()}
+    opened = read()
+    monkeypatch.setattr(runs, "local_path", lambda *_: None)
+    listed = read()
+    for name, rows in opened.items():
+        assert rows == listed[name]
+    assert len(opened["times"][1]) == len(opened["scores"][1]) + 2 == len(odd) + 1  # two blank files and an empty array have no row, two arrays have two each
+
+
 def test_modified_files(spark, tmp_path):
     for name, at in (("b.py", 1000), ("a.txt", 2000), ("late.txt", 9000), ("x.pyc", 1500), ("sub/c.py", 1000), ("y.cache", 1500), ("my__init__.py", 1200), ("__init__.py", 1200), ("__pycache__/z.py", 1200), ("a.cached/d.py", 1200)):
         put(f"{tmp_path}/{name}", "x")
